@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def chi_square(
 
 def two_proportions(
     wide: DataFrame, members: DataFrame, pairs: list[tuple[str, str]], user: str, questions: list[str],
-    cohort: str = "cohort_label",
+    cohort: str = "cohort_label", clean: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """z-test of every answer's share between the two cohorts of each pair, all questions and pairs at once.
 
@@ -79,7 +80,12 @@ def two_proportions(
             F.count_if(inside(b)).alias(f"_b{i}"),
             F.count_if(inside(a) | inside(b)).alias(f"_u{i}"),
         ]
-    counted = long.filter(F.col("value").isNotNull()).groupBy("variable", "value").agg(*aggs)
+    counted = long.groupBy("variable", "value").agg(*aggs)
+    if clean is not None:
+        names = [c for c in counted.columns if c.startswith("_")]
+        cleaned = counted.withColumn("value", clean(F.col("value")))
+        counted = cleaned.groupBy("variable", "value").agg(*[F.sum(c).alias(c) for c in names])
+    counted = counted.filter(F.col("value").isNotNull())
     per_pair = F.array(
         *[
             F.struct(

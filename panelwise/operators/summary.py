@@ -6,17 +6,29 @@ shuffle carries at most one row per (cohort, question, response) and no window g
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.functions.numeric import any_true, ratio
 from panelwise.functions.text import count_percent_text, percent_text
+from panelwise.operators.ranking import spread_median
 from panelwise.operators.reshape import side_by_side
 
 
-def counts(long: DataFrame, by: list[str], response: str = "value") -> DataFrame:
-    """Rows per (by..., response); missing keys and missing responses are not counted."""
-    return long.dropna(subset=[*by, response]).groupBy(*by, response).agg(F.count(F.lit(1)).alias("n"))
+def counts(
+    long: DataFrame, by: list[str], response: str = "value", clean: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Rows per (by..., response); rows with a missing key or (cleaned) response are not counted.
+
+    ``clean`` rewrites responses. It runs once per distinct response after a first count, not once per row.
+    """
+    counted = long.dropna(subset=by).groupBy(*by, response).agg(F.count(F.lit(1)).alias("n"))
+    if clean is not None:
+        cleaned = counted.withColumn(response, clean(F.col(response)))
+        counted = cleaned.groupBy(*by, response).agg(F.sum("n").alias("n"))
+    return counted.filter(F.col(response).isNotNull())
 
 
 def with_share(counted: DataFrame, within: list[str]) -> DataFrame:
@@ -41,15 +53,15 @@ EMPTY_CELL = {"percent": "0.0%", "count": "0 (0.0%)", "n": 0}
 
 
 def summary_table(
-    long: DataFrame, cohorts: list[str], measure: str = "percent", cohort: str = "cohort_label",
+    counted: DataFrame, cohorts: list[str], measure: str = "percent", cohort: str = "cohort_label",
     question: str = "variable", response: str = "value", fill: bool = True,
 ) -> DataFrame:
-    """One row per (question, response), one column per cohort.
+    """One row per (question, response), one column per cohort, from ``counts``.
 
-    ``long`` holds one row per (cohort, user, question): attach the cohorts to the wide table before melting,
-    so that the join moves one row per user and not one per answer.
+    Attach the cohorts to the wide table before melting, so that the join moves one row per user and not one
+    per answer.
     """
-    shares = with_share(counts(long, [cohort, question], response), [cohort, question])
+    shares = with_share(counted, [cohort, question])
     cell = F.first(measure_column(measure))
     return side_by_side(
         shares, [question, response], cohort, cohorts, cell, EMPTY_CELL[measure] if fill else None
@@ -72,12 +84,28 @@ def incomplete_groups(long: DataFrame, by: list[str], response: str = "value") -
 
 
 def contingency(
-    long: DataFrame, cohorts: list[str], cohort: str = "cohort_label", question: str = "variable",
+    counted: DataFrame, cohorts: list[str], cohort: str = "cohort_label", question: str = "variable",
     response: str = "value",
 ) -> DataFrame:
     """Question x response x cohort counts with zeros for empty cells."""
-    rows = long.dropna(subset=[question, response])
-    return rows.groupBy(question, response).agg(*[F.count_if(F.col(cohort) == c).alias(c) for c in cohorts])
+    cells = [F.coalesce(F.sum(F.when(F.col(cohort) == c, F.col("n"))), F.lit(0)).alias(c) for c in cohorts]
+    return counted.groupBy(question, response).agg(*cells)
+
+
+def continuous_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean and spread, median and range of a continuous column as text, one row per group."""
+    known = df.dropna(subset=[*by, value])
+    x = F.col(value)
+    moments = known.groupBy(*by).agg(
+        F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"), F.min(x).alias("_low"), F.max(x).alias("_high")
+    )
+    text = lambda c: F.round(c, 4).cast("string")
+    return moments.join(spread_median(known, by, value), by).select(
+        *by,
+        F.format_string("%.1f ± %.1f", "_mean", "_sd").alias("mean_sd"),
+        text(F.col("median")).alias("median"),
+        F.concat(text(F.col("_low")), F.lit(" - "), text(F.col("_high"))).alias("min_max"),
+    )
 
 
 def flag_crosstab(df: DataFrame, user: str, flags: list[str]) -> DataFrame:
