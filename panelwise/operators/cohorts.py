@@ -13,28 +13,25 @@ def any_valid(flags: list[str]) -> Column:
     return row_total([F.col(f) for f in flags]) > 0
 
 
-def membership(
-    people: DataFrame, user: str, cohort: str, flags: list[str], full: str = "All ", dense: str = "Dense "
-) -> DataFrame:
-    """Full and dense cohorts in one pass over a table with one row per user.
-
-    A row yields its full cohort and, when any flag is set, its dense cohort as well. No shuffle.
-    """
+def labels(cohort: str, flags: list[str], full: str = "All ", dense: str = "Dense ") -> Column:
+    """The cohorts of one participant row: its full cohort and, when any flag is set, its dense cohort."""
     named = F.col(cohort).isNotNull()
-    labels = F.array_compact(
+    return F.array_compact(
         F.array(
             F.when(named, F.concat(F.lit(full), cohort)),
             F.when(named & any_valid(flags), F.concat(F.lit(dense), cohort)),
         )
     )
-    return people.select(F.explode(labels).alias("cohort_label"), user)
 
 
-def dense_or_not(
-    people: DataFrame, user: str, flags: list[str], yes: str = "Dense Activity", no: str = "Non-dense Activity"
-) -> DataFrame:
-    """Two complementary sets: users with any flag set, and the rest."""
-    return people.select(F.when(any_valid(flags), yes).otherwise(no).alias("cohort_label"), user)
+def activity_label(flags: list[str], yes: str = "Dense Activity", no: str = "Non-dense Activity") -> Column:
+    """One of two complementary sets: users with any flag set, and the rest."""
+    return F.array(F.when(any_valid(flags), yes).otherwise(no))
+
+
+def membership(people: DataFrame, user: str, labelled: Column) -> DataFrame:
+    """The sets as a table ``(cohort_label, user)``, from a table with one row per user. No shuffle."""
+    return people.select(F.explode(labelled).alias("cohort_label"), user)
 
 
 def sizes(members: DataFrame, user: str, label: str = "cohort_label") -> DataFrame:

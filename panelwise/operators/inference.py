@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.numeric import ratio, total
 from panelwise.functions.tails import chi_square_upper, normal_two_sided
 from panelwise.operators.ranking import running_totals
+from panelwise.session import cut
 
 
 def chi_square(
@@ -23,6 +24,7 @@ def chi_square(
     to which they add nothing. With one degree of freedom |o-e| is the same in all four cells, so Yates'
     correction follows from any cell and the reciprocal totals.
     """
+    counted = cut(counted)  # read four times below; the responses themselves are read once
     rows = counted.groupBy(question, response).agg(F.sum("n").alias("_row"))
     cols = counted.groupBy(question, cohort).agg(F.sum("n").alias("_col"))
     by_row = rows.groupBy(question).agg(
@@ -49,8 +51,9 @@ def chi_square(
         .withColumn("chi2", F.when(F.col("dof") == 1, yates).when(F.col("dof") == 0, F.lit(0.0)).otherwise(plain))
     )
     p = chi_square_upper(F.col("chi2"), F.col("dof"))
-    questions = counted.select(F.countDistinct(question)).scalar()
-    threshold = ratio(F.lit(alpha), questions)
+    # one row per question is left, so counting the questions here costs nothing
+    questions = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    threshold = F.lit(alpha) / questions
     return tested.select(
         question, "n_total", "dof", "chi2", p.alias("p_value"), threshold.alias("threshold"),
         (p < threshold).alias("significant"),
@@ -58,20 +61,16 @@ def chi_square(
 
 
 def two_proportions(
-    wide: DataFrame, members: DataFrame, pairs: list[tuple[str, str]], user: str, questions: list[str],
+    wide: DataFrame, labels: str, pairs: list[tuple[str, str]], sizes: DataFrame, questions: list[str],
     cohort: str = "cohort_label", clean: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """z-test of every answer's share between the two cohorts of each pair, all questions and pairs at once.
 
-    ``wide`` has one row per user. Each user's cohort labels become one short array, joined before the melt;
-    conditional counts then cover both cohorts and their union (a user in both counts once there). An answer
+    ``wide`` has one row per user with an array column of the user's cohorts; ``sizes`` gives ``n_users`` per
+    cohort. Conditional counts cover both cohorts and their union (a user in both counts once there). An answer
     that neither cohort gave stays, with shares 0 and no z.
     """
-    labels = members.groupBy(user).agg(F.collect_set(cohort).alias("_labels"))  # bounded by the cohort list
-    sizes = members.groupBy(cohort).agg(F.countDistinct(user).alias("_n"))
-    long = wide.select(user, *questions).join(labels, user, "left").unpivot(
-        ["_labels"], questions, "variable", "value"
-    )
+    long = wide.select(F.col(labels).alias("_labels"), *questions).unpivot(["_labels"], questions, "variable", "value")
     inside = lambda c: F.coalesce(F.array_contains("_labels", c), F.lit(False))
     aggs = []
     for i, (a, b) in enumerate(pairs):
@@ -106,8 +105,8 @@ def two_proportions(
         ],
     )
     sized = shares.join(
-        sizes.select(F.col(cohort).alias("cohort1"), F.col("_n").alias("n1")), "cohort1", "left"
-    ).join(sizes.select(F.col(cohort).alias("cohort2"), F.col("_n").alias("n2")), "cohort2", "left")
+        sizes.select(F.col(cohort).alias("cohort1"), F.col("n_users").alias("n1")), "cohort1", "left"
+    ).join(sizes.select(F.col(cohort).alias("cohort2"), F.col("n_users").alias("n2")), "cohort2", "left")
     spread = F.col("p_all") * (1 - F.col("p_all")) * (1.0 / F.col("n1") + 1.0 / F.col("n2"))
     z = F.try_divide(F.col("p1") - F.col("p2"), F.sqrt(spread))
     return sized.select(

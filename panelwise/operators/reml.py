@@ -116,37 +116,51 @@ class SmoothFit:
 
 
 def fit_smooth(moments: Moments, n_rows: int, fixed: int) -> SmoothFit:
-    """Random intercept plus one penalised block: columns are ``fixed`` terms, then the block, then y."""
+    """Random intercept plus one penalised block: columns are ``fixed`` terms, then the block, then y.
+
+    The criterion is evaluated for whole grids of (user ratio, smooth ratio) at once.
+    """
     p = len(moments.gram) - 1
     wiggly = slice(fixed, p)
     rest = [*range(fixed), p]
-
-    def at(log_user: float, log_smooth: float):
-        cross, log_det = moments.weighted(np.exp(log_user))
-        scale = np.exp(log_smooth)
-        block = cross[wiggly, wiggly]
-        penalised = block + np.eye(p - fixed) / scale
-        side = cross[rest, wiggly]
-        solved = np.linalg.solve(penalised, side.T) if p > fixed else np.zeros((0, len(rest)))
-        reduced = cross[np.ix_(rest, rest)] - side @ solved
-        log_det += np.linalg.slogdet(np.eye(p - fixed) + scale * block)[1]
-        return (*profile(reduced, log_det, n_rows, fixed), cross, penalised)
-
-    centre, reach, points = np.array([-2.0, 0.0]), np.array([14.0, 18.0]), 15
-    best = None
-    for _ in range(14):
-        for a in np.linspace(centre[0] - reach[0], centre[0] + reach[0], points):
-            for b in np.linspace(centre[1] - reach[1], centre[1] + reach[1], points):
-                value = at(a, b)[0]
-                if best is None or value < best[0]:
-                    best = (value, a, b)
+    eye = np.eye(p - fixed)
+
+    def crosses(log_user: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ratio = np.exp(log_user)[:, None]
+        weight = ratio / (1.0 + moments.size * ratio)
+        return moments.gram - np.tensordot(weight, moments.between, 1), np.log1p(moments.size * ratio) @ moments.users
+
+    def criteria(log_user: np.ndarray, log_smooth: np.ndarray) -> np.ndarray:
+        cross, log_det = crosses(log_user)
+        scale = np.exp(log_smooth)[:, None, None]
+        block = cross[:, wiggly, wiggly]
+        side = cross[:, rest, wiggly]
+        reduced = cross[np.ix_(range(len(cross)), rest, rest)] - side @ np.linalg.solve(
+            block + eye / scale, side.transpose(0, 2, 1)
+        )
+        log_det = log_det + np.linalg.slogdet(eye + scale * block)[1]
+        xx, xy, yy = reduced[:, :fixed, :fixed], reduced[:, :fixed, fixed:], reduced[:, fixed, fixed]
+        rss = yy - (xy.transpose(0, 2, 1) @ np.linalg.solve(xx, xy))[:, 0, 0]
+        return (n_rows - fixed) * np.log(np.maximum(rss, 1e-300)) + log_det + np.linalg.slogdet(xx)[1]
+
+    centre, reach, points = np.array([-2.0, 0.0]), np.array([14.0, 18.0]), 17
+    best = (np.inf, *centre)
+    for _ in range(16):
+        a, b = (np.linspace(c - r, c + r, points) for c, r in zip(centre, reach))
+        grid = np.array([(x, y) for x in a for y in b])
+        values = criteria(grid[:, 0], grid[:, 1])
+        i = int(np.nanargmin(values))
+        if values[i] < best[0]:
+            best = (values[i], *grid[i])
         # narrow slowly: a ridge between the two ratios must not be lost
-        centre, reach, points = np.array(best[1:]), reach * 0.4, 7
+        centre, reach, points = np.array(best[1:]), reach * 0.45, 9
     criterion, log_user, log_smooth = best
-    _, _, _, sigma2, cross, penalised = at(log_user, log_smooth)
+    cross = crosses(np.array([log_user]))[0][0]
     system = cross[:p, :p].copy()
-    system[wiggly, wiggly] = penalised
+    system[wiggly, wiggly] += eye / np.exp(log_smooth)
     inverse = np.linalg.pinv(system, hermitian=True)
+    coef = inverse @ cross[:p, p]
+    sigma2 = max(float(cross[p, p] - cross[p, :p] @ coef), 1e-300) / (n_rows - fixed)
     return SmoothFit(
-        inverse @ cross[:p, p], sigma2 * inverse, sigma2, float(np.exp(log_user)), float(np.exp(log_smooth)), criterion
+        coef, sigma2 * inverse, sigma2, float(np.exp(log_user)), float(np.exp(log_smooth)), float(criterion)
     )

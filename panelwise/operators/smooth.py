@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.operators.reml import Moments, SmoothFit, fit_smooth
+from panelwise.session import cut
 
 
 def thin_plate_basis(days: np.ndarray, size: int = 10) -> np.ndarray:
@@ -41,7 +42,7 @@ def fit_curves(
 ) -> DataFrame:
     """Per (by..., day): mean of y, fitted population curve, its standard error and the band around it."""
     rows = df.filter(F.col(day).between(first_day, last_day)).dropna(subset=[*by, user, day, y])
-    rows = rows.select(*by, user, F.col(day).cast("int").alias("_day"), F.col(y).cast("double").alias("_y"))
+    rows = cut(rows.select(*by, user, F.col(day).cast("int").alias("_day"), F.col(y).cast("double").alias("_y")))
     per_day = (
         rows.groupBy(*by, "_day")
         .agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"), F.var_pop("_y").alias("var"))

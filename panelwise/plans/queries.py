@@ -25,7 +25,7 @@ CARE = ["care_cleaned", "hospitalized"]
 CONDITIONS = ["cond_a", "cond_b", "cond_ab", "cond_any"]
 ALL = [f"All {c}" for c in tv.COHORTS]
 DENSE = [f"Dense {c}" for c in tv.COHORTS]
-ACTIVITY = ["Dense Activity", "Non-dense Activity"]
+ACTIVITY = ("Dense Activity", "Non-dense Activity")
 PAIRS = [(a, b) for i, a in enumerate(ALL) for b in ALL[i + 1:]]
 KNOWN_PLACES = ["a", "n", "multiple", "unavailable", "other"]
 PLACE_NAMES = {
@@ -168,12 +168,24 @@ def pivot_cohort(spark: SparkSession, d: str) -> DataFrame:
 # --- cohorts ---------------------------------------------------------------------------------------------
 
 
+def _labels() -> Column:
+    return cohorts.labels(COHORT, VALID)
+
+
+def _full() -> Column:
+    return _full_of(_labels())
+
+
+def _full_of(labels: str | Column = "labels") -> Column:
+    return F.filter(labels, lambda label: label.startswith("All"))
+
+
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    return cohorts.membership(tv.participants(spark, d), USER, COHORT, VALID)
+    return cohorts.membership(tv.participants(spark, d), USER, _labels())
 
 
-def _full(spark: SparkSession, d: str) -> DataFrame:
-    return cohorts.with_prefix(_members(spark, d), "All")
+def _labelled(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    return study.with_labels(rows, tv.participants(spark, d), USER, _labels())
 
 
 def cohort_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -209,19 +221,17 @@ def distinct_users(spark: SparkSession, d: str) -> DataFrame:
 # --- summary tables --------------------------------------------------------------------------------------
 
 
-def _demographics(spark: SparkSession, d: str, members: DataFrame) -> DataFrame:
-    return study.answer_counts(tv.participants(spark, d), members, USER, QUESTIONS, study.tidy_answer())
+def _demographics(spark: SparkSession, d: str, labelled: Column) -> DataFrame:
+    return study.answer_counts(tv.participants(spark, d), labelled, QUESTIONS, study.tidy_answer())
 
 
 def summary_percent(spark: SparkSession, d: str) -> DataFrame:
-    return summary.summary_table(_demographics(spark, d, _members(spark, d)), ALL + DENSE, "percent")
+    return summary.summary_table(_demographics(spark, d, _labels()), ALL + DENSE, "percent")
 
 
 def summary_ordered(spark: SparkSession, d: str) -> DataFrame:
     labels = {"4-Not Specified": "Not Specified"}
-    counted = study.answer_counts(
-        tv.participants(spark, d), _full(spark, d), USER, QUESTIONS, study.tidy_answer(labels)
-    )
+    counted = study.answer_counts(tv.participants(spark, d), _full(), QUESTIONS, study.tidy_answer(labels))
     answers = [
         "Africa", "America", "Asia", "Europe", "Middle East", "Building", "Furniture", "Household", "1-Urgent",
         "2-High", "3-Medium", "5-Low", "Not Specified", "Unavailable",
@@ -234,12 +244,12 @@ def summary_ordered(spark: SparkSession, d: str) -> DataFrame:
 def summary_count(spark: SparkSession, d: str) -> DataFrame:
     people = summary.collapse_flags(tv.participants(spark, d), CONDITIONS[:3], "cond_any")
     names = {"Cond Any": "Any Condition"}
-    return study.condition_table(people, _full(spark, d), USER, CONDITIONS, ALL, names)
+    return study.condition_table(people, _full(), CONDITIONS, ALL, names)
 
 
 def care_summary(spark: SparkSession, d: str) -> DataFrame:
     clean = lambda a: recode(F.coalesce(a, F.lit("unavailable")), PLACE_NAMES)
-    counted = study.answer_counts(_care(spark, d), _full(spark, d), USER, CARE, clean)
+    counted = study.answer_counts(_labelled(_care(spark, d), spark, d), _full_of(), CARE, clean)
     order = reshape.last_wins(PLACE_NAMES.values(), ["Yes", "No", "Unavailable"])
     return study.ordered_summary(summary.summary_table(counted, ALL, "percent"), CARE, order)
 
@@ -249,7 +259,7 @@ def summary_continuous(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contingency(spark: SparkSession, d: str) -> DataFrame:
-    return summary.contingency(_demographics(spark, d, _full(spark, d)), ALL)
+    return summary.contingency(_demographics(spark, d, _full()), ALL)
 
 
 def flag_crosstab(spark: SparkSession, d: str) -> DataFrame:
@@ -281,57 +291,56 @@ def _z_tested(df: DataFrame) -> DataFrame:
 
 
 def chi_square(spark: SparkSession, d: str) -> DataFrame:
-    return _tested(inference.chi_square(_demographics(spark, d, _full(spark, d))))
+    return _tested(inference.chi_square(_demographics(spark, d, _full())))
 
 
 def chi_square_dense(spark: SparkSession, d: str) -> DataFrame:
-    members = cohorts.dense_or_not(tv.participants(spark, d), USER, VALID)
-    return _tested(inference.chi_square(_demographics(spark, d, members)))
+    return _tested(inference.chi_square(_demographics(spark, d, cohorts.activity_label(VALID))))
 
 
 def chi_square_care(spark: SparkSession, d: str) -> DataFrame:
     clean = lambda a: F.coalesce(a, F.lit("unavailable"))
-    return _tested(inference.chi_square(study.answer_counts(_care(spark, d), _full(spark, d), USER, CARE, clean)))
+    return _tested(inference.chi_square(study.answer_counts(_labelled(_care(spark, d), spark, d), _full_of(), CARE, clean)))
 
 
 def _symptom_counts(spark: SparkSession, d: str) -> DataFrame:
     clean = lambda a: F.coalesce(a, F.lit(""))
-    return study.answer_counts(tv.events_survey(spark, d), _full(spark, d), USER, SYMPTOMS, clean)
+    return study.answer_counts(_labelled(tv.events_survey(spark, d), spark, d), _full_of(), SYMPTOMS, clean)
 
 
 def chi_square_symptoms(spark: SparkSession, d: str) -> DataFrame:
     return _tested(inference.chi_square(study.pooled_presence(_symptom_counts(spark, d))))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return cohorts.sizes(_members(spark, d), USER)
+
+
 def two_prop_z(spark: SparkSession, d: str) -> DataFrame:
+    people = tv.participants(spark, d).withColumn("labels", _labels())
     return _z_tested(
-        inference.two_proportions(
-            tv.participants(spark, d), _members(spark, d), PAIRS, USER, QUESTIONS, clean=study.tidy_answer()
-        )
+        inference.two_proportions(people, "labels", PAIRS, _sizes(spark, d), QUESTIONS, clean=study.tidy_answer())
     )
 
 
 def two_prop_z_dense(spark: SparkSession, d: str) -> DataFrame:
-    people = tv.participants(spark, d)
-    members = cohorts.dense_or_not(people, USER, VALID)
-    pairs = [tuple(ACTIVITY)]
+    people = tv.participants(spark, d).withColumn("labels", cohorts.activity_label(VALID))
+    sizes = cohorts.sizes(cohorts.membership(people, USER, F.col("labels")), USER)
     return _z_tested(
-        inference.two_proportions(people, members, pairs, USER, QUESTIONS, clean=study.tidy_answer())
+        inference.two_proportions(people, "labels", [ACTIVITY], sizes, QUESTIONS, clean=study.tidy_answer())
     )
 
 
 def two_prop_z_care(spark: SparkSession, d: str) -> DataFrame:
     clean = lambda a: F.coalesce(a, F.lit("unavailable"))
-    return _z_tested(inference.two_proportions(_care(spark, d), _members(spark, d), PAIRS, USER, CARE, clean=clean))
+    rows = _labelled(_care(spark, d), spark, d)
+    return _z_tested(inference.two_proportions(rows, "labels", PAIRS, _sizes(spark, d), CARE, clean=clean))
 
 
 def two_prop_z_symptoms(spark: SparkSession, d: str) -> DataFrame:
     clean = lambda a: F.coalesce(a, F.lit(""))
-    return _z_tested(
-        inference.two_proportions(
-            tv.events_survey(spark, d), _members(spark, d), PAIRS, USER, SYMPTOMS, clean=clean
-        )
-    )
+    rows = _labelled(tv.events_survey(spark, d), spark, d)
+    return _z_tested(inference.two_proportions(rows, "labels", PAIRS, _sizes(spark, d), SYMPTOMS, clean=clean))
 
 
 # --- symptoms --------------------------------------------------------------------------------------------
@@ -446,7 +455,8 @@ def _specs() -> list[mixed.MixedSpec]:
 
 
 def _fits(spark: SparkSession, d: str) -> tuple[DataFrame, mixed.MixedFits]:
-    days = tv.activity_panel(spark, d)
+    # the models pass over the panel several times, each time over a few columns
+    days = files.land(tv.activity_panel(spark, d), f"{shared_dir(spark)}/panel-{uuid.uuid4().hex}")
     return days, mixed.fit_mixed(days, USER, _specs())
 
 

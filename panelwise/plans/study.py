@@ -17,15 +17,21 @@ def tidy_answer(labels: dict[str, str] | None = None, missing: str = UNAVAILABLE
     return lambda answer: recode(F.coalesce(title_case(answer), F.lit(missing)), labels or {})
 
 
-def answer_counts(
-    people: DataFrame, members: DataFrame, user: str, questions: list[str], clean=None
-) -> DataFrame:
-    """Counts per (cohort_label, variable, value) of a wide table with one row per user."""
-    rows = cohorts.attach(people.select(user, *questions), members, user)
-    long = reshape.melt(rows, ["cohort_label"], questions)
+def answer_counts(rows: DataFrame, labelled: Column, questions: list[str], clean=None) -> DataFrame:
+    """Counts per (cohort_label, variable, value) of a wide table with one row per user.
+
+    ``labelled`` is the array of a row's cohorts. On the participant table it comes from the row itself, so
+    counting needs no join; other tables bring it along with ``with_labels``.
+    """
+    long = reshape.melt(rows.select(F.explode(labelled).alias("cohort_label"), *questions), ["cohort_label"], questions)
     return summary.counts(long, ["cohort_label", "variable"], clean=clean)
 
 
+def with_labels(rows: DataFrame, people: DataFrame, user: str, labelled: Column, name: str = "labels") -> DataFrame:
+    """Adds the cohorts of each row's user from the participant table (one row per user); unknown users have none."""
+    return rows.join(people.select(user, labelled.alias(name)), user, "left")
+
+
 def ordered_summary(
     table: DataFrame, questions: list[str], answers: list[str], question: str = "variable", answer: str = "value"
 ) -> DataFrame:
@@ -145,14 +151,13 @@ def pooled_presence(counted: DataFrame, absent: str = "") -> DataFrame:
 
 
 def condition_table(
-    people: DataFrame, members: DataFrame, user: str, conditions: list[str], labels: list[str],
-    names: dict[str, str] | None = None,
+    people: DataFrame, labelled: Column, conditions: list[str], labels: list[str], names: dict[str, str] | None = None
 ) -> DataFrame:
     """``n (p%)`` of users with each condition per cohort; every user of a cohort is in the denominator.
 
     Rows are placed by the count in the first cohort.
     """
-    rows = cohorts.attach(people.select(user, *conditions), members, user)
+    rows = people.select(F.explode(labelled).alias("cohort_label"), *conditions)
     sums = rows.groupBy("cohort_label").agg(
         F.count(F.lit(1)).alias("n_group"), *[F.count_if(F.col(c)).alias(c) for c in conditions]
     )
