@@ -70,20 +70,23 @@ def two_proportions(
     cohort. Conditional counts cover both cohorts and their union (a user in both counts once there). An answer
     that neither cohort gave stays, with shares 0 and no z.
     """
-    long = wide.select(F.col(labels).alias("_labels"), *questions).unpivot(["_labels"], questions, "variable", "value")
-    inside = lambda c: F.coalesce(F.array_contains("_labels", c), F.lit(False))
+    named = sorted({c for pair in pairs for c in pair})
+    flag = {c: f"_in{i}" for i, c in enumerate(named)}
+    # one flag per cohort and user, before the melt repeats the row per question
+    flagged = wide.select(
+        *[F.coalesce(F.array_contains(labels, c), F.lit(False)).alias(flag[c]) for c in named], *questions
+    )
+    long = flagged.unpivot(list(flag.values()), questions, "variable", "value")
     aggs = []
     for i, (a, b) in enumerate(pairs):
+        in_a, in_b = F.col(flag[a]), F.col(flag[b])
         aggs += [
-            F.count_if(inside(a)).alias(f"_a{i}"),
-            F.count_if(inside(b)).alias(f"_b{i}"),
-            F.count_if(inside(a) | inside(b)).alias(f"_u{i}"),
+            F.count_if(in_a).alias(f"_a{i}"), F.count_if(in_b).alias(f"_b{i}"), F.count_if(in_a | in_b).alias(f"_u{i}")
         ]
     counted = long.groupBy("variable", "value").agg(*aggs)
     if clean is not None:
-        names = [c for c in counted.columns if c.startswith("_")]
-        cleaned = counted.withColumn("value", clean(F.col("value")))
-        counted = cleaned.groupBy("variable", "value").agg(*[F.sum(c).alias(c) for c in names])
+        sums = [F.sum(c).alias(c) for c in counted.columns[2:]]
+        counted = counted.withColumn("value", clean(F.col("value"))).groupBy("variable", "value").agg(*sums)
     counted = counted.filter(F.col("value").isNotNull())
     per_pair = F.array(
         *[

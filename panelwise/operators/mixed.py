@@ -71,31 +71,22 @@ class MixedFits:
 
     def user_effects(self) -> DataFrame:
         """``(model, user, effect)``: the predicted intercept of every user in the fit."""
-        effect = F.lit(None).cast("double")
+        cases = []
         for spec in self.specs:
             fit = self.fits[spec.name]
-            b = [float(x) for x in fit.coef]
-            q = len(spec.numeric)
-            left = F.col("s_y") - F.col("n") * b[0]
-            for j in range(q):
-                left = left - F.col(f"s_{j}") * b[1 + j]
-            for k in range(len(spec.levels) - 1):
-                left = left - F.col(f"d_{k}") * b[1 + q + k]
-            shrink = F.lit(fit.ratio) / (1.0 + F.col("n") * fit.ratio)
-            effect = F.when(F.col("model") == spec.name, shrink * left).otherwise(effect)
-        return self.user_sums.select("model", self.user, effect.alias("effect"))
+            sums = ["n", *[f"s_{j}" for j in range(len(spec.numeric))], *[f"d_{k}" for k in range(len(spec.levels) - 1)]]
+            expected = " + ".join(f"{c} * {_number(b)}" for c, b in zip(sums, fit.coef))
+            shrink = f"{_number(fit.ratio)} / (1 + n * {_number(fit.ratio)})"
+            cases.append((spec.name, f"{shrink} * (s_y - ({expected}))"))
+        return self.user_sums.select("model", self.user, _per_model(cases).alias("effect"))
 
     def fixed_part(self, spec: MixedSpec) -> Column:
         """Population prediction; null when a predictor is missing or its level is unknown."""
-        b = [float(x) for x in self.fits[spec.name].coef]
+        b = self.fits[spec.name].coef
         q = len(spec.numeric)
-        level = F.when(F.col(spec.factor) == spec.levels[0], F.lit(0.0))
-        for k, name in enumerate(spec.levels[1:]):
-            level = level.when(F.col(spec.factor) == name, F.lit(b[1 + q + k]))
-        result = F.lit(b[0]) + level
-        for j, column in enumerate(spec.numeric):
-            result = result + F.col(column) * b[1 + j]
-        return result
+        slopes = "".join(f" + `{c}` * {_number(x)}" for c, x in zip(spec.numeric, b[1:]))
+        steps = [F.lit(x) for k, name in enumerate(spec.levels) for x in (name, 0.0 if k == 0 else float(b[q + k]))]
+        return F.expr(_number(b[0]) + slopes) + F.create_map(*steps)[F.col(spec.factor)]
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``<model>__predicted``; users outside a fit get its population prediction.
@@ -115,22 +106,38 @@ class MixedFits:
         return df.join(wide, self.user, "left").select(*df.columns, *added)
 
 
-def model_rows(df: DataFrame, user: str, specs: list[MixedSpec]) -> DataFrame:
-    """Long form ``(model, user, level, x_0.., y)`` of the complete rows of every model."""
+def _number(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def _per_model(cases: list[tuple[str, str]]) -> Column:
+    """An SQL expression per model."""
+    chosen = F.when(F.col("model") == cases[0][0], F.expr(cases[0][1]))
+    for name, expression in cases[1:]:
+        chosen = chosen.when(F.col("model") == name, F.expr(expression))
+    return chosen
+
+
+def model_rows(
+    df: DataFrame, user: str, specs: list[MixedSpec], means: dict[str, list[float]] | None = None
+) -> DataFrame:
+    """Long form ``(model, user, level, x_0.., y)`` of the complete rows of every model.
+
+    With ``means`` (numeric terms, then the outcome) per model, x and y are differences from them.
+    """
     entries = []
     for spec in specs:
-        needed = F.col(user).isNotNull() & F.col(spec.factor).isin(spec.levels)
-        for column in [spec.outcome, *spec.numeric]:
-            needed = needed & F.col(column).isNotNull() & ~F.isnan(column)
+        columns = [*spec.numeric, spec.outcome]
+        shifts = means[spec.name] if means else [0.0] * len(columns)
+        complete = " AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in columns)
+        needed = F.expr(f"`{user}` IS NOT NULL AND {complete}") & F.col(spec.factor).isin(spec.levels)
         if spec.rows is not None:
             needed = needed & spec.rows
-        row = F.struct(
-            F.lit(spec.name).alias("model"), F.col(spec.factor).alias("level"),
-            *[F.col(c).cast("double").alias(f"x_{j}") for j, c in enumerate(spec.numeric)],
-            F.col(spec.outcome).cast("double").alias("y"),
-        )
-        entries.append(F.when(needed, row))
-    return df.select(user, F.inline(F.array_compact(F.array(*entries))))
+        names = [*[f"x_{j}" for j in range(len(spec.numeric))], "y"]
+        fields = ", ".join(f"`{c}` - {_number(m)} AS {name}" for c, m, name in zip(columns, shifts, names))
+        row = F.expr(f"struct(`{spec.factor}` AS level, {fields})")
+        entries.append(F.when(needed, F.struct(F.lit(spec.name).alias("model"), row.alias("row"))))
+    return df.select(user, F.inline(F.array_compact(F.array(*entries)))).select("model", user, "row.*")
 
 
 def user_moments(rows: DataFrame, user: str, terms: int, levels: list[str]) -> DataFrame:
@@ -143,40 +150,35 @@ def user_moments(rows: DataFrame, user: str, terms: int, levels: list[str]) -> D
     )
 
 
-def _by_model(values: dict[str, float]) -> Column:
-    pairs = [F.lit(x) for item in values.items() for x in item]
-    return F.create_map(*pairs)[F.col("model")]
-
-
 def fit_mixed(df: DataFrame, user: str, specs: list[MixedSpec]) -> MixedFits:
     """Fits all models; they must share the number of numeric terms and the factor levels."""
     terms, levels = len(specs[0].numeric), specs[0].levels
     if any(len(s.numeric) != terms or s.levels != levels for s in specs):
         raise ValueError("models fitted together need equally many numeric terms and the same levels")
-    rows = model_rows(df, user, specs)
-    sums = cut(user_moments(rows, user, terms, levels))
+    sums = cut(user_moments(model_rows(df, user, specs), user, terms, levels))
 
     columns = [*[f"s_{j}" for j in range(terms)], "s_y"]
     totals = {
         r["model"]: r
         for r in sums.groupBy("model")
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("users"), *[F.sum(c).alias(c) for c in columns])
+        .agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("users"), F.countDistinct("n").alias("sizes"),
+            *[F.sum(c).alias(c) for c in columns],
+        )
         .collect()
     }
     missing = [s.name for s in specs if s.name not in totals]
     if missing:
         raise ValueError(f"no complete rows for {missing}")
     means = {m: [r[c] / r["n"] for c in columns] for m, r in totals.items()}
-    centre = [_by_model({m: float(v[j]) for m, v in means.items()}) for j in range(terms + 1)]
-
-    grams = _grams(rows, specs, centre)
-    by_size = _between(sums, centre, terms, len(levels) - 1)
-    collected = by_size.limit(MAX_SIZES_ON_DRIVER + 1).collect()
+    grams = _grams(model_rows(df, user, specs, means), specs)
+    by_size = _between(sums, means, terms, len(levels) - 1)
     width = terms + len(levels) + 1
-    if len(collected) > MAX_SIZES_ON_DRIVER:
+    if sum(r["sizes"] for r in totals.values()) > MAX_SIZES_ON_DRIVER:
         by_size = cut(by_size)
         weigh = {s.name: _weigh_on_spark(by_size, s.name, grams[s.name], width) for s in specs}
     else:
+        collected = by_size.collect()
         weigh = {s.name: _weigh_here(collected, s.name, grams[s.name], width) for s in specs}
 
     fits, counts = {}, {}
@@ -188,22 +190,20 @@ def fit_mixed(df: DataFrame, user: str, specs: list[MixedSpec]) -> MixedFits:
     return MixedFits(user, specs, fits, counts, sums)
 
 
-def _grams(rows: DataFrame, specs: list[MixedSpec], centre: list[Column]) -> dict[str, np.ndarray]:
-    """Centred cross products per model, assembled from sums per factor level.
+def _grams(rows: DataFrame, specs: list[MixedSpec]) -> dict[str, np.ndarray]:
+    """Cross products of centred rows per model, assembled from sums per factor level.
 
     Grouping by level replaces all products with indicator columns; columns are 1, numeric, levels, y.
     """
     terms, levels = len(specs[0].numeric), specs[0].levels
-    names = [*[f"x_{j}" for j in range(terms)], "y"]
-    z = [F.col(c) - m for c, m in zip(names, centre)]
+    z = [*[f"x_{j}" for j in range(terms)], "y"]
     pairs = [(i, j) for i in range(terms + 1) for j in range(i, terms + 1)]
     summed = (
-        rows.select("model", "level", *[c.alias(f"z{i}") for i, c in enumerate(z)])
-        .groupBy("model", "level")
+        rows.groupBy("model", "level")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.sum(f"z{i}").alias(f"z{i}") for i in range(terms + 1)],
-            *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in pairs],
+            *[F.expr(f"sum({c}) AS z{i}") for i, c in enumerate(z)],
+            *[F.expr(f"sum({z[i]} * {z[j]}) AS p{i}_{j}") for i, j in pairs],
         )
         .collect()
     )
@@ -230,22 +230,21 @@ def _grams(rows: DataFrame, specs: list[MixedSpec], centre: list[Column]) -> dic
     return grams
 
 
-def _between(sums: DataFrame, centre: list[Column], terms: int, dummies: int) -> DataFrame:
+def _between(sums: DataFrame, means: dict[str, list[float]], terms: int, dummies: int) -> DataFrame:
     """Per (model, rows per user): number of users and products of the users' centred sums."""
-    n = F.col("n").cast("double")
-    columns = [
-        n,
-        *[F.col(f"s_{j}") - n * centre[j] for j in range(terms)],
-        *[F.col(f"d_{k}").cast("double") for k in range(dummies)],
-        F.col("s_y") - n * centre[terms],
+    centred = [
+        _per_model([(m, f"{c} - n * {_number(v[j])}") for m, v in means.items()])
+        for j, c in enumerate([*[f"s_{j}" for j in range(terms)], "s_y"])
     ]
+    dummy = [F.expr(f"double(d_{k})") for k in range(dummies)]
+    columns = [F.expr("double(n)"), *centred[:terms], *dummy, centred[terms]]
     width = len(columns)
     return (
         sums.select("model", "n", *[c.alias(f"c{i}") for i, c in enumerate(columns)])
         .groupBy("model", "n")
         .agg(
             F.count(F.lit(1)).alias("users"),
-            *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"b{i}_{j}") for i in range(width) for j in range(i, width)],
+            *[F.expr(f"sum(c{i} * c{j}) AS b{i}_{j}") for i in range(width) for j in range(i, width)],
         )
     )
 

@@ -6,7 +6,7 @@ sums give every slice its starting value. One group, however large, spreads over
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.numeric import total
@@ -16,7 +16,7 @@ from panelwise.session import cut
 def running_totals(df: DataFrame, order: list[str], values: list[str], by: list[str] = ()) -> DataFrame:
     """Adds ``<value>_upto``: the sum of ``value`` over rows at or before this one in its group.
 
-    ``order`` must be unique inside a group and keys must not be null.
+    ``order`` must be unique inside a group, and group keys must not be null.
     """
     by = list(by)
     # the slice numbers depend on sampled range borders, so they are written before they are used twice
@@ -36,13 +36,13 @@ def running_totals(df: DataFrame, order: list[str], values: list[str], by: list[
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """A global ``row_number`` over ``order``; rows with a null in ``order`` keep a null number."""
-    known = F.lit(True)
-    for column in order:
-        known = known & F.col(column).isNotNull()
-    ranked = running_totals(df.filter(known).withColumn("_one", F.lit(1).cast("long")), order, ["_one"])
-    ranked = ranked.drop("_one").withColumnRenamed("_one_upto", name)
-    return ranked.unionByName(df.filter(~known).withColumn(name, F.lit(None).cast("long")))
+    """A global ``row_number`` over ``order``; rows whose first order column is null get no number.
+
+    End ``order`` with a unique column: it keeps rows that share all other values spread over the slices.
+    """
+    ranked = F.col(order[0]).isNotNull()
+    upto = running_totals(df.withColumn("_one", F.when(ranked, 1).otherwise(0).cast("long")), order, ["_one"])
+    return upto.withColumn(name, F.when(ranked, F.col("_one_upto"))).select(*df.columns, name)
 
 
 def spread_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -79,9 +79,4 @@ def oriented_ranks(
     for label, offset in offsets.items():
         shift = F.when(F.col(cohort) == label, F.lit(offset)).otherwise(shift)
     moved = first.withColumn("_moved", -(F.col("_date_rank") + shift))
-    return row_numbers(moved, ["_moved", "_date_rank"], name).drop("_moved", "_date_rank")
-
-
-def first_by(value: Column, order: Column) -> Column:
-    """Value of the row with the smallest order, as an aggregate."""
-    return F.min_by(value, order)
+    return row_numbers(moved, ["_moved", "_date_rank", user], name).drop("_moved", "_date_rank")

@@ -42,7 +42,7 @@ def independent(gram: np.ndarray, tolerance: float = 1e-9) -> list[int]:
 
 
 def minimise(f: Callable[[np.ndarray], np.ndarray], low: float, high: float, points: int, rounds: int):
-    """Smallest value of a vectorised function: an even grid, narrowed around the best point each round."""
+    """Smallest value of a vectorised function: an even grid, then finer ones around the best point."""
     best = None
     for _ in range(rounds):
         grid = np.linspace(low, high, points)
@@ -51,7 +51,7 @@ def minimise(f: Callable[[np.ndarray], np.ndarray], low: float, high: float, poi
         if best is None or values[i] <= best[1]:
             best = (grid[i], values[i])
         step = grid[1] - grid[0]
-        low, high = best[0] - step, best[0] + step
+        low, high, points = best[0] - step, best[0] + step, 11
     return best
 
 

@@ -72,7 +72,7 @@ def fit_curves(
         .groupBy(*by, user)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.sum(f"b{k}").alias(f"c{k}") for k in range(width)],
+            *[F.expr(f"sum(b{k}) AS c{k}") for k in range(width)],
             F.sum(F.col("_y") - F.col("_shift")).alias(f"c{width}"),
         )
     )
@@ -81,7 +81,7 @@ def fit_curves(
         .agg(
             F.count(F.lit(1)).alias("users"),
             *[
-                F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}")
+                F.expr(f"sum(c{i} * c{j}) AS p{i}_{j}")
                 for i in range(width + 1)
                 for j in range(i, width + 1)
             ],

@@ -180,26 +180,27 @@ def _full_of(labels: str | Column = "labels") -> Column:
     return F.filter(labels, lambda label: label.startswith("All"))
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
-    return cohorts.membership(tv.participants(spark, d), USER, _labels())
+def _members(people: DataFrame) -> DataFrame:
+    return cohorts.membership(people, USER, _labels())
 
 
-def _labelled(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    return study.with_labels(rows, tv.participants(spark, d), USER, _labels())
+def _labelled(rows: DataFrame, people: DataFrame) -> DataFrame:
+    return study.with_labels(rows, people, USER, _labels())
 
 
 def cohort_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return cohorts.sizes(_members(spark, d), USER)
+    return cohorts.sizes(_members(tv.participants(spark, d)), USER)
 
 
 def semi_cohort(spark: SparkSession, d: str) -> DataFrame:
-    dense = _members(spark, d).filter(F.col("cohort_label") == "Dense alpha")
+    dense = _members(tv.participants(spark, d)).filter(F.col("cohort_label") == "Dense alpha")
     return cohorts.restrict(tv.events_survey(spark, d), dense, USER).select(USER, COHORT, "care_where")
 
 
 def anti_cohort(spark: SparkSession, d: str) -> DataFrame:
-    dense = cohorts.with_prefix(_members(spark, d), "Dense")
-    return cohorts.exclude(tv.participants(spark, d), dense, USER).select(USER, COHORT)
+    people = tv.participants(spark, d)
+    dense = cohorts.with_prefix(_members(people), "Dense")
+    return cohorts.exclude(people, dense, USER).select(USER, COHORT)
 
 
 def user_set_algebra(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +250,7 @@ def summary_count(spark: SparkSession, d: str) -> DataFrame:
 
 def care_summary(spark: SparkSession, d: str) -> DataFrame:
     clean = lambda a: recode(F.coalesce(a, F.lit("unavailable")), PLACE_NAMES)
-    counted = study.answer_counts(_labelled(_care(spark, d), spark, d), _full_of(), CARE, clean)
+    counted = study.answer_counts(_labelled(_care(spark, d), tv.participants(spark, d)), _full_of(), CARE, clean)
     order = reshape.last_wins(PLACE_NAMES.values(), ["Yes", "No", "Unavailable"])
     return study.ordered_summary(summary.summary_table(counted, ALL, "percent"), CARE, order)
 
@@ -300,26 +301,27 @@ def chi_square_dense(spark: SparkSession, d: str) -> DataFrame:
 
 def chi_square_care(spark: SparkSession, d: str) -> DataFrame:
     clean = lambda a: F.coalesce(a, F.lit("unavailable"))
-    return _tested(inference.chi_square(study.answer_counts(_labelled(_care(spark, d), spark, d), _full_of(), CARE, clean)))
+    return _tested(inference.chi_square(study.answer_counts(_labelled(_care(spark, d), tv.participants(spark, d)), _full_of(), CARE, clean)))
 
 
 def _symptom_counts(spark: SparkSession, d: str) -> DataFrame:
     clean = lambda a: F.coalesce(a, F.lit(""))
-    return study.answer_counts(_labelled(tv.events_survey(spark, d), spark, d), _full_of(), SYMPTOMS, clean)
+    return study.answer_counts(_labelled(tv.events_survey(spark, d), tv.participants(spark, d)), _full_of(), SYMPTOMS, clean)
 
 
 def chi_square_symptoms(spark: SparkSession, d: str) -> DataFrame:
     return _tested(inference.chi_square(study.pooled_presence(_symptom_counts(spark, d))))
 
 
-def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    return cohorts.sizes(_members(spark, d), USER)
+def _sizes(people: DataFrame) -> DataFrame:
+    return cohorts.sizes(_members(people), USER)
 
 
 def two_prop_z(spark: SparkSession, d: str) -> DataFrame:
-    people = tv.participants(spark, d).withColumn("labels", _labels())
+    people = tv.participants(spark, d)
+    rows = people.withColumn("labels", _labels())
     return _z_tested(
-        inference.two_proportions(people, "labels", PAIRS, _sizes(spark, d), QUESTIONS, clean=study.tidy_answer())
+        inference.two_proportions(rows, "labels", PAIRS, _sizes(people), QUESTIONS, clean=study.tidy_answer())
     )
 
 
@@ -333,14 +335,16 @@ def two_prop_z_dense(spark: SparkSession, d: str) -> DataFrame:
 
 def two_prop_z_care(spark: SparkSession, d: str) -> DataFrame:
     clean = lambda a: F.coalesce(a, F.lit("unavailable"))
-    rows = _labelled(_care(spark, d), spark, d)
-    return _z_tested(inference.two_proportions(rows, "labels", PAIRS, _sizes(spark, d), CARE, clean=clean))
+    people = tv.participants(spark, d)
+    rows = _labelled(_care(spark, d), people)
+    return _z_tested(inference.two_proportions(rows, "labels", PAIRS, _sizes(people), CARE, clean=clean))
 
 
 def two_prop_z_symptoms(spark: SparkSession, d: str) -> DataFrame:
     clean = lambda a: F.coalesce(a, F.lit(""))
-    rows = _labelled(tv.events_survey(spark, d), spark, d)
-    return _z_tested(inference.two_proportions(rows, "labels", PAIRS, _sizes(spark, d), SYMPTOMS, clean=clean))
+    people = tv.participants(spark, d)
+    rows = _labelled(tv.events_survey(spark, d), people)
+    return _z_tested(inference.two_proportions(rows, "labels", PAIRS, _sizes(people), SYMPTOMS, clean=clean))
 
 
 # --- symptoms --------------------------------------------------------------------------------------------

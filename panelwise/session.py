@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", app: str = "panelwise") -> SparkSessio
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
