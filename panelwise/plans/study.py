@@ -41,8 +41,12 @@ def ordered_summary(
 
 
 def care_location(answer: Column, known: list[str], joined: str = "__") -> Column:
-    """Several places become ``multiple``, unknown ones ``other``; the first rule that applies wins."""
-    cleaned = F.when(answer.contains(joined), "multiple").otherwise(answer)
+    """Several places become ``multiple``, unknown ones ``other``; the first rule that applies wins.
+
+    The question must have been answered: a missing answer stops the query.
+    """
+    missing = F.raise_error(F.lit("a care location is missing")).cast("string")
+    cleaned = F.when(answer.isNull(), missing).when(answer.contains(joined), "multiple").otherwise(answer)
     return F.when(cleaned.isin(known), cleaned).otherwise("other")
 
 
