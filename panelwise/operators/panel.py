@@ -94,11 +94,10 @@ def coverage_grid(
         .when(F.col("_day") == 0, missing_label)
         .when(F.col("_day") == 1, F.concat(F.col(cohort), F.lit(" observation")))
     )
-    long = (
-        df.filter(F.col(cohort).isNotNull())
-        .select(user, cohort, date, day, F.inline(per_channel))
-        .filter(F.col("_user") == 1)
-    )
-    return long.join(ranks, user, "left").select(
+    shown = df.filter(any_valid([f"valid_user__{c}" for c in channels]) & F.col(cohort).isNotNull())
+    # the rank is joined before a row becomes one row per channel
+    ranked = shown.join(ranks, user, "left")
+    long = ranked.select(user, cohort, date, day, "user_rank", F.inline(per_channel)).filter(F.col("_user") == 1)
+    return long.select(
         user, cohort, date, "user_rank", recode(F.col("channel"), names).alias("channel"), kind.alias("day_type")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.text import recode
 from panelwise.operators import cohorts, inference, mixed, panel, reshape, summary, timecourse
 from panelwise.plans import study
+from panelwise.session import cut
 from panelwise.sources import labels as text
 from panelwise.sources.schemas import BOWEL_FLAGS, CHANNELS, CONDITIONS, DEMOGRAPHICS, SYMPTOMS
 
@@ -190,7 +191,7 @@ def fit_activity(days: DataFrame) -> mixed.MixedFits:
 def activity_outputs(days: DataFrame, fits: mixed.MixedFits | None = None) -> DataFrame:
     """Predictions, imputed values, residuals and per-person z-scores for every participant-day."""
     known = days.drop("heart__imputed_z")
-    outputs = study.model_outputs(known, fits or fit_activity(days), CHANNELS)
+    outputs = cut(study.model_outputs(known, fits or fit_activity(days), CHANNELS))  # read twice for the z-scores
     return study.scored_outputs(outputs, USER, CHANNELS)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from panelwise.functions.numeric import ratio, row_total, total
 from panelwise.functions.text import last_part, recode
 from panelwise.operators import cohorts, inference, mixed, panel, ranking, reshape, summary, timecourse
 from panelwise.plans import study
-from panelwise.session import shared_dir
+from panelwise.session import cut, new_path
 from panelwise.sources import files
 from panelwise.sources import testviews as tv
 
@@ -53,7 +51,7 @@ def scan_csv(spark: SparkSession, d: str) -> DataFrame:
     rows = tv.events_survey(spark, d).select(
         USER, COHORT, "date_onset", "date_recovery", "care_where", "hospitalized", "symptoms__economy"
     )
-    path = f"{shared_dir(spark)}/scan_csv-{uuid.uuid4().hex}"
+    path = new_path(spark, "scan_csv")
     files.write_csv(rows, path)
     return files.read_csv(spark, path, rows.schema)
 
@@ -460,7 +458,7 @@ def _specs() -> list[mixed.MixedSpec]:
 
 def _fits(spark: SparkSession, d: str) -> tuple[DataFrame, mixed.MixedFits]:
     # the models pass over the panel several times, each time over a few columns
-    days = files.land(tv.activity_panel(spark, d), f"{shared_dir(spark)}/panel-{uuid.uuid4().hex}")
+    days = cut(tv.activity_panel(spark, d), USER)
     return days, mixed.fit_mixed(days, USER, _specs())
 
 
@@ -503,13 +501,13 @@ def residuals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zscore_imputed(spark: SparkSession, d: str) -> DataFrame:
-    scored = study.scored_outputs(_outputs(spark, d), USER, CHANNELS)
+    scored = study.scored_outputs(cut(_outputs(spark, d)), USER, CHANNELS)  # read for the statistics and the scores
     return scored.select(USER, "study_date", *[_r(f"{c}__imputed_z", places=4) for c in CHANNELS])
 
 
 def elevated_rate_imputed(spark: SparkSession, d: str) -> DataFrame:
     outputs = _outputs(spark, d).filter(F.col("valid_user__heart") == 1)
-    scored = panel.zscores(outputs.select(USER, COHORT, DAY, "heart__imputed"), USER, ["heart__imputed"])
+    scored = panel.zscores(cut(outputs.select(USER, COHORT, DAY, "heart__imputed")), USER, ["heart__imputed"])
     curve = timecourse.elevated_rate(scored, COHORT, DAY, USER, "heart__imputed_z", THRESHOLDS)
     return _rounded(curve, "share", "error_bar", "expected")
 

@@ -418,3 +418,21 @@ def test_csv_round_trip_and_missing_markers(spark, tmp_path):
 def test_declared_schemas_have_unique_columns():
     for schema in (schemas.EVENTS_SURVEY, schemas.DAILY_SYMPTOMS, schemas.PARTICIPANTS, schemas.ACTIVITY_PANEL):
         assert len(set(schema.names)) == len(schema.names)
+
+
+def test_zscores_with_one_user_holding_a_third_of_the_rows(spark):
+    random.seed(6)
+    rows = [("hot", random.gauss(0, 1)) for _ in range(2000)] + [(f"u{i % 400}", random.gauss(0, 1)) for i in range(4000)]
+    frame = pd.DataFrame(rows, columns=["user_id", "v"])
+    want = (frame["v"] - frame.groupby("user_id")["v"].transform("mean")) / frame.groupby("user_id")["v"].transform("std")
+    got = panel.zscores(spark.createDataFrame(rows, "user_id string, v double").repartition(8), "user_id", ["v"])
+    np.testing.assert_allclose(sorted(r["v_z"] for r in got.collect()), sorted(want))
+
+
+def test_cut_keeps_rows_and_clusters(spark):
+    from panelwise.session import cut
+
+    df = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    written = cut(df, "k")
+    assert rows_of(written, "k", "id") == rows_of(df, "k", "id")
+    assert written.schema.names == ["k", "id"]
