@@ -87,7 +87,7 @@ def two_proportions(
     if clean is not None:
         sums = [F.sum(c).alias(c) for c in counted.columns[2:]]
         counted = counted.withColumn("value", clean(F.col("value"))).groupBy("variable", "value").agg(*sums)
-    counted = counted.filter(F.col("value").isNotNull())
+    counted = cut(counted.filter(F.col("value").isNotNull()))  # short, and read for the totals and for the rows
     per_pair = F.array(
         *[
             F.struct(
@@ -170,15 +170,19 @@ def kernel_density(df: DataFrame, cohort: str, value: str, points: int = 200, re
     """
     known = df.filter(F.col(value).isNotNull() & F.col(cohort).isNotNull())
     x = F.col(value).cast("double")
-    stats = known.groupBy(cohort).agg(
-        F.count(F.lit(1)).alias("_n"), F.stddev_samp(x).alias("_sd"), F.min(x).alias("_low"), F.max(x).alias("_high")
+    counted = cut(known.groupBy(cohort, x.alias("_x")).agg(F.count(F.lit(1)).alias("_k")))
+    centre = counted.groupBy(cohort).agg(
+        F.sum("_k").alias("_n"), (F.sum(F.expr("_k * _x")) / F.sum("_k")).alias("_mean"),
+        F.min("_x").alias("_low"), F.max("_x").alias("_high"),
     )
-    width = F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2))
-    support = stats.select(
+    spread = counted.join(centre.select(cohort, "_mean"), cohort).groupBy(cohort).agg(
+        F.sum(F.expr("_k * (_x - _mean) * (_x - _mean)")).alias("_squares")
+    )
+    width = F.sqrt(F.try_divide(F.col("_squares"), F.col("_n") - 1)) * F.pow(F.col("_n"), F.lit(-0.2))
+    support = centre.join(spread, cohort).select(
         cohort, "_n", width.alias("_bw"), (F.col("_low") - reach * width).alias("_start"),
         ((F.col("_high") - F.col("_low") + 2 * reach * width) / (points - 1)).alias("_step"),
     ).filter(F.col("_bw") > 0)
-    counted = known.groupBy(cohort, x.alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
     at = F.col("_start") + F.col("point") * F.col("_step")
     u = (at - F.col("_x")) / F.col("_bw")
     kernel = F.col("_k") * F.exp(-u * u / 2.0)

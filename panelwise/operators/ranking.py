@@ -14,7 +14,7 @@ from panelwise.session import cut
 
 
 def running_totals(df: DataFrame, order: list[str], values: list[str], by: list[str] = ()) -> DataFrame:
-    """Adds ``<value>_upto``: the sum of ``value`` over rows at or before this one in its group.
+    """Adds ``<value>_upto``, the sum over rows at or before this one in its group, and the group sum ``<value>_all``.
 
     ``order`` must be unique inside a group, and group keys must not be null.
     """
@@ -26,12 +26,17 @@ def running_totals(df: DataFrame, order: list[str], values: list[str], by: list[
     starts = (
         sliced.groupBy(*keys)
         .agg(*[total(F.col(v)).alias(f"_{v}") for v in values])
-        .select(*keys, *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}_start") for v in values])
+        .select(
+            *keys,
+            *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}_start") for v in values],
+            *[F.sum(f"_{v}").over(Window.partitionBy(*by)).alias(f"{v}_all") for v in values],
+        )
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(v).over(inside).alias(f"_{v}_local") for v in values])
     return local.join(starts, keys).select(
-        *df.columns, *[(F.col(f"_{v}_start") + F.col(f"_{v}_local")).alias(f"{v}_upto") for v in values]
+        *df.columns, *[(F.col(f"_{v}_start") + F.col(f"_{v}_local")).alias(f"{v}_upto") for v in values],
+        *[f"{v}_all" for v in values],
     )
 
 
@@ -54,13 +59,11 @@ def spread_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
         df.dropna(subset=[*by, value]).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     )
     upto = running_totals(counted, [value], ["_n"], by)
-    sizes = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    low = F.floor((F.col("_size") + 1) / 2)
-    high = F.floor(F.col("_size") / 2) + 1
+    low = F.floor((F.col("_n_all") + 1) / 2)
+    high = F.floor(F.col("_n_all") / 2) + 1
     covers = lambda place: (F.col("_n_upto") >= place) & (F.col("_n_upto") - F.col("_n") < place)
     return (
-        upto.join(sizes, by)
-        .filter(covers(low) | covers(high))
+        upto.filter(covers(low) | covers(high))
         .groupBy(*by)
         .agg(((F.min(value) + F.max(value)) / 2.0).alias("median"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.numeric import any_true, ratio
 from panelwise.functions.text import count_percent_text, percent_text
 from panelwise.operators.ranking import spread_median
-from panelwise.operators.reshape import side_by_side
+from panelwise.session import cut
 
 
 def counts(
@@ -33,19 +33,20 @@ def counts(
 
 def with_share(counted: DataFrame, within: list[str]) -> DataFrame:
     """Adds the group size ``n_group`` and ``percent`` of it."""
+    counted = cut(counted)  # short, and read for the totals and for the rows
     totals = counted.groupBy(*within).agg(F.sum("n").alias("n_group"))
     joined = counted.join(totals, within)
     return joined.withColumn("percent", ratio(F.col("n") * 100, F.col("n_group")))
 
 
-def measure_column(measure: str) -> Column:
+def cell_text(measure: str, n: Column, percent: Column) -> Column:
     """Table cell: ``percent`` (12.5%), ``count`` (3 (12.5%)) or ``n`` (3)."""
     if measure == "percent":
-        return percent_text(F.col("percent"))
+        return percent_text(percent)
     if measure == "count":
-        return count_percent_text(F.col("n"), F.col("percent"))
+        return count_percent_text(n, percent)
     if measure == "n":
-        return F.col("n")
+        return n
     raise ValueError(f"unknown measure {measure!r}")
 
 
@@ -62,10 +63,15 @@ def summary_table(
     per answer.
     """
     shares = with_share(counted, [cohort, question])
-    cell = F.first(measure_column(measure))
-    return side_by_side(
-        shares, [question, response], cohort, cohorts, cell, EMPTY_CELL[measure] if fill else None
+    here = [F.col(cohort) == c for c in cohorts]
+    wide = shares.groupBy(question, response).agg(
+        *[F.max(F.when(at, F.col("n"))).alias(f"_n{i}") for i, at in enumerate(here)],
+        *[F.max(F.when(at, F.col("percent"))).alias(f"_p{i}") for i, at in enumerate(here)],
     )
+    cells = [cell_text(measure, F.col(f"_n{i}"), F.col(f"_p{i}")) for i in range(len(cohorts))]
+    if fill:
+        cells = [F.coalesce(cell, F.lit(EMPTY_CELL[measure])) for cell in cells]
+    return wide.select(question, response, *[cell.alias(c) for cell, c in zip(cells, cohorts)])
 
 
 def with_sizes(table: DataFrame, sizes: DataFrame, cohorts: list[str], label: str = "cohort_label") -> DataFrame:

@@ -19,13 +19,18 @@ def rolling_mean(value: Column, by: list[str], order: str, before: int, after: i
     return F.when(F.count(value).over(frame) == before + after + 1, F.avg(value).over(frame))
 
 
-def daily_totals(df: DataFrame, by: list[str], day: str, items: list[str]) -> DataFrame:
-    """Sum of every item per (by..., day) in long form ``(by..., day, variable, total)``.
+def daily_reports(df: DataFrame, by: list[str], day: str, items: list[str]) -> DataFrame:
+    """Rows and sum of every item per (by..., day), wide: the one pass over the participant-days."""
+    return (
+        df.dropna(subset=[*by, day])
+        .groupBy(*by, day)
+        .agg(F.count(F.lit(1)).alias("n_rows"), *[total(F.col(c)).cast("double").alias(c) for c in items])
+    )
 
-    Summed wide, then melted: the shuffle carries one row per group and day.
-    """
-    wide = df.dropna(subset=[*by, day]).groupBy(*by, day).agg(*[total(F.col(c)).cast("double").alias(c) for c in items])
-    return wide.unpivot([*by, day], items, "variable", "total")
+
+def daily_totals(reports: DataFrame, by: list[str], day: str, items: list[str]) -> DataFrame:
+    """``daily_reports`` in long form ``(by..., day, variable, total)``."""
+    return reports.unpivot([*by, day], items, "variable", "total")
 
 
 def peak_days(
@@ -42,14 +47,10 @@ def peak_days(
     )
 
 
-def prevalence(df: DataFrame, cohort: str, day: str, items: list[str]) -> DataFrame:
-    """Percent of all rows per (cohort, day) that report each item; missing reports count as none."""
-    wide = (
-        df.dropna(subset=[cohort, day])
-        .groupBy(cohort, day)
-        .agg(*[(F.avg(F.coalesce(c, F.lit(0.0))) * 100).alias(c) for c in items])
-    )
-    return wide.unpivot([cohort, day], items, "variable", "percent")
+def prevalence(reports: DataFrame, by: list[str], day: str, items: list[str]) -> DataFrame:
+    """Percent of all rows per (by..., day) that report each item; missing reports count as none."""
+    shares = [ratio(F.col(c) * 100, F.col("n_rows")).alias(c) for c in items]
+    return reports.select(*by, day, *shares).unpivot([*by, day], items, "variable", "percent")
 
 
 def elevated_rate(
@@ -71,23 +72,20 @@ def elevated_rate(
             *[F.count_if(above(F.col(z), t)).alias(k) for t, k in zip(thresholds, names)],
         )
     )
-    expected = [normal_upper(F.lit(float(t))) for t in thresholds]
+    smooth = wide.select(
+        cohort, day,
+        *[rolling_mean(ratio(F.col(k), F.col("_n")), [cohort], day, window - 1).alias(k) for k in names],
+    ).filter(F.col(day).between(first_day, last_day))
     per_threshold = F.array(
         *[
             F.struct(
-                F.lit(float(t)).alias("threshold"), ratio(F.col(k), F.col("_n")).alias("_share"),
-                e.alias("expected"),
+                F.lit(float(t)).alias("threshold"), F.col(k).alias("share"),
+                normal_upper(F.lit(float(t))).alias("expected"),
             )
-            for t, k, e in zip(thresholds, names, expected)
+            for t, k in zip(thresholds, names)
         ]
     )
     people = known.groupBy(cohort).agg(F.countDistinct(user).alias("n_users"))
-    share = rolling_mean(F.col("_share"), [cohort, "threshold"], day, window - 1)
-    curve = (
-        wide.select(cohort, day, F.inline(per_threshold))
-        .withColumn("share", share)
-        .filter(F.col(day).between(first_day, last_day))
-        .join(people, cohort)
-    )
+    curve = smooth.select(cohort, day, F.inline(per_threshold)).join(people, cohort)
     bar = F.sqrt(proportion_variance(F.col("share"), F.col("n_users"))) / 2
     return curve.select(cohort, day, "threshold", "n_users", "share", bar.alias("error_bar"), "expected")

@@ -121,7 +121,8 @@ def _symptom_counts(events: DataFrame, people: DataFrame) -> DataFrame:
 
 def symptoms(events: DataFrame, people: DataFrame, days: DataFrame) -> DataFrame:
     """Percent with each symptom and its peak day (centred five-row mean) per cohort."""
-    totals = timecourse.daily_totals(days, [COHORT], DAY, DAILY_COLUMNS)
+    reports = timecourse.daily_reports(days, [COHORT], DAY, DAILY_COLUMNS)
+    totals = timecourse.daily_totals(reports, [COHORT], DAY, DAILY_COLUMNS)
     peaks = timecourse.peak_days(totals, [COHORT], DAY, before=2, after=2)
     peaks = peaks.withColumn("variable", F.replace("variable", F.lit("daily_symp__"), F.lit("")))
     table = study.symptom_summary(_symptom_counts(events, people), peaks, dict(zip(FULL, text.COHORTS)), COHORT)

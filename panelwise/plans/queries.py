@@ -370,7 +370,8 @@ def symptom_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _peaks(spark: SparkSession, d: str) -> DataFrame:
-    totals = timecourse.daily_totals(tv.daily_symptoms(spark, d), [COHORT], DAY, ITEMS)
+    reports = timecourse.daily_reports(tv.daily_symptoms(spark, d), [COHORT], DAY, ITEMS)
+    totals = timecourse.daily_totals(reports, [COHORT], DAY, ITEMS)
     return timecourse.peak_days(totals, [COHORT], DAY, before=2, after=2)
 
 
@@ -379,7 +380,8 @@ def peak_day(spark: SparkSession, d: str) -> DataFrame:
 
 
 def peak_day_trailing(spark: SparkSession, d: str) -> DataFrame:
-    return study.item_order_by_peak(tv.daily_symptoms(spark, d), COHORT, DAY, ITEMS, "alpha")
+    alpha = tv.daily_symptoms(spark, d).filter(F.col(COHORT) == "alpha")
+    return study.order_by_peak(timecourse.daily_reports(alpha, [COHORT], DAY, ITEMS), COHORT, DAY, ITEMS, "alpha")
 
 
 def symptom_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.numeric import ratio, total
 from panelwise.functions.text import last_part, recode, title_case
 from panelwise.operators import cohorts, inference, mixed, panel, reshape, smooth, summary, timecourse
+from panelwise.session import cut
 
 UNAVAILABLE = "Unavailable"
 
@@ -68,7 +69,7 @@ def combination_counts(events: DataFrame, cohort: str, symptoms: list[str]) -> D
     flags = presence(events.filter(F.col(cohort).isNotNull()), [cohort], symptoms)
     counted = flags.groupBy(cohort, *symptoms).agg(F.count(F.lit(1)).alias("n"))
     items = F.array_compact(F.array(*[F.when(F.col(s), F.lit(last_name(s))) for s in symptoms]))
-    return counted.select(cohort, F.array_sort(items).alias("items"), "n")
+    return cut(counted.select(cohort, F.array_sort(items).alias("items"), "n"))
 
 
 def last_name(column: str) -> str:
@@ -165,21 +166,21 @@ def condition_table(
     sums = rows.groupBy("cohort_label").agg(
         F.count(F.lit(1)).alias("n_group"), *[F.count_if(F.col(c)).alias(c) for c in conditions]
     )
-    long = sums.unpivot(["cohort_label", "n_group"], conditions, "variable", "n").withColumn(
-        "percent", ratio(F.col("n") * 100, F.col("n_group"))
-    )
-    cell = summary.measure_column("count")
+    long = sums.unpivot(["cohort_label", "n_group"], conditions, "variable", "n")
+    here = [F.col("cohort_label") == c for c in labels]
     table = long.groupBy("variable").agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("cohort_label") == c, cell)), F.lit(summary.EMPTY_CELL["count"])).alias(c)
-            for c in labels
-        ],
-        F.max(F.when(F.col("cohort_label") == labels[0], F.col("n"))).alias("_first"),
+        *[F.max(F.when(at, F.col("n"))).alias(f"_n{i}") for i, at in enumerate(here)],
+        *[F.max(F.when(at, F.col("n_group"))).alias(f"_size{i}") for i, at in enumerate(here)],
         F.max("n").alias("_any"),
     )
-    shown = place_in_order(table.filter("_any > 0"), F.desc_nulls_last("_first"), F.asc("variable"))
+    shown = place_in_order(table.filter("_any > 0"), F.desc_nulls_last("_n0"), F.asc("variable"))
     readable = recode(F.replace(title_case(F.col("variable")), F.lit("_"), F.lit(" ")), names or {})
-    return shown.select(readable.alias("condition"), "position", *labels)
+    cells = [
+        summary.cell_text("count", F.col(f"_n{i}"), ratio(F.col(f"_n{i}") * 100, F.col(f"_size{i}")))
+        for i in range(len(labels))
+    ]
+    filled = [F.coalesce(cell, F.lit(summary.EMPTY_CELL["count"])).alias(c) for cell, c in zip(cells, labels)]
+    return shown.select(readable.alias("condition"), "position", *filled)
 
 
 def durations(events: DataFrame, start: str, end: str, name: str = "duration") -> DataFrame:
@@ -194,17 +195,21 @@ def prevalence_panels(
 
     A (cohort, day) without rows stays empty.
     """
-    order = item_order_by_peak(days, cohort, day, items, order_by)
-    long = timecourse.prevalence(days, cohort, day, items)
+    reports = cut(timecourse.daily_reports(days, [cohort], day, items))  # one row per cohort and day
+    order = order_by_peak(reports, cohort, day, items, order_by)
+    long = timecourse.prevalence(reports, [cohort], day, items)
     wide = long.groupBy("variable", day).agg(
         *[F.max(F.when(F.col(cohort) == c, F.col("percent"))).alias(c) for c in labels]
     )
     return wide.join(order.select("variable", "position"), "variable")
 
 
-def item_order_by_peak(days: DataFrame, cohort: str, day: str, items: list[str], which: str) -> DataFrame:
-    """Items by the day on which their trailing five-row mean is largest in one cohort, earliest first."""
-    totals = timecourse.daily_totals(days.filter(F.col(cohort) == which), [cohort], day, items)
+def order_by_peak(reports: DataFrame, cohort: str, day: str, items: list[str], which: str) -> DataFrame:
+    """Items by the day on which their trailing five-row mean is largest in one cohort, earliest first.
+
+    ``reports`` are the sums per (cohort, day) of ``timecourse.daily_reports``.
+    """
+    totals = timecourse.daily_totals(reports.filter(F.col(cohort) == which), [cohort], day, items)
     peaks = timecourse.peak_days(totals, [cohort], day, before=4, after=0)
     return place_in_order(peaks.select("variable", "peak_day"), F.asc_nulls_last("peak_day"), F.asc("variable"))
 

@@ -284,7 +284,8 @@ def test_rolling_means_match_pandas(spark):
 def test_peak_is_missing_when_never_reported_and_earliest_on_ties(spark):
     rows = [("c", d, 0.0 if d < 0 else 1.0, None) for d in range(-10, 11)]
     df = spark.createDataFrame(rows, "cohort string, d int, flat double, never double")
-    totals = timecourse.daily_totals(df, ["cohort"], "d", ["flat", "never"])
+    reports = timecourse.daily_reports(df, ["cohort"], "d", ["flat", "never"])
+    totals = timecourse.daily_totals(reports, ["cohort"], "d", ["flat", "never"])
     centred = {r["variable"]: r["peak_day"] for r in timecourse.peak_days(totals, ["cohort"], "d", 2, 2).collect()}
     trailing = {r["variable"]: r["peak_day"] for r in timecourse.peak_days(totals, ["cohort"], "d", 4, 0).collect()}
     assert centred == {"flat": 2, "never": None}
