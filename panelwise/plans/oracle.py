@@ -513,6 +513,35 @@ ranked AS (
         + _round(_two_sided("threshold") + " / 2")
         + " AS expected FROM smoothed JOIN people USING (cohort) WHERE days_since_onset BETWEEN -10 AND 20",
     ),
+    "impute_by_state": with_views(
+        "filled AS (SELECT user_id, study_date, "
+        + ", ".join(
+            f"CASE WHEN valid_user__{c} = 1 THEN coalesce({c}__observed, {STATE[c]} * {k}) END AS {c}__imputed, "
+            f"CASE WHEN valid_user__{c} = 1 AND (valid_day__{c} <> 1 OR {c}__observed IS NULL) THEN 1 ELSE 0 END "
+            f"AS {c}__was_imputed"
+            for c, k in (("steps", 1000.0), ("heart", 1.0), ("sleep", 60.0))
+        )
+        + " FROM activity_panel)",
+        "SELECT user_id, study_date, "
+        + ", ".join(
+            f"{c}__was_imputed, {_round(f'{c}__imputed', 5)} AS {c}__imputed, "
+            + _round(f"({c}__imputed - avg({c}__imputed) OVER w) / nullif(stddev_samp({c}__imputed) OVER w, 0)", 5)
+            + f" AS {c}__imputed_z"
+            for c in CHANNELS
+        )
+        + " FROM filled WINDOW w AS (PARTITION BY user_id)",
+    ),
+    "excess_by_state": with_views(
+        "excess AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{c}' AS channel, cohort, days_since_onset, {c}__observed - {STATE[c]} * {k} AS excess "
+            f"FROM activity_panel WHERE valid_user__{c} = 1 AND valid_day__{c} = 1"
+            for c, k in (("steps", 1000.0), ("sleep", 60.0))
+        )
+        + ")",
+        f"SELECT channel, cohort, days_since_onset, {_round('avg(excess)', 5)} AS mean_excess, count(excess) AS n_days "
+        "FROM excess WHERE days_since_onset BETWEEN -10 AND 20 GROUP BY 1, 2, 3",
+    ),
     "error_bars": with_views(
         "shares AS (SELECT cohort, days_since_onset, count(*) AS n, avg(valid_day__heart) AS share "
         "FROM activity_panel GROUP BY 1, 2)",

@@ -428,7 +428,8 @@ def valid_user_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def zscore_user(spark: SparkSession, d: str) -> DataFrame:
     columns = [f"{c}__observed" for c in CHANNELS]
-    scored = panel.zscores(tv.activity_panel(spark, d), USER, columns)
+    rows = cut(tv.activity_panel(spark, d).select(USER, "study_date", *columns))  # read for statistics and scores
+    scored = panel.zscores(rows, USER, columns)
     return scored.select(USER, "study_date", *[_r(f"{c}_z") for c in columns])
 
 
@@ -438,15 +439,18 @@ def user_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def coverage_grid(spark: SparkSession, d: str) -> DataFrame:
     names = {"heart": "RHR", "steps": "Steps", "sleep": "Sleep"}
+    flags = [*VALID, *[f"valid_day__{c}" for c in CHANNELS]]
+    rows = cut(tv.activity_panel(spark, d).select(USER, COHORT, "study_date", "date_onset", DAY, *flags))
     return panel.coverage_grid(
-        tv.activity_panel(spark, d), USER, COHORT, "study_date", "date_onset", DAY, CHANNELS, OFFSETS, names
+        rows, USER, COHORT, "study_date", "date_onset", DAY, CHANNELS, OFFSETS, names
     )
 
 
 def elevated_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: one pass over the panel, on the z-scores of the observed values."""
-    rows = tv.activity_panel(spark, d).filter(F.col("valid_user__heart") == 1)
-    scored = panel.zscores(rows.select(USER, COHORT, DAY, "heart__observed"), USER, ["heart__observed"])
+    """Flagship: all thresholds in one pass over the z-scores of the observed values."""
+    valid = tv.activity_panel(spark, d).filter(F.col("valid_user__heart") == 1)
+    rows = cut(valid.select(USER, COHORT, DAY, "heart__observed"))  # statistics, scores and users read it
+    scored = panel.zscores(rows, USER, ["heart__observed"])
     curve = timecourse.elevated_rate(scored, COHORT, DAY, USER, "heart__observed_z", THRESHOLDS)
     return _rounded(curve, "share", "error_bar", "expected")
 
@@ -524,6 +528,27 @@ def smooth_curve(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(study.excess_curves(long, USER, COHORT, DAY), "mean_y", "fit", "se", "low", "high", places=4)
 
 
+def _by_state(spark: SparkSession, d: str) -> DataFrame:
+    """Model outputs with the day's state mean in place of a fitted prediction: the same rules, checkable in SQL."""
+    scale = {"steps": 1000.0, "heart": 1.0, "sleep": 60.0}
+    means = {f"{c}{kind}__predicted": F.col(STATES[c]) * scale[c] for c in CHANNELS for kind in ("", "_bl")}
+    filled = mixed.impute(tv.activity_panel(spark, d).withColumns(means), CHANNELS)
+    return mixed.residuals(filled, {f"{c}__bl_resids": (f"{c}__observed", f"{c}_bl__predicted") for c in CHANNELS})
+
+
+def impute_by_state(spark: SparkSession, d: str) -> DataFrame:
+    columns = [f"{c}__imputed" for c in CHANNELS]
+    flags = [f"{c}__was_imputed" for c in CHANNELS]
+    rows = cut(_by_state(spark, d).select(USER, "study_date", *columns, *flags))
+    scored = panel.zscores(rows, USER, columns)
+    return _rounded(scored, *columns, *[f"{c}_z" for c in columns], places=5)
+
+
+def excess_by_state(spark: SparkSession, d: str) -> DataFrame:
+    long = study.excess_long(_by_state(spark, d), ["steps", "sleep"], [USER, COHORT], DAY)
+    return _rounded(study.excess_by_day(long, COHORT, DAY), "mean_excess", places=5)
+
+
 def spread_medians(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ranking.spread_median(tv.participants(spark, d), [COHORT], "balance"), "median", places=4)
 
@@ -548,6 +573,6 @@ QUERIES = {
         symptom_totals, top_symptoms, symptom_sets, peak_day, peak_day_trailing, symptom_summary, prevalence_by_day,
         duration_median, duration_density, rank_sum_pairs, valid_user_counts, zscore_user, user_rank, coverage_grid,
         elevated_rate, error_bars, spread_medians, lmm_user_sums, lmm_fit, lmm_predict, impute_values, residuals,
-        zscore_imputed, elevated_rate_imputed, excess_by_day, smooth_curve,
+        zscore_imputed, elevated_rate_imputed, excess_by_day, smooth_curve, impute_by_state, excess_by_state,
     ]
 }
