@@ -196,10 +196,6 @@ def kernel_density(df: DataFrame, cohort: str, value: str, points: int = 200, re
     )
 
 
-def bonferroni(comparisons: int, alpha: float = 0.05) -> Column:
-    return F.lit(alpha / comparisons)
-
-
 def proportion_variance(share: Column, n: Column) -> Column:
     """Variance of a proportion."""
     return ratio(share * (1 - share), n)

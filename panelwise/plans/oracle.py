@@ -26,10 +26,6 @@ def _list(names: list[str]) -> str:
     return ", ".join(names)
 
 
-def _any_of(labels: list[str]) -> str:
-    return ", ".join(f"'{x}'" for x in labels)
-
-
 def _erfc(x: str) -> str:
     """erfc(x) for x >= 0 to about 15 places: the all-positive series of erf."""
     terms = f"list_transform(range(0, 140), lambda i: exp((2 * i + 1) * ln({x}) - lgamma(i + 1.5) - {x} * {x}))"

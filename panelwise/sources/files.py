@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwise.functions.numeric import nan_to_null
+
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, missing: str = "NA", by_position: bool = True
@@ -27,7 +29,7 @@ def _clean(value, field: T.StructField):
     if isinstance(field.dataType, T.StringType):
         return F.nullif(value, F.lit(""))
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(value), value)
+        return nan_to_null(value)
     return value
 
 
