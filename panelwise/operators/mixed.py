@@ -150,6 +150,21 @@ def user_moments(rows: DataFrame, user: str, terms: int, levels: list[str]) -> D
     )
 
 
+def column_totals(sums: DataFrame, terms: int) -> dict:
+    """Per model: rows, users, distinct numbers of rows per user, and sums of the numeric columns and y."""
+    columns = [*[f"s_{j}" for j in range(terms)], "s_y"]
+    totals = sums.groupBy("model").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("users"), F.countDistinct("n").alias("sizes"),
+        *[F.sum(c).alias(c) for c in columns],
+    )
+    return {r["model"]: r for r in totals.collect()}
+
+
+def column_means(totals: dict, terms: int) -> dict[str, list[float]]:
+    columns = [*[f"s_{j}" for j in range(terms)], "s_y"]
+    return {m: [r[c] / r["n"] for c in columns] for m, r in totals.items()}
+
+
 def fit_mixed(df: DataFrame, user: str, specs: list[MixedSpec]) -> MixedFits:
     """Fits all models; they must share the number of numeric terms and the factor levels."""
     terms, levels = len(specs[0].numeric), specs[0].levels
@@ -157,22 +172,13 @@ def fit_mixed(df: DataFrame, user: str, specs: list[MixedSpec]) -> MixedFits:
         raise ValueError("models fitted together need equally many numeric terms and the same levels")
     sums = cut(user_moments(model_rows(df, user, specs), user, terms, levels))
 
-    columns = [*[f"s_{j}" for j in range(terms)], "s_y"]
-    totals = {
-        r["model"]: r
-        for r in sums.groupBy("model")
-        .agg(
-            F.sum("n").alias("n"), F.count(F.lit(1)).alias("users"), F.countDistinct("n").alias("sizes"),
-            *[F.sum(c).alias(c) for c in columns],
-        )
-        .collect()
-    }
+    totals = column_totals(sums, terms)
     missing = [s.name for s in specs if s.name not in totals]
     if missing:
         raise ValueError(f"no complete rows for {missing}")
-    means = {m: [r[c] / r["n"] for c in columns] for m, r in totals.items()}
+    means = column_means(totals, terms)
     grams = _grams(model_rows(df, user, specs, means), specs)
-    by_size = _between(sums, means, terms, len(levels) - 1)
+    by_size = size_products(sums, means, terms, len(levels) - 1)
     width = terms + len(levels) + 1
     if sum(r["sizes"] for r in totals.values()) > MAX_SIZES_ON_DRIVER:
         by_size = cut(by_size)
@@ -190,23 +196,24 @@ def fit_mixed(df: DataFrame, user: str, specs: list[MixedSpec]) -> MixedFits:
     return MixedFits(user, specs, fits, counts, sums)
 
 
+def level_products(rows: DataFrame, terms: int) -> DataFrame:
+    """Per (model, factor level): rows, sums ``z`` and products ``p`` of the (centred) numeric columns and y."""
+    z = [*[f"x_{j}" for j in range(terms)], "y"]
+    return rows.groupBy("model", "level").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.expr(f"sum({c}) AS z{i}") for i, c in enumerate(z)],
+        *[F.expr(f"sum({z[i]} * {z[j]}) AS p{i}_{j}") for i in range(terms + 1) for j in range(i, terms + 1)],
+    )
+
+
 def _grams(rows: DataFrame, specs: list[MixedSpec]) -> dict[str, np.ndarray]:
     """Cross products of centred rows per model, assembled from sums per factor level.
 
     Grouping by level replaces all products with indicator columns; columns are 1, numeric, levels, y.
     """
     terms, levels = len(specs[0].numeric), specs[0].levels
-    z = [*[f"x_{j}" for j in range(terms)], "y"]
     pairs = [(i, j) for i in range(terms + 1) for j in range(i, terms + 1)]
-    summed = (
-        rows.groupBy("model", "level")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.expr(f"sum({c}) AS z{i}") for i, c in enumerate(z)],
-            *[F.expr(f"sum({z[i]} * {z[j]}) AS p{i}_{j}") for i, j in pairs],
-        )
-        .collect()
-    )
+    summed = level_products(rows, terms).collect()
     width = terms + len(levels) + 1
     place = [*range(1, terms + 1), width - 1]
     grams = {spec.name: np.zeros((width, width)) for spec in specs}
@@ -230,7 +237,7 @@ def _grams(rows: DataFrame, specs: list[MixedSpec]) -> dict[str, np.ndarray]:
     return grams
 
 
-def _between(sums: DataFrame, means: dict[str, list[float]], terms: int, dummies: int) -> DataFrame:
+def size_products(sums: DataFrame, means: dict[str, list[float]], terms: int, dummies: int) -> DataFrame:
     """Per (model, rows per user): number of users and products of the users' centred sums."""
     centred = [
         _per_model([(m, f"{c} - n * {_number(v[j])}") for m, v in means.items()])

@@ -198,6 +198,21 @@ MODEL_ROWS = "model_rows AS (" + " UNION ALL ".join(
     for c in CHANNELS
 ) + ")"
 LATER_WEEKDAYS = ["Monday", "Saturday", "Sunday", "Thursday", "Tuesday", "Wednesday"]
+MODEL_COLUMNS = ["week_L", "week_Q", "week_C", "state", "y"]
+CENTRED = (
+    "centred AS (SELECT model, user_id, day_of_week, "
+    + ", ".join(f"{c} - avg({c}) OVER m AS x{i}" for i, c in enumerate(MODEL_COLUMNS))
+    + " FROM model_rows WINDOW m AS (PARTITION BY model))"
+)
+USER_CENTRED = (
+    "user_centred AS (SELECT model, user_id, count(*) AS n, count(*)::DOUBLE AS c0, "
+    + ", ".join(f"sum(x{i}) AS c{i + 1}" for i in range(4))
+    + ", "
+    + ", ".join(
+        f"count(CASE WHEN day_of_week = '{w}' THEN 1 END)::DOUBLE AS c{5 + k}" for k, w in enumerate(LATER_WEEKDAYS)
+    )
+    + ", sum(x4) AS c11 FROM centred GROUP BY 1, 2)"
+)
 RULES = " UNION ALL ".join(
     f"SELECT '{c}: {name}' AS rule, count(CASE WHEN {test} THEN 1 END) AS n_rows FROM unchecked_panel"
     for c in CHANNELS
@@ -509,6 +524,20 @@ ranked AS (
         + _round(_two_sided("threshold") + " / 2")
         + " AS expected FROM smoothed JOIN people USING (cohort) WHERE days_since_onset BETWEEN -10 AND 20",
     ),
+    "lmm_level_products": with_views(
+        MODEL_ROWS, CENTRED,
+        "SELECT model, day_of_week AS level, count(*) AS n, "
+        + ", ".join(_round(f"sum(x{i}) + 3e-8", 3) + f" AS z{i}" for i in range(5))
+        + ", "
+        + ", ".join(_round(f"sum(x{i} * x{j}) + 3e-8", 3) + f" AS p{i}_{j}" for i in range(5) for j in range(i, 5))
+        + " FROM centred GROUP BY 1, 2",
+    ),
+    "lmm_size_products": with_views(
+        MODEL_ROWS, CENTRED, USER_CENTRED,
+        "SELECT model, n, count(*) AS users, "
+        + ", ".join(_round(f"sum(c{i} * c{j}) + 3e-8", 4) + f" AS b{i}_{j}" for i in range(12) for j in range(i, 12))
+        + " FROM user_centred GROUP BY 1, 2",
+    ),
     "impute_by_state": with_views(
         "filled AS (SELECT user_id, study_date, "
         + ", ".join(

@@ -479,6 +479,29 @@ def lmm_user_sums(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(sums, *[f"s_{j}" for j in range(4)], "s_y", places=4)
 
 
+def _centred(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, list[float]]]:
+    days = cut(tv.activity_panel(spark, d), USER)
+    sums = cut(mixed.user_moments(mixed.model_rows(days, USER, _specs()), USER, 4, mixed.WEEKDAYS))
+    return days, sums, mixed.column_means(mixed.column_totals(sums, 4), 4)
+
+
+def _off_half(column: str, places: int) -> Column:
+    """Rounded after a tiny shift: products of two-decimal values often end in an exact half."""
+    return F.round(F.col(column) + 3e-8, places).alias(column)
+
+
+def lmm_level_products(spark: SparkSession, d: str) -> DataFrame:
+    days, _, means = _centred(spark, d)
+    products = mixed.level_products(mixed.model_rows(days, USER, _specs(), means), 4)
+    return products.select(*products.columns[:3], *[_off_half(c, 3) for c in products.columns[3:]])
+
+
+def lmm_size_products(spark: SparkSession, d: str) -> DataFrame:
+    _, sums, means = _centred(spark, d)
+    products = mixed.size_products(sums, means, 4, len(mixed.WEEKDAYS) - 1)
+    return products.select(*products.columns[:3], *[_off_half(c, 4) for c in products.columns[3:]])
+
+
 def lmm_fit(spark: SparkSession, d: str) -> DataFrame:
     _, fits = _fits(spark, d)
     table = fits.coefficients().join(fits.variances(), "model")
@@ -572,7 +595,8 @@ QUERIES = {
         chi_square_care, chi_square_symptoms, two_prop_z, two_prop_z_dense, two_prop_z_care, two_prop_z_symptoms,
         symptom_totals, top_symptoms, symptom_sets, peak_day, peak_day_trailing, symptom_summary, prevalence_by_day,
         duration_median, duration_density, rank_sum_pairs, valid_user_counts, zscore_user, user_rank, coverage_grid,
-        elevated_rate, error_bars, spread_medians, lmm_user_sums, lmm_fit, lmm_predict, impute_values, residuals,
+        elevated_rate, error_bars, spread_medians, lmm_user_sums, lmm_level_products,
+        lmm_size_products, lmm_fit, lmm_predict, impute_values, residuals,
         zscore_imputed, elevated_rate_imputed, excess_by_day, smooth_curve, impute_by_state, excess_by_state,
     ]
 }
