@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, packing, quality, sharding, token_counts, warc
+from panelwise.llm import bpe, context_tree, neardup, packing, quality, sharding, token_counts, warc
 from panelwise.llm.common import table
 from panelwise.llm.oracle import ORACLE
 from panelwise.session import new_path
@@ -27,10 +27,21 @@ def op3_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    found = neardup.find_groups(table(spark, d, "documents"), percent=85, keep=["doc_id"])
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), keep=["doc_id"], with_ids=False)
 
 
+def op7_context_tree(spark: SparkSession, d: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = context_tree.score(table(spark, d, "documents"), held_out=held_out, keep=["doc_id"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_warc(spark: SparkSession, d: str) -> DataFrame:
     archives, index = new_path(spark, "archives"), new_path(spark, "captures")
     warc.write_archives(table(spark, d, "pages"), archives)
@@ -49,7 +60,9 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_quality": op3_quality,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
+    "op7_context_tree": op7_context_tree,
     "op8_warc": op8_warc,
     "op10_shards": op10_shards,
 }
