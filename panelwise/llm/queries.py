@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, context_tree, neardup, packing, quality, sharding, token_counts, warc
+from panelwise.llm import bpe, context_tree, covertree, neardup, packing, quality, sharding, token_counts, warc
 from panelwise.llm.common import table
 from panelwise.llm.oracle import ORACLE
 from panelwise.session import new_path
@@ -50,6 +50,11 @@ def op8_warc(spark: SparkSession, d: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_top_k(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return covertree.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op10_shards(spark: SparkSession, d: str) -> DataFrame:
     return sharding.assign_shards(table(spark, d, "documents"), keep=["doc_id"])
 
@@ -64,5 +69,6 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_context_tree": op7_context_tree,
     "op8_warc": op8_warc,
+    "op9_top_k": op9_top_k,
     "op10_shards": op10_shards,
 }
