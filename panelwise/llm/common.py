@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwise.session import cut
+
 #: Bytes of text that a task handles at once; a longer text is handled alone.
 CHUNK_BYTES = 2 << 20
 
@@ -56,3 +58,25 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def lists(values: np.ndarray, borders: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(values, kind))
+
+
+def flat_lists(array: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column without nulls in one array, and the borders of its lists."""
+    offsets = array.offsets.to_numpy().astype(np.int64)
+    return array.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def places(borders: np.ndarray) -> np.ndarray:
+    """The place of every value in its own list."""
+    return np.arange(borders[-1]) - np.repeat(borders[:-1], np.diff(borders))
+
+
+def once(df: DataFrame, *cluster_by: str) -> DataFrame:
+    """A lineage cut whose shuffle files go as soon as the rows are written; nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return cut(df, *cluster_by)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)

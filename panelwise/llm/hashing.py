@@ -37,7 +37,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _letters(seed: int) -> np.ndarray:
-    return mix(np.arange(256, dtype=np.uint64) + np.uint64(1 + 1000 * seed) * np.uint64(_BASE))
+    return mix(np.arange(256, dtype=np.uint64) + np.uint64((1 + 1000 * seed) * _BASE % (1 << 64)))
 
 
 class Slices:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, context_tree, covertree, neardup, packing, quality, sharding, token_counts, warc
+from panelwise.llm import bpe, context_tree, covertree, neardup, packing, quality, sharding, substrings, token_counts, warc
 from panelwise.llm.common import table
 from panelwise.llm.oracle import ORACLE
 from panelwise.session import new_path
@@ -27,6 +27,10 @@ def op3_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op4_repeated_strings(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, d, "documents"), keep=["doc_id"], with_text=False)
+
+
 def op5_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     found = neardup.find_groups(table(spark, d, "documents"), percent=85, keep=["doc_id"])
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -65,6 +69,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_quality": op3_quality,
+    "op4_repeated_strings": op4_repeated_strings,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
     "op7_context_tree": op7_context_tree,
