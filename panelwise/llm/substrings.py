@@ -301,14 +301,24 @@ def united(spans: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def _inside_characters(pairs: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The runs without the rests of characters that begin before them or end behind them."""
+    begins = np.flatnonzero(np.append((data & 0xC0) != 0x80, True))
+    first = begins[np.searchsorted(begins, pairs[:, 0])]
+    last = begins[np.searchsorted(begins, pairs[:, 1], side="right") - 1]
+    return np.stack([first, last], axis=1)[first < last]
+
+
 def remove_repeats(
-    docs: DataFrame, text: str = "text", length: int = 400, keep: list[str] | None = None, with_text: bool = True
+    docs: DataFrame, text: str = "text", length: int = 400, keep: list[str] | None = None, with_text: bool = True,
+    whole_characters: bool = False,
 ) -> DataFrame:
     """``docs`` (all columns, or those in ``keep``) plus ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and with
     ``with_text`` also ``kept_bytes``, the bytes that remain, and ``spans``, starts and ends of the removed runs.
 
     A byte is removed if it lies in a string of ``length`` bytes that also starts at another place, of this text or another;
-    all are judged on the input, so every copy of a repeated string goes. Matches stay inside a text. A null text is
+    all are judged on the input, so every copy of a repeated string goes. With ``whole_characters``, UTF-8 characters
+    that such a run cuts in two stay whole. Matches stay inside a text. A null text is
     empty; nothing is removed from it or from texts shorter than ``length``. Columns of ``docs`` with the new names are
     replaced; an empty table gives an empty result.
     """
@@ -328,6 +338,8 @@ def remove_repeats(
             out = []
             for row, data in _texts(batch, "_data"):
                 pairs = united(spans[borders[row]:borders[row + 1]])
+                if whole_characters:
+                    pairs = _inside_characters(pairs, data)
                 gone = np.zeros(len(data) + 1, np.int64)
                 gone[pairs[:, 0]] += 1
                 gone[pairs[:, 1]] -= 1
