@@ -71,12 +71,21 @@ def places(borders: np.ndarray) -> np.ndarray:
     return np.arange(borders[-1]) - np.repeat(borders[:-1], np.diff(borders))
 
 
+#: While a cut is written: shuffle files go as soon as its rows are there, and Python gets batches of few rows.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
+
+
 def once(df: DataFrame, *cluster_by: str) -> DataFrame:
-    """A lineage cut whose shuffle files go as soon as the rows are written; nothing reads them again."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
+    """A lineage cut that holds little disk and memory while it is written; the session's settings are put back."""
+    conf = df.sparkSession.conf
+    before = {key: conf.get(key, None) for key in _WHILE_WRITING}
+    for key, value in _WHILE_WRITING.items():
+        conf.set(key, value)
     try:
         return cut(df, *cluster_by)
     finally:
-        conf.unset(key) if before is None else conf.set(key, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)

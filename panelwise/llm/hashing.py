@@ -41,12 +41,12 @@ def _letters(seed: int) -> np.ndarray:
 
 
 class Slices:
-    """Hashes of slices of one buffer."""
+    """Hashes of slices of one buffer; ``values`` are the numbers of its elements, for bytes given by the seed."""
 
-    def __init__(self, data: np.ndarray, seed: int = 0):
+    def __init__(self, data: np.ndarray, seed: int = 0, values: np.ndarray | None = None):
         up, self._down = _powers(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_letters(seed)[data] * up[: len(data)], out=self._sums[1:])
+        np.cumsum((_letters(seed) if values is None else values)[data] * up[: len(data)], out=self._sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         raw = (self._sums[stop] - self._sums[start]) * self._down[start]

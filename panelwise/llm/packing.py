@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.llm import tokenizing
-from panelwise.llm.common import rows, utf8
-from panelwise.session import cut
+from panelwise.llm.common import once, rows, utf8
 
 REST = 0
 
@@ -115,11 +114,11 @@ def pack(
     kind = "<u2" if narrow else "<u4"
 
     def encode(batches):
-        pieces, given, part = tokenizing.pieces_of(path, words=True), {}, TaskContext.get().partitionId()
-        for batch in rows(batches, "_text"):
+        words, given, part = tokenizing.words_of(path), {}, TaskContext.get().partitionId()
+        for batch in rows(batches, "_text", 1 << 20):
             ids, sizes, lines, before = [], [], [], []
-            for value, name in zip(batch.column("_text"), batch.column("_by").to_pylist()):
-                raw = np.frombuffer(pieces.ids(tokenizing.text_of(value.as_py())), "<u4")
+            texts = [tokenizing.text_of(t.as_py()) for t in batch.column("_text")]
+            for raw, name in zip(words.ids(texts), batch.column("_by").to_pylist()):
                 queue = number.get(name, REST)
                 ids.append(np.append(raw, end).astype(kind).tobytes())
                 sizes.append(len(raw) + 1)
@@ -137,12 +136,12 @@ def pack(
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in kept], utf8(text).alias("_text"), named.alias("_by"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema if f.name not in ("_text", "_by"))
-    encoded = cut(
+    encoded = once(
         chosen.mapInArrow(encode, f"{fields}_ids binary, doc_tokens long, _queue int, _part int, _before long")
     )
     sums = encoded.groupBy("_queue", "_part").agg(F.sum("doc_tokens").alias("_tokens"))
     earlier = Window.partitionBy("_queue").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(sums.withColumn("_start", F.coalesce(F.sum("_tokens").over(earlier), F.lit(0))))
+    starts = once(sums.withColumn("_start", F.coalesce(F.sum("_tokens").over(earlier), F.lit(0))))
     # at most queues + 1 rows
     sizes = {r["_queue"]: r["n"] for r in starts.groupBy("_queue").agg(F.sum("_tokens").alias("n")).collect()}
     tokens = [sizes.get(q, 0) for q in range(len(number) + 1)]
