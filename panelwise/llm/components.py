@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.session import cut
+from panelwise.llm.common import once
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,7 +15,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the longest path. Smallest neighbours are partial minima, and they are written before they are joined
     back, so that the join can split a node with very many links. Links to itself and repeated links do not count.
     """
-    links = cut(
+    links = once(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     )
     state = _state(links)
@@ -42,7 +42,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         sides = links.union(links.select("v", "u"))
     else:
         sides = links
-    nearest = cut(sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+    nearest = once(sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     joined = sides.join(nearest, "u")
     if large:  # neighbours above u go to u's smallest neighbour
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -50,4 +50,4 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             nearest.select("u", F.col("m").alias("v"))
         )
-    return cut(moved.filter("u <> v").distinct())
+    return once(moved.filter("u <> v").distinct())

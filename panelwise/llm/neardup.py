@@ -19,9 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm import hashing
-from panelwise.llm.common import flat, lists, rows, utf8
+from panelwise.llm.common import flat, lists, once, rows, utf8
 from panelwise.llm.components import connected_components
-from panelwise.session import cut
 
 WORDS = 5
 #: Document ids that are sent to all tasks at most; beyond that the ids are joined by a shuffle.
@@ -84,18 +83,22 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
 
 
 def _inverted(values: DataFrame, share: Column) -> DataFrame:
-    """``value``, ``rep``, ``n`` for the rarest values of each set that others hold too.
+    """``value``, ``rep``, ``n`` for the rarest values of each set that others hold too; ``alone`` is how many values it
+    holds alone, ``front`` the rarest others, ``at`` the value's place there.
 
     ``values`` has ``rep``, ``n``, ``held`` (values it brings) and ``value``; ``share`` is the least number that linked
     sets have in common. Values of one set alone are the rarest, so they only use up places.
     """
-    common = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    common = once(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     by_rep = values.join(common, "value").groupBy("rep", "n", "held").agg(
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found")
     )
-    places = F.col("held") - share + 1 - (F.col("held") - F.size("found"))
-    front = by_rep.filter(places > 0).select("rep", "n", F.explode(F.slice("found", F.lit(1), places.cast("int"))).alias("f"))
-    return front.select(F.col("f.value").alias("value"), "rep", "n")
+    places = F.greatest(F.size("found") - share + 1, F.lit(0))
+    front = by_rep.filter(places > 0).select(
+        "rep", "n", (F.col("held") - F.size("found")).alias("alone"),
+        F.transform(F.slice("found", F.lit(1), places.cast("int")), lambda f: f["value"]).alias("front"),
+    )
+    return front.select("rep", "n", "alone", "front", F.posexplode("front").alias("at", "value"))
 
 
 def _estimate_filter(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -115,7 +118,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, together: int = 25
     A leader ``a`` meets its partners as a sorted stream, so a task holds one leader's set at a time; a leader with
     many partners is split into parts of about ``together``.
     """
-    counts = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).alias("parts")))
+    counts = once(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).alias("parts")))
     parted = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     partners = parted.join(sets, F.col("b") == F.col("rep")).select("a", "part", F.lit(1).alias("side"), "b", "members")
     leaders = parted.select("a", "part").distinct().join(sets, F.col("a") == F.col("rep")).select(
@@ -141,11 +144,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, together: int = 25
                 [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
             )
 
-    return cut(stream.mapInArrow(compare, "a long, b long"))
+    return once(stream.mapInArrow(compare, "a long, b long"))
 
 
 def find_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, k: int = 64, rounds: int = 2,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, k: int = 64, rounds: int = 1,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` (all columns, or those in ``keep``) plus ``n_shingles``, ``component_id``, ``kept`` and ``repeated``.
@@ -179,13 +182,13 @@ def find_groups(
         *[F.col(f"`{c}`") for c in carried], F.col(f"`{doc_id}`").cast("long").alias("_id"), utf8(text).alias("_text")
     )
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema if f.name != "_text")
-    marked = cut(
+    marked = once(
         chosen.mapInArrow(sketch, fields + "_n int, _d1 long, _d2 long, _sketch array<long>")
         .withColumn("_row", F.monotonically_increasing_id())
     )
     spark = docs.sparkSession
     known = marked.filter("_n > 0 and _id is not null")
-    reps = cut(
+    reps = once(
         known.groupBy("_n", "_d1", "_d2").agg(F.min("_id").alias("rep"), F.first("_sketch").alias("sketch"))
         .withColumnRenamed("_n", "n")
     )
@@ -195,11 +198,11 @@ def find_groups(
 
     ask = F.element_at(F.array(*[F.lit(t) for t in needed(k, percent)]), F.least(F.col("n"), F.lit(2000)) + 1)
     values = reps.select("rep", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
-    entries = cut(_inverted(values, ask))
+    entries = once(_inverted(values, ask).select("value", "rep", "n"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("value")
-    entries = cut(entries.join(shared, "value"))
+    entries = once(entries.join(shared, "value"))
 
-    active = cut(entries.select("rep").distinct())
+    active = once(entries.select("rep").distinct())
     number = active.count()
     ids = F.broadcast(active) if number <= SENT_IDS else active
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), utf8(text).alias("_text")).join(ids, "rep", "left_semi")
@@ -214,7 +217,7 @@ def find_groups(
 
     every = texts.mapInArrow(full_sets, "rep long, size int, members binary")
     # an id may have rows with other sets than the one it stands for
-    sets = cut(
+    sets = once(
         every.join(reps.select(F.col("rep").alias("rep"), F.col("n").alias("size")), ["rep", "size"], "left_semi")
         .dropDuplicates(["rep"])
     )
@@ -228,14 +231,14 @@ def find_groups(
         ).filter("low <> high").select(
             "value", F.col("leader.rep").alias("a"), F.col("leader.n").alias("na"), F.col("leader.part").alias("pa")
         )
-        pairs = placed.join(cut(leaders), "value").filter(
+        pairs = placed.join(once(leaders), "value").filter(
             (F.col("pa") != F.col("part")) & _similar_sizes(F.col("n"), F.col("na"), percent)
         ).select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
-        found = _confirm(cut(_estimate_filter(pairs, reps, k, percent)), sets, percent)
+        found = _confirm(once(_estimate_filter(pairs, reps, k, percent)), sets, percent)
         edges = found if edges is None else edges.union(found)
-        parts = cut(connected_components(edges))
+        parts = once(connected_components(edges))
 
-    placed = cut(_with_parts(entries, parts))
+    placed = once(_with_parts(entries, parts))
     open_lists = placed.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
     rest = placed.join(open_lists, "value", "left_semi").select("rep", "part").distinct()
 
@@ -250,16 +253,22 @@ def find_groups(
             )
 
     held = sets.join(rest, "rep").select("rep", "part", F.col("size").alias("n"), "members")
-    full = cut(held.mapInArrow(spread, "rep long, part long, n int, value long")).withColumn("held", F.col("n"))
+    full = once(held.mapInArrow(spread, "rep long, part long, n int, value long")).withColumn("held", F.col("n"))
     tight = _inverted(full.select("rep", "n", "held", "value"), F.ceil(percent * F.col("n") / 100)).join(rest, "rep")
-    tight = cut(tight)
-    left = tight.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = tight.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    pairs = left.join(right, "value").filter(
-        (F.col("pa") < F.col("pb")) & _similar_sizes(F.col("na"), F.col("nb"), percent)
-    ).select("a", "b").distinct()
-    edges = edges.union(_confirm(cut(pairs), sets, percent))
-    final = cut(connected_components(edges))
+    tight = once(tight)
+    side = lambda x: tight.select(
+        "value", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"),
+        (F.col("n") - F.col("alone") - F.col("at")).alias(f"left{x}"), F.slice("front", F.lit(1), F.col("at")).alias(f"f{x}"),
+    )
+    # a pair meets at its rarest common value only, and only if enough is left behind it in both sets
+    both = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    pairs = side("a").withColumnRenamed("value", "va").join(
+        side("b"),
+        (F.col("va") == F.col("value")) & (F.col("pa") < F.col("pb")) & _similar_sizes(F.col("na"), F.col("nb"), percent)
+        & (F.col("lefta") >= both) & (F.col("leftb") >= both) & ~F.arrays_overlap("fa", "fb"),
+    ).select("a", "b")
+    edges = edges.union(_confirm(once(pairs), sets, percent))
+    final = once(connected_components(edges))
 
     # a component is named by its smallest representative, which is its smallest id
     narrow = marked.select("_row", "_id", F.col("_n").alias("n"), "_d1", "_d2")
