@@ -123,19 +123,25 @@ def model_rows(
 ) -> DataFrame:
     """Long form ``(model, user, level, x_0.., y)`` of the complete rows of every model.
 
-    With ``means`` (numeric terms, then the outcome) per model, x and y are differences from them.
+    With ``means`` (numeric terms, then the outcome) per model, x and y are differences from them. A complete row
+    whose factor is none of the model's levels is an error, not left out.
     """
     entries = []
     for spec in specs:
         columns = [*spec.numeric, spec.outcome]
         shifts = means[spec.name] if means else [0.0] * len(columns)
         complete = " AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in columns)
-        needed = F.expr(f"`{user}` IS NOT NULL AND {complete}") & F.col(spec.factor).isin(spec.levels)
+        needed = F.expr(f"`{user}` IS NOT NULL AND {complete}") & F.col(spec.factor).isNotNull()
         if spec.rows is not None:
             needed = needed & spec.rows
         names = [*[f"x_{j}" for j in range(len(spec.numeric))], "y"]
         fields = ", ".join(f"`{c}` - {_number(m)} AS {name}" for c, m, name in zip(columns, shifts, names))
-        row = F.expr(f"struct(`{spec.factor}` AS level, {fields})")
+        known = ", ".join("'" + level.replace("\\", "\\\\").replace("'", "\\'") + "'" for level in spec.levels)
+        level = (
+            f"CASE WHEN `{spec.factor}` IN ({known}) THEN `{spec.factor}` "
+            f"ELSE raise_error(concat('unknown level of {spec.factor}: ', `{spec.factor}`)) END"
+        )
+        row = F.expr(f"struct({level} AS level, {fields})")
         entries.append(F.when(needed, F.struct(F.lit(spec.name).alias("model"), row.alias("row"))))
     return df.select(user, F.inline(F.array_compact(F.array(*entries)))).select("model", user, "row.*")
 

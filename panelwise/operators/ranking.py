@@ -70,16 +70,18 @@ def spread_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def oriented_ranks(
-    df: DataFrame, user: str, date: str, cohort: str, offsets: dict[str, int | None], name: str = "user_rank"
+    df: DataFrame, user: str, date: str, cohort: str, offsets: dict[str, int], name: str = "user_rank"
 ) -> DataFrame:
-    """Users ranked by date, then re-ranked in reverse inside blocks given by cohort offsets.
+    """Users in blocks by cohort, inside a block from the latest date rank to the first.
 
-    The date rank ``r`` becomes ``-(offset + r)`` with 0 for cohorts that are not listed; blocks interleave
-    when an offset is smaller than the number of users, so pass offsets sized to the data for clean blocks.
+    Cohorts with larger ``offsets`` come first, those that are not listed (offset 0) last. Only the order of the
+    offsets counts, so blocks stay apart for any number of users. Users without a date get no rank.
     """
     first = row_numbers(df, [date, user], "_date_rank")
-    shift = F.lit(0)
+    block = F.lit(0)
     for label, offset in offsets.items():
-        shift = F.when(F.col(cohort) == label, F.lit(offset)).otherwise(shift)
-    moved = first.withColumn("_moved", -(F.col("_date_rank") + shift))
-    return row_numbers(moved, ["_moved", "_date_rank", user], name).drop("_moved", "_date_rank")
+        block = F.when(F.col(cohort) == label, F.lit(-offset)).otherwise(block)
+    placed = first.withColumns({
+        "_block": F.when(F.col("_date_rank").isNotNull(), block), "_back": -F.col("_date_rank"),
+    })
+    return row_numbers(placed, ["_block", "_back", user], name).drop("_block", "_back", "_date_rank")

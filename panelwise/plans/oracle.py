@@ -239,6 +239,7 @@ ORACLE = {
     "scan_csv": with_views(
         "SELECT user_id, cohort, date_onset, date_recovery, care_where, hospitalized, symptoms__economy FROM survey"
     ),
+    "scan_csv_by_name": with_views("SELECT user_id, cohort, date_onset, care_where, hospitalized FROM survey"),
     "preview": with_views(
         "(SELECT user_id, cohort, area, segment, 'head' AS part FROM participants ORDER BY user_id LIMIT 5) UNION ALL "
         "(SELECT user_id, cohort, area, segment, 'tail' FROM participants ORDER BY user_id DESC LIMIT 5)"

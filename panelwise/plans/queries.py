@@ -56,6 +56,14 @@ def scan_csv(spark: SparkSession, d: str) -> DataFrame:
     return files.read_csv(spark, path, rows.schema)
 
 
+def scan_csv_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """The columns stand in another order in the file."""
+    rows = tv.events_survey(spark, d).select(USER, COHORT, "date_onset", "care_where", "hospitalized")
+    path = new_path(spark, "scan_csv_by_name")
+    files.write_csv(rows.select(*reversed(rows.columns)), path)
+    return files.read_csv(spark, path, rows.schema)
+
+
 def preview(spark: SparkSession, d: str) -> DataFrame:
     rows = tv.participants(spark, d).select(USER, COHORT, "area", "segment")
     first, last = files.first_rows(rows, [USER]), files.last_rows(rows, [USER])
@@ -587,7 +595,7 @@ def error_bars(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        scan_csv, preview, select_cols, select_pattern, rename_map, recode_labels, filter_eq, filter_in, null_flags,
+        scan_csv, scan_csv_by_name, preview, select_cols, select_pattern, rename_map, recode_labels, filter_eq, filter_in, null_flags,
         filter_range, filter_compare, filter_any_flag, fill_nulls, dense_users, care_location_clean,
         panel_consistency, melt_long, split_name, pivot_cohort, cohort_sizes, semi_cohort, anti_cohort,
         user_set_algebra, distinct_users, summary_percent, summary_ordered, summary_count, care_summary,

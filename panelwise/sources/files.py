@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,27 +10,36 @@ from panelwise.functions.numeric import nan_to_null
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, missing: str = "NA", by_position: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, missing: str | list[str] = "NA", by_position: bool = False
 ) -> DataFrame:
     """Read (gzip) CSV with a header into the declared types.
 
-    Empty text, the marker ``missing`` and NaN all become null. The header is matched by name when
-    ``by_position`` is false: the columns are read as text and cast, so the file order does not matter.
+    Columns are found by their header, whatever their order in the file; with ``by_position`` the header's names do not
+    count, but the number of columns must agree. Empty text, the markers in ``missing`` and NaN become null. Whole
+    numbers may be written like ``1.0``. A value that its type cannot hold, and a malformed row, is an error.
     """
-    reader = spark.read.option("header", True).option("nullValue", missing).option("emptyValue", "")
+    markers = [missing] if isinstance(missing, str) else list(missing)
+    raw = spark.read.option("header", True).option("emptyValue", "").option("mode", "FAILFAST").csv(path)
     if by_position:
-        raw = reader.schema(schema).csv(path)
-    else:
-        raw = reader.csv(path)
-    return raw.select(*[_clean(F.col(f"`{f.name}`").cast(f.dataType), f).alias(f.name) for f in schema.fields])
+        if len(raw.columns) != len(schema.fields):
+            raise ValueError(f"{len(raw.columns)} columns in the file, {len(schema.fields)} declared")
+        raw = raw.toDF(*schema.names)
+    return raw.select(*[_clean(F.col(f"`{f.name}`"), f, markers).alias(f.name) for f in schema.fields])
 
 
-def _clean(value, field: T.StructField):
+def _clean(text: Column, field: T.StructField, markers: list[str]) -> Column:
+    known = F.when(~text.isin("", *markers), text)
     if isinstance(field.dataType, T.StringType):
-        return F.nullif(value, F.lit(""))
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        return nan_to_null(value)
-    return value
+        return known
+    if isinstance(field.dataType, T.IntegralType):
+        whole = known.rlike(r"^\s*[+-]?\d+\s*$")
+        decimal = known.cast("double")
+        checked = F.when(decimal == F.floor(decimal), decimal.cast(field.dataType)).otherwise(
+            F.when(known.isNotNull() & ~F.isnan(decimal), F.raise_error(F.concat(F.lit(f"no whole number in {field.name}: "), known)))
+        )
+        return F.when(whole, known.cast(field.dataType)).otherwise(checked)
+    value = known.cast(field.dataType)
+    return nan_to_null(value) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else value
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -165,20 +165,16 @@ def test_spread_median(spark, n):
     assert ranking.spread_median(df, ["g"], "v").collect()[0]["median"] == pytest.approx(float(np.median(values)))
 
 
-def test_user_ranks_interleave_when_the_offset_is_small(spark):
-    users = [(f"u{i:02d}", "ab"[i % 2], i) for i in range(10)]
+@pytest.mark.parametrize("number", [10, 4000])
+def test_user_ranks_keep_cohorts_in_blocks(spark, number):
+    users = [(f"u{i:05d}", "ab"[i % 2], i) for i in range(number)]
     df = spark.createDataFrame(users, "user_id string, cohort string, d int").withColumn(
         "d", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d"))
     )
-
-    def expected(offset):
-        moved = {u: -(d + 1) - (offset if c == "a" else 0) for u, c, d in users}
-        order = sorted(moved, key=lambda u: (moved[u], u))
-        return {u: i + 1 for i, u in enumerate(order)}
-
+    order = sorted(users, key=lambda u: (u[1] != "a", -u[2]))
     for offset in (3, 1000):
         got = ranking.oriented_ranks(df, "user_id", "d", "cohort", {"a": offset}).collect()
-        assert {r["user_id"]: r["user_rank"] for r in got} == expected(offset)
+        assert {r["user_id"]: r["user_rank"] for r in got} == {u[0]: k + 1 for k, u in enumerate(order)}
 
 
 # --- tests on tables -------------------------------------------------------------------------------------
@@ -416,6 +412,21 @@ def test_csv_round_trip_and_missing_markers(spark, tmp_path):
     assert landed.schema == got.schema and landed.count() == 3
 
 
+def test_csv_by_header_whole_numbers_and_markers(spark, tmp_path):
+    path = str(tmp_path / "flags.csv")
+    with open(path, "w") as out:
+        out.write("flag,user_id\n1.0,u1\n-,u2\n0,u3\nNA,u4\n,u5\n")
+    schema = spark.createDataFrame([], "user_id string, flag int").schema
+    got = files.read_csv(spark, path, schema, missing=["NA", "-"])
+    assert rows_of(got, "user_id", "flag") == [("u1", 1), ("u2", None), ("u3", 0), ("u4", None), ("u5", None)]
+    with open(path, "a") as out:
+        out.write("1.5,u6\n")
+    with pytest.raises(Exception, match="no whole number"):
+        files.read_csv(spark, path, schema, missing=["NA", "-"]).collect()
+    with pytest.raises(ValueError):
+        files.read_csv(spark, path, spark.createDataFrame([], "user_id string").schema, by_position=True)
+
+
 def test_declared_schemas_have_unique_columns():
     for schema in (schemas.EVENTS_SURVEY, schemas.DAILY_SYMPTOMS, schemas.PARTICIPANTS, schemas.ACTIVITY_PANEL):
         assert len(set(schema.names)) == len(schema.names)
