@@ -222,22 +222,12 @@ def find_groups(
         .dropDuplicates(["rep"])
     )
 
-    edges, parts = same_id, None
+    edges = same_id
     for turn in range(rounds):
-        placed = _with_parts(entries, parts)
-        order = F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep"), F.col("n"), F.col("part"))
-        leaders = placed.groupBy("value").agg(
-            F.min(order).alias("leader"), F.min("part").alias("low"), F.max("part").alias("high")
-        ).filter("low <> high").select(
-            "value", F.col("leader.rep").alias("a"), F.col("leader.n").alias("na"), F.col("leader.part").alias("pa")
-        )
-        pairs = placed.join(once(leaders), "value").filter(
-            (F.col("pa") != F.col("part")) & _similar_sizes(F.col("n"), F.col("na"), percent)
-        ).select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
-        found = _confirm(once(_estimate_filter(pairs, reps, k, percent)), sets, percent)
-        edges = found if edges is None else edges.union(found)
-        parts = once(connected_components(edges))
-
+        parts = None if turn == 0 else once(connected_components(edges))
+        pairs = _estimate_filter(_stars(entries, parts, turn, percent), reps, k, percent)
+        edges = edges.union(_confirm(once(pairs), sets, percent))
+    parts = once(connected_components(edges))
     placed = once(_with_parts(entries, parts))
     open_lists = placed.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
     rest = placed.join(open_lists, "value", "left_semi").select("rep", "part").distinct()
@@ -254,8 +244,11 @@ def find_groups(
 
     held = sets.join(rest, "rep").select("rep", "part", F.col("size").alias("n"), "members")
     full = once(held.mapInArrow(spread, "rep long, part long, n int, value long")).withColumn("held", F.col("n"))
-    tight = _inverted(full.select("rep", "n", "held", "value"), F.ceil(percent * F.col("n") / 100)).join(rest, "rep")
-    tight = once(tight)
+    tight = once(_inverted(full.select("rep", "n", "held", "value"), F.ceil(percent * F.col("n") / 100)))
+    pairs = _stars(tight.select("value", "rep", "n"), parts, rounds, percent)
+    edges = edges.union(_confirm(once(pairs), sets, percent))
+    parts = once(connected_components(edges))
+    tight = once(_with_parts(tight, parts))
     side = lambda x: tight.select(
         "value", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"),
         (F.col("n") - F.col("alone") - F.col("at")).alias(f"left{x}"), F.slice("front", F.lit(1), F.col("at")).alias(f"f{x}"),
@@ -286,6 +279,23 @@ def find_groups(
     return wide.join(flags, "_row").select(*carried, *new)
 
 
+def _stars(entries: DataFrame, parts: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """Pairs of each list's leader with its members of other components, each pair once.
+
+    The leader is the member with the least hash, so lists that share members mostly share the leader.
+    """
+    placed = _with_parts(entries, parts)
+    order = F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep"), F.col("n"), F.col("part"))
+    leaders = placed.groupBy("value").agg(
+        F.min(order).alias("leader"), F.min("part").alias("low"), F.max("part").alias("high")
+    ).filter("low <> high").select(
+        "value", F.col("leader.rep").alias("a"), F.col("leader.n").alias("na"), F.col("leader.part").alias("pa")
+    )
+    return placed.join(once(leaders), "value").filter(
+        (F.col("pa") != F.col("part")) & _similar_sizes(F.col("n"), F.col("na"), percent)
+    ).select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
+
+
 def _with_parts(entries: DataFrame, parts: DataFrame | None) -> DataFrame:
     if parts is None:
         return entries.withColumn("part", F.col("rep"))
