@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.session import cut
+from panelwise.session import new_path
 
 #: Bytes of text that a task handles at once; a longer text is handled alone.
 CHUNK_BYTES = 2 << 20
@@ -78,14 +78,31 @@ _WHILE_WRITING = {
 }
 
 
-def once(df: DataFrame, *cluster_by: str) -> DataFrame:
-    """A lineage cut that holds little disk and memory while it is written; the session's settings are put back."""
+def once(df: DataFrame) -> DataFrame:
+    """A lineage cut that holds little disk and memory while it is written; the session's settings are put back.
+
+    ``release`` deletes its rows when nothing reads them any more.
+    """
     conf = df.sparkSession.conf
     before = {key: conf.get(key, None) for key in _WHILE_WRITING}
     for key, value in _WHILE_WRITING.items():
         conf.set(key, value)
     try:
-        return cut(df, *cluster_by)
+        path = new_path(df.sparkSession, "cut")
+        df.write.mode("error").parquet(path)
+        written = df.sparkSession.read.schema(df.schema).parquet(path)
+        written._cut_path = path
+        return written
     finally:
         for key, value in before.items():
             conf.unset(key) if value is None else conf.set(key, value)
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete cuts of ``once`` whose readers have been written themselves; other frames are left alone."""
+    for df in cuts:
+        path = getattr(df, "_cut_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

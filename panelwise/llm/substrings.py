@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm import hashing
-from panelwise.llm.common import flat, flat_lists, lists, once, rows, utf8
+from panelwise.llm.common import flat, flat_lists, lists, once, release, rows, utf8
 from panelwise.llm.suffixes import common_prefixes, suffix_ranks
 
 GRAM = 16
@@ -122,6 +122,8 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     common = once(phrases.groupBy("letter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("letter"))
     hits = once(phrases.join(common, "letter", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("hits")))
 
+    release(phrases, common)
+
     def cut_runs(batches):
         for batch in rows(batches, "data"):
             hit, borders = flat_lists(batch.column(2))
@@ -160,10 +162,11 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
             cut_runs, "row long, start long, part binary, at array<long>, letters array<long>, ends long, depth int"
         ).withColumn("sid", F.monotonically_increasing_id())
     )
+    release(hits)
     depth = runs.agg(F.max("depth")).first()[0]
     if depth is None:
         return texts.sparkSession.createDataFrame([], "row long, spans array<long>")
-    ranks = once(suffix_ranks(runs.select("sid", "letters"), depth))
+    ranks = suffix_ranks(runs.select("sid", "letters"), depth)
 
     def prefixes(batches):
         for batch in batches:
@@ -191,7 +194,8 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     reach = once(place.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("place", "shared"))).alias("r")).select(
         "sid", F.transform("r", lambda r: r["shared"]).alias("reach")
     ))
-    full = once(runs.drop("depth").join(reach, "sid"))
+    full = once(runs.drop("depth", "letters").join(reach, "sid"))
+    release(runs, ranks, shared, reach)
 
     def windows_of(batch):
         """For each run of a batch: its number, bytes, anchors, and candidate windows with their anchors' numbers."""
@@ -246,6 +250,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sid", "anchor", "place", "w1", "w2"])
 
     found = once(compared.mapInArrow(hashed, "sid long, anchor long, place long, w1 long, w2 long"))
+    release(mixed)
     again = once(found.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2"))
     single = found.join(again, ["w1", "w2"], "left_semi").select("sid", "place")
     # surroundings that occur twice repeat with all their windows
@@ -255,6 +260,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     )
     none = F.array().cast("array<long>")
     chosen = once(chosen.select("sid", F.coalesce("windows", none).alias("windows"), F.coalesce("anchors", none).alias("anchors")))
+    release(found, again, around, classes)
 
     def spans(batches):
         for batch in rows(batches, "part"):
@@ -277,7 +283,9 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     by_run = full.join(chosen, "sid").select("row", "start", "part", "at", "reach", "ends", "windows", "anchors").mapInArrow(
         spans, "row long, spans array<long>"
     )
-    return by_run.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    every = once(by_run.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    release(full, chosen)
+    return every
 
 
 def merged(starts: np.ndarray, length: int) -> np.ndarray:
@@ -327,7 +335,7 @@ def remove_repeats(
     marked = once(
         docs.select(*[F.col(f"`{c}`") for c in carried], utf8(text).alias("_data")).withColumn("_row", F.monotonically_increasing_id())
     )
-    found = once(repeated_spans(marked.select(F.col("_row").alias("row"), F.col("_data").alias("data")), length))
+    found = repeated_spans(marked.select(F.col("_row").alias("row"), F.col("_data").alias("data")), length)
     names = new if with_text else new[:4]
 
     def apply(batches):

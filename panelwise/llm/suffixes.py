@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import flat_lists, lists, once, places
+from panelwise.llm.common import flat_lists, lists, once, places, release
 from panelwise.operators.ranking import running_totals
 
 
@@ -85,16 +85,19 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
         inner = named.select(
             (F.col("sid") * 2 + residue).alias("sid"), F.floor(F.col("place") / 3).cast("int").alias("place"), "value"
         )
-        halves = suffix_ranks(once(_arrays(inner, ["sid"]).withColumnRenamed("ranks", "letters")), -(-depth // 3))
+        inner = once(_arrays(inner, ["sid"]).withColumnRenamed("ranks", "letters"))
+        release(sample, names)
+        halves = suffix_ranks(inner, -(-depth // 3))
+        release(inner)
     else:
-        halves = _arrays(
+        halves = once(_arrays(
             named.select(
                 (F.col("sid") * 2 + F.col("place") % 3 - 1).alias("sid"),
                 F.floor(F.col("place") / 3).cast("int").alias("place"), "value",
             ),
             ["sid"],
-        )
-    halves = once(halves)
+        ))
+        release(sample, names)
     none = F.array().cast("array<long>")
     of = lambda r: halves.filter(F.pmod("sid", F.lit(2)) == r).select(
         F.shiftright("sid", 1).alias("sid"), F.col("ranks").alias(f"r{r + 1}")
@@ -123,6 +126,7 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*_KEYS])
 
     merged = once(both.mapInArrow(keys, ", ".join(f"{c} long" for c in _KEYS)))
+    release(halves)
     key = ["kind", "x", "y", "z"]
     zero = F.col("place") % 3 == 0
     counts = merged.groupBy(*key).agg(
@@ -136,7 +140,11 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
     value = F.when(zero & (F.col("kind") == 0), F.col("plain") + F.col("sampled") + 1).when(
         zero, F.col("sampled")
     ).otherwise(F.col("rank") + F.col("plain"))
-    return _arrays(merged.join(below, key).select("sid", F.col("place").cast("int").alias("place"), value.alias("value")), ["sid"])
+    ranks = once(_arrays(
+        merged.join(below, key).select("sid", F.col("place").cast("int").alias("place"), value.alias("value")), ["sid"]
+    ))
+    release(merged, below)
+    return ranks
 
 
 _KEYS = ["sid", "place", "kind", "x", "y", "z", "rank"]
