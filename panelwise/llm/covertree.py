@@ -181,14 +181,10 @@ def top_k(
     query_blocks = right.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("q")).agg(
         F.collect_list(F.struct("vec_id", "v")).alias("queries")
     )
-    names = data_blocks.select("pivot", "part")
-    # a row for each pair of blocks, dealt over tasks by the pair
-    pairs = data_blocks.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(
-        query_blocks.withColumn("block", F.explode(F.array(*[
-            F.struct(F.lit(r["pivot"]).alias("pivot"), F.lit(r["part"]).alias("part")) for r in names.collect()
-        ]))).select("q", "queries", "block.*"),
-        ["pivot", "part", "q"],
-    )
+    # a row for each pair of blocks, dealt over tasks by the block of data
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
+    keys = data_blocks.select("pivot", "part", F.explode(numbers).alias("q"))
+    pairs = keys.join(query_blocks, "q").join(data_blocks, ["pivot", "part"])
 
     def meet(batches):
         for batch in batches:
