@@ -198,7 +198,7 @@ def find_groups(
 
     ask = F.element_at(F.array(*[F.lit(t) for t in needed(k, percent)]), F.least(F.col("n"), F.lit(2000)) + 1)
     values = reps.select("rep", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
-    entries = once(_inverted(values, ask).select("value", "rep", "n"))
+    entries = once(_inverted(values, ask).select("value", "rep", "n", "alone"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("value")
     entries = once(entries.join(shared, "value"))
 
@@ -245,7 +245,7 @@ def find_groups(
     held = sets.join(rest, "rep").select("rep", "part", F.col("size").alias("n"), "members")
     full = once(held.mapInArrow(spread, "rep long, part long, n int, value long")).withColumn("held", F.col("n"))
     tight = once(_inverted(full.select("rep", "n", "held", "value"), F.ceil(percent * F.col("n") / 100)))
-    pairs = _stars(tight.select("value", "rep", "n"), parts, rounds, percent)
+    pairs = _stars(tight.select("value", "rep", "n", "alone"), parts, rounds, percent)
     edges = edges.union(_confirm(once(pairs), sets, percent))
     parts = once(connected_components(edges))
     tight = once(_with_parts(tight, parts))
@@ -282,10 +282,12 @@ def find_groups(
 def _stars(entries: DataFrame, parts: DataFrame | None, turn: int, percent: int) -> DataFrame:
     """Pairs of each list's leader with its members of other components, each pair once.
 
-    The leader is the member with the least hash, so lists that share members mostly share the leader.
+    The leader is the member that holds the fewest values alone, then the one with the least hash. An original whose
+    copies differ from each other is linked with more of them than any copy is, and lists that share members mostly
+    share the leader.
     """
     placed = _with_parts(entries, parts)
-    order = F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep"), F.col("n"), F.col("part"))
+    order = F.struct(F.col("alone"), F.xxhash64("rep", F.lit(turn)).alias("mixed"), F.col("rep"), F.col("n"), F.col("part"))
     leaders = placed.groupBy("value").agg(
         F.min(order).alias("leader"), F.min("part").alias("low"), F.max("part").alias("high")
     ).filter("low <> high").select(
