@@ -139,6 +139,19 @@ def test_near_duplicates(docs, texts):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(s), parent[i], parent[i] == i)
 
 
+def test_copies_that_meet_only_in_their_original(spark):
+    # each copy changes two words in a place of its own: similar to the original, not to each other
+    words = [f"w{k}" for k in range(150)]
+    rows = [(100, " ".join(words))]
+    for k in range(12):
+        copy = list(words)
+        copy[12 * k + 1], copy[12 * k + 7] = f"x{k}", f"y{k}"
+        rows.append((k, " ".join(copy)))
+    rows.append((7000, " ".join(f"z{k}" for k in range(150))))
+    got = by_id(neardup.find_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=85))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: 7000 if i == 7000 else 0 for i, _ in rows}
+
+
 def test_packing(docs, texts):
     library = tokenizing.library(tokenizing.path_of("word_bpe_49k.json"))
     for targets in (None, {"hot": 3.0, "b": 1.0}):
