@@ -20,30 +20,35 @@ def chi_square(
 ) -> DataFrame:
     """Pearson test of response x cohort per question, from counts in long form (column ``n``).
 
-    Empty cells need no rows: summed over all cells, (o-e)^2/e equals N (sum o^2/(row total * column total) - 1),
-    to which they add nothing. With one degree of freedom |o-e| is the same in all four cells, so Yates'
-    correction follows from any cell and the reciprocal totals.
+    Empty cells need no rows: each adds its expected count, and together they add N - sum e over the other cells.
+    Both N - sum e and o - e are taken from whole numbers, so that nothing cancels at large counts. Answers or cohorts
+    without any count are left out. With one degree of freedom |o-e| is the same in all four cells, so Yates' correction
+    follows from any cell and the reciprocal totals.
     """
-    counted = cut(counted)  # read four times below; the responses themselves are read once
+    counted = cut(counted).filter("n > 0")  # read four times below; the responses themselves are read once
     rows = counted.groupBy(question, response).agg(F.sum("n").alias("_row"))
     cols = counted.groupBy(question, cohort).agg(F.sum("n").alias("_col"))
     by_row = rows.groupBy(question).agg(
         F.sum("_row").alias("n_total"), F.count(F.lit(1)).alias("_rows"), F.sum(1.0 / F.col("_row")).alias("_inv_row")
     )
     by_col = cols.groupBy(question).agg(F.count(F.lit(1)).alias("_cols"), F.sum(1.0 / F.col("_col")).alias("_inv_col"))
-    n, row, col = (F.col(c).cast("double") for c in ("n", "_row", "_col"))
+    n, row, col, total = (F.col(c).cast("decimal(19,0)") for c in ("n", "_row", "_col", "n_total"))
+    apart, expected = (n * total - row * col).cast("double"), (row * col).cast("double")
     size = F.col("n_total").cast("double")
     cells = (
-        counted.filter(F.col("n") > 0)
-        .join(rows, [question, response])
+        counted.join(rows, [question, response])
         .join(cols, [question, cohort])
+        .join(by_row.select(question, "n_total"), question)
         .groupBy(question)
-        .agg(F.sum(n * n / (row * col)).alias("_fit"), F.max(F.struct("n", "_row", "_col")).alias("_cell"))
+        .agg(
+            F.sum(apart / expected * apart / size).alias("_fit"), F.sum(row * col).alias("_filled"),
+            F.max(F.struct("n", "_row", "_col")).alias("_cell"),
+        )
     )
     cell = F.col("_cell")
     gap = F.abs(cell["n"] - cell["_row"].cast("double") * cell["_col"] / size)
     yates = F.pow(F.greatest(gap - 0.5, F.lit(0.0)), 2) * size * F.col("_inv_row") * F.col("_inv_col")
-    plain = F.greatest(size * (F.col("_fit") - 1.0), F.lit(0.0))
+    plain = F.col("_fit") + (total * total - F.col("_filled")).cast("double") / size
     tested = (
         cells.join(by_row, question)
         .join(by_col, question)

@@ -91,10 +91,11 @@ class MixedFits:
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``<model>__predicted``; users outside a fit get its population prediction.
 
-        The effects of all models come in one join on the user.
+        The effects of all models come in one join on the user. They are written before it, so that the adaptive
+        skew join can split a user with very many rows.
         """
         names = [spec.name for spec in self.specs]
-        wide = (
+        wide = cut(
             self.user_effects()
             .groupBy(self.user)
             .agg(*[F.max(F.when(F.col("model") == m, F.col("effect"))).alias(f"_{m}") for m in names])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -195,6 +196,28 @@ def test_chi_square_with_empty_cells_matches_the_built_in(spark):
     assert got["p_value"] == pytest.approx(want.pValue, abs=1e-12)
 
 
+def test_chi_square_of_large_counts_loses_no_digits(spark):
+    million = 10**6
+    full = [[10**12, 10**12 + million], [10**12 - million, 10**12], [10**12, 10**12 - 3 * million]]
+    sparse = [[10**12, 10**12 + million, 0], [10**12 - million, 10**12, 7]]
+    for matrix in (full, sparse):
+        rows, cols = [sum(r) for r in matrix], [sum(c) for c in zip(*matrix)]
+        total = sum(rows)
+        want = sum(
+            Fraction((o * total - r * c) ** 2, r * c * total) for r, line in zip(rows, matrix) for c, o in zip(cols, line)
+        )
+        got = inference.chi_square(counts_frame(spark, matrix)).collect()[0]
+        assert got["chi2"] == pytest.approx(float(want), rel=1e-12)
+
+
+def test_chi_square_leaves_out_answers_without_counts(spark):
+    counts = counts_frame(spark, [[15, 5, 3], [5, 15, 4]])
+    empty = spark.createDataFrame([("q", "r9", "c0", 0), ("q", "r9", "c1", 0)], counts.schema)
+    got, want = (inference.chi_square(c).collect()[0] for c in (counts.union(empty), counts))
+    assert (got["dof"], got["n_total"]) == (want["dof"], want["n_total"])
+    assert got["chi2"] == pytest.approx(want["chi2"])
+
+
 def test_chi_square_two_by_two_is_corrected(spark):
     # by hand: all expected counts 10, each |o - e| = 5 reduced to 4.5
     assert inference.chi_square(counts_frame(spark, [[15, 5], [5, 15]])).collect()[0]["chi2"] == pytest.approx(8.1)
