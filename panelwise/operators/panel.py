@@ -48,8 +48,8 @@ def valid_user_counts(df: DataFrame, user: str, cohort: str, channels: list[str]
 def zscores(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Adds ``<column>_z``: distance from the person's mean in sample standard deviations.
 
-    Statistics first, then a join: the statistics combine on the map side, and a person with very many rows is
-    split by the adaptive skew join, which a window over the person could not do.
+    Statistics first, then a join: the statistics combine on the map side. The adaptive skew join cannot split a person
+    with very many rows here, as the aggregate lies between shuffle and join; write the statistics first for that.
     """
     stats = df.groupBy(by).agg(
         *[F.avg(c).alias(f"_{c}_mean") for c in columns], *[F.stddev_samp(c).alias(f"_{c}_sd") for c in columns]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from panelwise.operators import panel, timecourse
+from panelwise.operators import mixed, panel, timecourse
 from panelwise.plans import study
 from panelwise.session import cut
 from panelwise.sources import testviews as tv
@@ -55,3 +57,28 @@ def test_daily_reports_combine_before_the_shuffle(spark, days):
     plan = plan_of(timecourse.daily_reports(days, [COHORT], DAY, ["steps__observed", "sleep__observed"]))
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.index("partial_sum") > plan.index("Exchange hashpartitioning")
+
+
+def test_predictions_split_a_user_with_most_rows(spark):
+    users = F.when(F.col("id") % 5 < 3, F.lit("hot")).otherwise(F.concat(F.lit("u"), F.col("id") % 997))
+    df = spark.range(0, 300_000, 1, 16).select(users.alias("user_id"), F.rand(1).alias("v"))
+    effects = df.select("user_id").distinct().select("user_id", F.lit("m").alias("model"), F.lit(2.0).alias("effect"))
+    fits = SimpleNamespace(
+        specs=[SimpleNamespace(name="m")], user="user_id", user_effects=lambda: effects, fixed_part=lambda spec: F.col("v")
+    )
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+    }
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        got = mixed.MixedFits.predict(fits, df)
+        assert len(got.toPandas()) == 300_000
+        assert "skew=true" in plan_of(got)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
