@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,29 +164,59 @@ def _concentrate(
     )
     names = ["n", *[f"s{k}" for k in range(len(FEATURES))], *[f"p{k}" for k in range(len(_PAIRS))]]
     moments = inner.groupBy(*groups, "rows").agg(*[F.sum(c).alias(c) for c in names])
-    size, scale = len(FEATURES), consistency(share, len(FEATURES))
+    scale, mean = consistency(share, len(FEATURES)), lambda c: F.col(c) / F.col("n")
+    spread = [scale * (mean(f"p{k}") - mean(f"s{i}") * mean(f"s{j}")) for k, (i, j) in enumerate(_PAIRS)]
+    center = F.array(*[mean(f"s{k}") for k in range(len(FEATURES))])
+    return _invert(moments.select(*groups, "rows", center.alias("center"), F.array(*spread).alias("spread")), floor)
 
-    def invert(frames):
+
+def _invert(models: DataFrame, floor: list[float]) -> DataFrame:
+    """``models`` plus ``inverse``: that of the covariance ``spread`` with ``floor`` added to every deviation."""
+    size = len(FEATURES)
+
+    def run(frames):
         for frame in frames:
-            centers, inverses = [], []
-            for row in frame[names].to_numpy(dtype=float):
-                center = row[1:1 + size] / row[0]
+            inverses = []
+            for values in frame["spread"]:
                 spread = np.zeros((size, size))
                 for k, (i, j) in enumerate(_PAIRS):
-                    spread[i, j] = spread[j, i] = row[1 + size + k] / row[0] - center[i] * center[j]
-                inverse = np.linalg.inv(scale * spread + np.diag(np.square(floor)))
-                centers.append(center.tolist())
+                    spread[i, j] = spread[j, i] = values[k]
+                inverse = np.linalg.inv(spread + np.diag(np.square(floor)))
                 inverses.append([float(inverse[i, j]) for i, j in _PAIRS])
-            yield pd.concat([frame[[*groups, "rows"]], pd.DataFrame({"center": centers, "inverse": inverses}, index=frame.index)], axis=1)
+            yield frame.assign(inverse=inverses)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in models.schema)
+    return models.mapInPandas(run, schema + ", inverse array<double>")
+
+
+def _levels(passed: DataFrame, groups: list[str]) -> DataFrame:
+    """Every row once per level: ``_level`` 0 is all rows, each further one keeps one more of the ``groups``."""
+    keys = [
+        F.struct(F.lit(n).alias("_level"), *[(F.col(g) if k < n else F.lit("")).alias(g) for k, g in enumerate(groups)])
+        for n in range(len(groups) + 1)
+    ]
+    return passed.select(F.explode(F.array(*keys)).alias("_key"), *FEATURES).select("_key.*", *FEATURES)
+
 
-    kinds = {f.name: f.dataType.simpleString() for f in moments.schema}
-    schema = ", ".join(f"`{g}` {kinds[g]}" for g in [*groups, "rows"]) + ", center array<double>, inverse array<double>"
-    return moments.mapInPandas(invert, schema)
+def _shrink(models: DataFrame, groups: list[str], prior_rows: float) -> DataFrame:
+    """The models of the narrowest level, each level drawn to the one above it as if that had ``prior_rows`` rows."""
+    above = models.filter(F.col("_level") == 0)
+    share = F.col("rows") / (F.col("rows") + prior_rows)
+    for n in range(1, len(groups) + 1):
+        keys = ["_level", *groups[:n - 1]]
+        wide = above.select(
+            (F.col("_level") + 1).alias("_level"), *groups[:n - 1], F.col("center").alias("_c"), F.col("spread").alias("_s")
+        )
+        drawn = lambda own, far: F.zip_with(own, far, lambda a, b: share * a + (1 - share) * b).alias(own)
+        above = models.filter(F.col("_level") == n).join(wide, keys).select(
+            "_level", *groups, "rows", drawn("center", "_c"), drawn("spread", "_s")
+        )
+    return above.select(*groups, "rows", "center", "spread")
 
 
 def judge(
     docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), keep: list[str] | None = None,
-    share: float = 0.75, steps: int = 6, cutoff: float = 36.0, min_rows: int = 50,
+    share: float = 0.75, steps: int = 6, cutoff: float = 36.0, prior_rows: float = 50.0,
     floor: tuple[float, ...] = (0.05, 0.1, 0.1, 0.1, 0.1), min_words: int = 20, max_repeat: int = 30,
 ) -> DataFrame:
     """``docs`` (all columns, or those in ``keep``) plus the counts, ``base_failed``, ``distance`` and ``kept``.
@@ -196,9 +225,12 @@ def judge(
     windows. Other rows are kept if their squared Mahalanobis distance from their group's robust centre is at
     most ``cutoff`` (for five normal features, about one row in a million lies beyond 36). Groups are the values
     of ``by``, null being a value of its own. ``floor`` is added to every feature's deviation, so that a feature
-    that hardly varies rejects nobody. The estimates use the group's rows that passed the base rules. Groups
-    with fewer than ``min_rows`` such rows have no estimate: distance null, kept. A null text has no words and
-    fails. Columns of ``docs`` with the new names are replaced; an empty table gives an empty result.
+    that hardly varies rejects nobody. The estimates use rows that passed the base rules. A group's centre and
+    covariance are drawn to those of all rows with its first value of ``by``, and so on up to the whole table's,
+    the wider estimate counting as ``prior_rows`` rows: a large group keeps its own, a small one gets mostly the
+    wider one, and every row that passed the base rules is judged. Where no row of a group passed, the distance
+    is null. A null text has no words and fails. Columns of ``docs`` with the new names are replaced; an empty
+    table gives an empty result.
     """
     new = [*COUNTS, *FEATURES, "base_failed", "distance", "kept"]
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
@@ -214,11 +246,13 @@ def judge(
     counted = statistics(keyed, "_text", [*carried, *groups])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     measured = cut(counted.withColumns(features()).withColumn("base_failed", failed))
-    passed = measured.filter(~F.col("base_failed")).select(*groups, *FEATURES)
-    models = cut(_start(passed, groups, list(floor)).filter(F.col("rows") >= min_rows))
+    passed = _levels(measured.filter(~F.col("base_failed")), groups)
+    levels = ["_level", *groups]
+    models = cut(_start(passed, levels, list(floor)))
     for _ in range(steps):
         # written each time: one row per group, read by a join that Spark may broadcast by its known size
-        models = cut(_concentrate(passed, models, groups, share, list(floor)))
+        models = cut(_concentrate(passed, models, levels, share, list(floor)))
+    models = cut(_invert(_shrink(models, groups, prior_rows), list(floor)))
     scored = measured.join(models.select(*groups, "center", "inverse"), groups, "left").withColumn("distance", _distance())
     return scored.select(
         *carried, *COUNTS, "base_failed", "distance",

@@ -93,6 +93,17 @@ def test_quality_counts_and_outliers(spark, docs, texts):
     assert all(v == (i < 80) for i, v in kept.items()) and sum(i >= 80 for i in kept) == 3
 
 
+def test_small_groups_are_judged(spark):
+    pick = random.Random(2)
+    clean = [" ".join("abc"[: pick.randint(1, 3)] * 2 for _ in range(60)) + f" {k}" for k in range(40)]
+    texts = clean + [" ".join(f"w{j}$$$" for j in range(60))] * 3
+    rows = [(k, t, "en" if k % 2 else None, f"s{k % 8}" if k < 42 else "alone") for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = by_id(quality.judge(frame))
+    assert all(r["distance"] is not None and r["kept"] == (i < 40) for i, r in got.items() if not r["base_failed"])
+    assert sum(i >= 40 and not r["base_failed"] for i, r in got.items()) == 3
+
+
 def test_suffix_order(spark):
     pick = random.Random(3)
     strings = [[pick.choice([5, 6, 7]) for _ in range(pick.randint(1, 20))] for _ in range(15)] + [[5, 6] * 9, [5]]
