@@ -216,21 +216,23 @@ def _shrink(models: DataFrame, groups: list[str], prior_rows: float) -> DataFram
 
 def judge(
     docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), keep: list[str] | None = None,
-    share: float = 0.75, steps: int = 6, cutoff: float = 36.0, prior_rows: float = 50.0,
-    floor: tuple[float, ...] = (0.05, 0.1, 0.1, 0.1, 0.1), min_words: int = 20, max_repeat: int = 30,
+    share: float = 0.75, steps: int = 6, cutoff: float = 12.83, prior_rows: float = 50.0,
+    floor: tuple[float, ...] = (0.05, 0.05, 0.05, 0.075, 0.05), min_words: int = 20, max_repeat: int = 30,
 ) -> DataFrame:
     """``docs`` (all columns, or those in ``keep``) plus the counts, ``base_failed``, ``distance`` and ``kept``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat`` percent of words in repeated
     windows. Other rows are kept if their squared Mahalanobis distance from their group's robust centre is at
-    most ``cutoff`` (for five normal features, about one row in a million lies beyond 36). Groups are the values
-    of ``by``, null being a value of its own. ``floor`` is added to every feature's deviation, so that a feature
-    that hardly varies rejects nobody. The estimates use rows that passed the base rules. A group's centre and
-    covariance are drawn to those of all rows with its first value of ``by``, and so on up to the whole table's,
-    the wider estimate counting as ``prior_rows`` rows: a large group keeps its own, a small one gets mostly the
-    wider one, and every row that passed the base rules is judged. Where no row of a group passed, the distance
-    is null. A null text has no words and fails. Columns of ``docs`` with the new names are replaced; an empty
-    table gives an empty result.
+    most ``cutoff`` (for five normal features, one row in 40 lies beyond 12.83). Groups are the values of ``by``,
+    null being a value of its own. ``floor`` is added to every feature's deviation: symbols and repeats are zero in
+    most texts, so that their covariance is singular and the floor alone is their scale; above about 0.2 symbols a
+    word or 27 percent of repeated words, a text is rejected for this alone where the centre is 0.
+
+    The estimates use rows that passed the base rules. A group's centre and covariance are drawn to those of all
+    rows with its first value of ``by``, and so on up to the whole table's, the wider estimate counting as
+    ``prior_rows`` rows: a large group keeps its own, a small one gets mostly the wider one, and every row that
+    passed the base rules is judged. Where no row of a group passed, the distance is null. A null text has no
+    words and fails. Columns of ``docs`` with the new names are replaced; an empty table gives an empty result.
     """
     new = [*COUNTS, *FEATURES, "base_failed", "distance", "kept"]
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]

@@ -104,6 +104,20 @@ def test_small_groups_are_judged(spark):
     assert sum(i >= 40 and not r["base_failed"] for i, r in got.items()) == 3
 
 
+def test_moderate_outliers_are_rejected(spark):
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choices("abcdefghij", k=pick.randint(3, 6)))
+    clean = [" ".join(word() for _ in range(60)) for _ in range(60)]
+    barred = [" ".join(word() + " |" * (j % 3 == 0) for j in range(60)) for _ in range(2)]
+    again = [" ".join([word() for _ in range(700)] + ["abcde"] * 295) for _ in range(2)]
+    frame = spark.createDataFrame(
+        [(k, t, "en", "s") for k, t in enumerate(clean + barred + again)], "doc_id long, text string, lang string, source string"
+    )
+    got = by_id(quality.judge(frame))
+    assert not any(r["base_failed"] for r in got.values())
+    assert all(r["kept"] == (i < 60) for i, r in got.items())
+
+
 def test_suffix_order(spark):
     pick = random.Random(3)
     strings = [[pick.choice([5, 6, 7]) for _ in range(pick.randint(1, 20))] for _ in range(15)] + [[5, 6] * 9, [5]]
