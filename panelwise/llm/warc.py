@@ -31,12 +31,18 @@ CAPTURE = (
 _RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
+def encoded(url: str) -> str:
+    """The URL as records hold it: all but visible ASCII percent-encoded."""
+    return quote(url, safe="".join(map(chr, range(0x21, 0x7F))))
+
+
 def url_key(url: str | None) -> str:
-    """The URL in sort order: host parts reversed, then path and query; a null URL has the empty key."""
+    """The URL, encoded as in its record, in sort order: host parts reversed, then path and query; null has the empty key."""
     if not url:
         return ""
+    url = encoded(url)
     try:
-        parts = urlsplit(url.strip())
+        parts = urlsplit(url)
         host, port = parts.hostname or "", parts.port
     except ValueError:  # no valid host or port
         return url.lower()
@@ -64,7 +70,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
     ]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(0x21, 0x7F))))}")
+        head.append(f"WARC-Target-URI: {encoded(url)}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Profile: {_PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]

@@ -221,6 +221,18 @@ def test_archives_and_lookup(spark, tmp_path):
     assert len(list(warc.members(warc._member(bytes(17 << 20))))) == 1
 
 
+def test_lookup_of_encoded_urls(spark, tmp_path):
+    urls = ["http://a.b/é", "http://a.b/x y", " http://a.b/z ", "http://ö.org/?q=ü", "http://a.b/%C3%A9", "http://a.b/plain", "http://A.b/\tt", "a b]["]
+    pages = spark.createDataFrame([(k, u, f"<p>{k}") for k, u in enumerate(urls * 2)], "page_id long, url string, html string")
+    archives, index = str(tmp_path / "a"), str(tmp_path / "i")
+    warc.write_archives(pages, archives)
+    warc.build_index(spark, archives, index, block_lines=3)
+    every = warc.captures(spark, index).collect()
+    for url in urls:
+        got = {r["page_id"] for r in warc.lookup(spark, index, [url]).collect()}
+        assert got == {r["page_id"] for r in every if r["url"] == warc.encoded(url)} and len(got) >= 2
+
+
 def test_top_k_ties_and_unusable_vectors(spark):
     pick = random.Random(5)
     rows = [(i, [pick.choice([-0.5, 0.25, 1.0]) for _ in range(4)]) for i in range(200)]
