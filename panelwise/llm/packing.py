@@ -35,8 +35,14 @@ class Layout:
         self.windows = -(-self.total // window)
         dry = np.where(self.sizes > 0, self.sizes / self.weights, 0.0)
         self._times = np.unique(np.concatenate([[0.0], dry]))
-        self._given = np.array([np.minimum(self.sizes, self.weights * v).sum() for v in self._times])
-        self._counts = functools.lru_cache(4096)(self._count)
+        # by prefix sums over the queues in the order in which they run dry, as there may be very many
+        order = np.argsort(dry, kind="stable")
+        emptied = np.concatenate([[0], np.cumsum(self.sizes[order])])
+        open_weights = np.append(np.cumsum(self.weights[order][::-1])[::-1], 0.0)
+        done = np.searchsorted(dry[order], self._times, side="right")
+        self._given = emptied[done] + self._times * open_weights[done]
+        # at most 32 MB
+        self._counts = functools.lru_cache(int(min(4096, max(2, (4 << 20) // len(self.sizes)))))(self._count)
         # the rest behind the last full sequence, as sequences whose lengths are powers of two
         full, rest = divmod(self.total, length)
         powers = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
@@ -83,15 +89,17 @@ class Layout:
 
 def pack(
     docs: DataFrame, text: str = "text", by: str = "source", vocabulary: str = "word_bpe_49k.json", end: int = 2,
-    length: int = 4096, window_sequences: int = 16, queues: int = 63, targets: dict[str, float] | None = None,
+    length: int = 4096, window_sequences: int = 16, queues: int | None = None, targets: dict[str, float] | None = None,
     keep: list[str] | None = None, with_ids: bool = True,
 ) -> DataFrame:
     """Pieces of all documents in sequences of ``length`` tokens: the columns of ``docs`` (or ``keep``), ``start``,
     ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, with ``with_ids``, ``ids`` (binary,
     little-endian unsigned 32-bit numbers).
 
-    A document is its text's ids followed by ``end``; a null text is empty, so its only token is ``end``. The
-    ``queues`` values of ``by`` with most bytes have a queue each (ties: by name), all others and null share one.
+    A document is its text's ids followed by ``end``; a null text is empty, so its only token is ``end``. Every
+    value of ``by`` has a queue, and so has null; if a caller sets ``queues``, only that many values with most
+    bytes have one (ties: by name), all others share null's, and a target named for another value is an error.
+    Names and sizes of the queues go to the driver and to all tasks, and each window needs a number per queue.
     Windows of ``window_sequences`` sequences hold the queues in the proportions of ``targets`` (weights by value
     of ``by``, 1 where not named), or without it in those of the corpus, which end together. Only the last
     tokens, fewer than ``length``, form shorter sequences, with lengths that are powers of two; nothing is padded.
@@ -103,13 +111,17 @@ def pack(
     new = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     named = F.col(f"`{by}`").cast("string")
-    # at most `queues` rows
+    # a row per queue
     largest = (
         docs.filter(named.isNotNull()).groupBy(named.alias("name"))
         .agg(F.sum(F.coalesce(F.octet_length(F.col(text)).cast("long"), F.lit(0))).alias("bytes"))
-        .orderBy(F.desc("bytes"), "name").limit(queues).collect()
+        .orderBy(F.desc("bytes"), "name")
     )
+    largest = (largest if queues is None else largest.limit(queues)).collect()
     number = {r["name"]: k + 1 for k, r in enumerate(largest)}
+    unknown = sorted(str(n) for n in set(targets or ()) - {None, *number})
+    if queues is not None and unknown:
+        raise ValueError(f"targets without a queue: {', '.join(unknown)}")
     narrow = tokenizing.library(path).get_vocab_size() <= 1 << 16 and end < 1 << 16
     kind = "<u2" if narrow else "<u4"
 
@@ -142,7 +154,7 @@ def pack(
     sums = encoded.groupBy("_queue", "_part").agg(F.sum("doc_tokens").alias("_tokens"))
     earlier = Window.partitionBy("_queue").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = once(sums.withColumn("_start", F.coalesce(F.sum("_tokens").over(earlier), F.lit(0))))
-    # at most queues + 1 rows
+    # a row per queue
     sizes = {r["_queue"]: r["n"] for r in starts.groupBy("_queue").agg(F.sum("_tokens").alias("n")).collect()}
     tokens = [sizes.get(q, 0) for q in range(len(number) + 1)]
     names = [None, *number]

@@ -199,6 +199,30 @@ def test_packing(docs, texts):
             assert at == 256 or at & (at - 1) == 0
 
 
+def test_packing_holds_many_sources_to_their_targets(spark):
+    pick = random.Random(7)
+    rows = [(k, " ".join(pick.choices(["one", "two", "red", "blue"], k=40)), f"host{k % 80:02}") for k in range(800)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for targets in (None, {"host79": 20.0}):
+        got = packing.pack(frame, length=64, window_sequences=16, targets=targets, keep=["doc_id", "source"], with_ids=False).collect()
+        sizes, used = collections.Counter(), collections.Counter()
+        for r in got:
+            sizes[r["source"]] += r["length"]
+        assert len(sizes) == 80
+        weight = {s: float(sizes[s] if targets is None else targets.get(s, 1.0)) for s in sizes}
+        # by bisection: the time at which all queues together have given a window
+        low, high = 0.0, float(max(sizes.values()))
+        for _ in range(200):
+            v = (low + high) / 2
+            low, high = (low, v) if sum(min(sizes[s], weight[s] * v) for s in sizes) > 1024 else (v, high)
+        wanted = {s: int(min(sizes[s], weight[s] * v)) for s in sizes}
+        for r in got:
+            used[r["source"]] += min(r["length"], max(0, sum(wanted.values()) - 64 * r["sequence_id"] - r["offset"]))
+        assert sum(abs(used[s] - wanted[s]) for s in sizes) <= 4
+    with pytest.raises(ValueError, match="without a queue"):
+        packing.pack(frame, queues=5, targets={f"host{k:02}": 2.0 for k in range(80)})
+
+
 def test_context_tree(docs):
     seen = np.array([97, 98, 256 + 98])
     table = context_tree.log_table(seen, np.array([5, 3, 2]))
