@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, context_tree, covertree, neardup, packing, quality, sharding, substrings, token_counts, warc
+from panelwise.llm import (
+    bpe, byte_pieces, context_tree, covertree, neardup, packing, quality, sharding, substrings, token_counts, warc,
+)
 from panelwise.llm.common import table
 from panelwise.llm.oracle import ORACLE
 from panelwise.session import new_path
@@ -63,6 +65,10 @@ def op10_shards(spark: SparkSession, d: str) -> DataFrame:
     return sharding.assign_shards(table(spark, d, "documents"), keep=["doc_id"])
 
 
+def op12_byte_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return byte_pieces.round_trip(table(spark, d, "documents"), keep=["doc_id"])
+
+
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {
@@ -76,4 +82,5 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
     "op10_shards": op10_shards,
+    "op12_byte_pieces": op12_byte_pieces,
 }
