@@ -25,4 +25,39 @@ ORACLE = {
         )
         SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words, row_number() OVER () AS row
+            FROM documents
+        ), w AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT row) >= 10),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+        cells AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        totals AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY 1, 2),
+        probs AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * s.v)::HUGEINT AS p,
+                   1 + 1000000000::HUGEINT * (k.n + 2) // (s.total + 2 * s.v)::HUGEINT AS q
+            FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang)
+            LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+            LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), apart AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM probs a JOIN probs b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+        ), found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM probs WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM found
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank
+        FROM ranked WHERE part = 'pair' OR place <= 10
+    """,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.llm import (
-    bpe, byte_pieces, context_tree, covertree, neardup, packing, quality, sharding, substrings, token_counts, warc,
+    bpe, byte_pieces, context_tree, covertree, divergence, neardup, packing, quality, sharding, substrings, token_counts, warc,
 )
 from panelwise.llm.common import table
 from panelwise.llm.oracle import ORACLE
@@ -65,6 +65,10 @@ def op10_shards(spark: SparkSession, d: str) -> DataFrame:
     return sharding.assign_shards(table(spark, d, "documents"), keep=["doc_id"])
 
 
+def op11_source_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.audit(table(spark, d, "documents"))
+
+
 def op12_byte_pieces(spark: SparkSession, d: str) -> DataFrame:
     return byte_pieces.round_trip(table(spark, d, "documents"), keep=["doc_id"])
 
@@ -82,5 +86,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
     "op10_shards": op10_shards,
+    "op11_source_divergence": op11_source_divergence,
     "op12_byte_pieces": op12_byte_pieces,
 }
