@@ -19,7 +19,7 @@ from panelwise.llm.common import once, release, rows, utf8
 
 SCALE = 1_000_000_000
 #: A task holds so many distinct terms, over all its groups, before it passes their counts on.
-HELD_TERMS = 300_000
+HELD_TERMS = 600_000
 #: Terms of a block and sources of a set: a pair of sets meets over one block in one call, so they bound its memory.
 BLOCK_TERMS, SET_SOURCES = 1024, 64
 #: ASCII letters in lower case and all bytes of longer characters stay, everything else parts terms.
@@ -71,9 +71,11 @@ def _emitted(held: dict):
 
 def probability(n: Column, total: Column, terms: Column) -> Column:
     """``1 + floor(SCALE * (n + 2) / (total + 2 * terms))``, exact; null without terms."""
+    all_ = F.nullif(total + 2 * terms, F.lit(0).cast("long"))
     wide = F.lit(SCALE).cast("decimal(10,0)") * (n + 2).cast("decimal(20,0)")
-    whole = F.call_function("div", wide, F.nullif(total + 2 * terms, F.lit(0)).cast("decimal(20,0)"))
-    return whole + 1
+    # the same number either way; decimals only where the product leaves a long
+    short = F.call_function("div", F.lit(SCALE).cast("long") * (n.cast("long") + 2), all_)
+    return F.when(n < 9_000_000_000, short).otherwise(F.call_function("div", wide, all_.cast("decimal(20,0)"))) + 1
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -212,11 +214,9 @@ def audit(
             F.greatest(F.ceil(F.col("terms") / BLOCK_TERMS), F.lit(1)).cast("int").alias("blocks"),
         )
     )
-    placed = once(
-        present.join(groups, ["lang", "source"]).select(
-            "lang", "source", "term", "n", "block", "bit", "part", "q",
-            probability(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
-        )
+    placed = present.join(groups, ["lang", "source"]).select(
+        "lang", "source", "term", "n", "block", "bit", "part", "q",
+        probability(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
     )
     bitmaps = once(level_bitmaps(placed))
     in_block = vocabulary.groupBy("lang", "block").agg(F.count(F.lit(1)).alias("bits"))
@@ -251,7 +251,7 @@ def audit(
     )
     term_rows = _ranked(own, "term").filter(F.col("rank") <= top)
     result = once(pair_rows.unionByName(term_rows))
-    release(cells, kept, langs, vocabulary, present, groups, placed, bitmaps, pairs)
+    release(cells, kept, langs, vocabulary, present, groups, bitmaps, pairs)
     return result
 
 
