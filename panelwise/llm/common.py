@@ -71,21 +71,21 @@ def places(borders: np.ndarray) -> np.ndarray:
     return np.arange(borders[-1]) - np.repeat(borders[:-1], np.diff(borders))
 
 
-#: While a cut is written: shuffle files go as soon as its rows are there, and Python gets batches of few rows.
+#: While a cut is written: shuffle files go as soon as its rows are there. Python gets batches of few rows, too.
 _WHILE_WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
-def once(df: DataFrame) -> DataFrame:
+def once(df: DataFrame, batch_rows: int = 1000) -> DataFrame:
     """A lineage cut that holds little disk and memory while it is written; the session's settings are put back.
 
-    ``release`` deletes its rows when nothing reads them any more.
+    ``release`` deletes its rows when nothing reads them any more. Rows that are large each ask for smaller batches.
     """
     conf = df.sparkSession.conf
-    before = {key: conf.get(key, None) for key in _WHILE_WRITING}
-    for key, value in _WHILE_WRITING.items():
+    wanted = _WHILE_WRITING | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}
+    before = {key: conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
         conf.set(key, value)
     try:
         path = new_path(df.sparkSession, "cut")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.llm import (
-    bpe, byte_pieces, context_tree, covertree, divergence, neardup, packing, quality, sharding, substrings, token_counts, warc,
+    bpe, byte_pieces, context_tree, covertree, divergence, hard_negatives, neardup, packing, quality, sharding, substrings, token_counts, warc,
 )
 from panelwise.llm.common import table
 from panelwise.llm.oracle import ORACLE
@@ -73,6 +73,12 @@ def op12_byte_pieces(spark: SparkSession, d: str) -> DataFrame:
     return byte_pieces.round_trip(table(spark, d, "documents"), keep=["doc_id"])
 
 
+def op13_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, d, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {
@@ -88,4 +94,5 @@ QUERIES = {
     "op10_shards": op10_shards,
     "op11_source_divergence": op11_source_divergence,
     "op12_byte_pieces": op12_byte_pieces,
+    "op13_hard_negatives": op13_hard_negatives,
 }
