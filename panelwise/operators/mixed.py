@@ -1,37 +1,39 @@
 """Random-intercept models of panel outcomes, fitted from Spark aggregations.
 
 One pass over the panel sums the model columns per user; a second sums centred cross products per level of
-the categorical term. What reaches the driver is one small matrix per model and per distinct number of rows
-of a user. Several models are fitted from the same passes.
+the categorical term. Several models are fitted from the same passes, and searched together: a round of the search
+is one Spark job over the distinct numbers of rows of a user, and gives the driver a small matrix per model and ratio.
 """
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.operators.reml import Fit, Moments, fit_intercepts
+from panelwise.operators.reml import Fit, Profile, fit_intercepts
 from panelwise.session import cut
 
-MAX_SIZES_ON_DRIVER = 20_000
-WEEKDAYS = ["Friday", "Monday", "Saturday", "Sunday", "Thursday", "Tuesday", "Wednesday"]
+#: A categorical term gets a coefficient for each level, and the driver a matrix of their products.
+MOST_LEVELS = 500
 
 
 @dataclass(frozen=True)
 class MixedSpec:
     """``outcome ~ numeric terms + factor + (1 | user)`` on the rows that meet ``rows``.
 
-    The first level of the factor is the reference level.
+    The first level of the factor is the reference level. Without ``levels`` they are those of the model's
+    complete rows, in the order of their names; levels that are given must cover all of them.
     """
 
     name: str
     outcome: str
     numeric: list[str]
     factor: str
-    levels: list[str] = field(default_factory=lambda: list(WEEKDAYS))
+    levels: list[str] = field(default_factory=list)
     rows: Column | None = None
 
 
@@ -138,25 +140,62 @@ def model_rows(
         names = [*[f"x_{j}" for j in range(len(spec.numeric))], "y"]
         fields = ", ".join(f"`{c}` - {_number(m)} AS {name}" for c, m, name in zip(columns, shifts, names))
         known = ", ".join("'" + level.replace("\\", "\\\\").replace("'", "\\'") + "'" for level in spec.levels)
-        level = (
-            f"CASE WHEN `{spec.factor}` IN ({known}) THEN `{spec.factor}` "
-            f"ELSE raise_error(concat('unknown level of {spec.factor}: ', `{spec.factor}`)) END"
-        )
+        level = f"`{spec.factor}`"
+        if spec.levels:
+            level = (
+                f"CASE WHEN {level} IN ({known}) THEN {level} "
+                f"ELSE raise_error(concat('unknown level of {spec.factor}: ', {level})) END"
+            )
         row = F.expr(f"struct({level} AS level, {fields})")
         entries.append(F.when(needed, F.struct(F.lit(spec.name).alias("model"), row.alias("row"))))
     return df.select(user, F.inline(F.array_compact(F.array(*entries)))).select("model", user, "row.*")
 
 
-def user_moments(rows: DataFrame, user: str, terms: int, levels: list[str]) -> DataFrame:
-    """Per (model, user): number of rows and sums of all model columns."""
+def model_levels(df: DataFrame, user: str, specs: list[MixedSpec]) -> DataFrame:
+    """``(model, level, n, position)``: levels of each model's complete rows by name, the reference level at 0."""
+    bare = [dataclasses.replace(spec, levels=[]) for spec in specs]
+    counted = model_rows(df, user, bare).groupBy("model", "level").agg(F.count(F.lit(1)).alias("n"))
+    by_name = Window.partitionBy("model").orderBy("level")  # one row per level
+    return counted.withColumn("position", F.row_number().over(by_name) - 1)
+
+
+def with_levels(df: DataFrame, user: str, specs: list[MixedSpec]) -> list[MixedSpec]:
+    """The models with their levels: those without any get the levels of their rows, by one aggregate for all."""
+    bare = [spec for spec in specs if not spec.levels]
+    if not bare:
+        return specs
+    found: dict[str, list[str]] = {spec.name: [] for spec in bare}
+    for r in model_levels(df, user, bare).filter(F.col("position") <= MOST_LEVELS).orderBy("model", "position").collect():
+        found[r["model"]].append(r["level"])
+    for spec in bare:
+        if len(found[spec.name]) > MOST_LEVELS:
+            raise ValueError(f"{spec.factor} has more than {MOST_LEVELS} levels in {spec.name}")
+        if not found[spec.name]:
+            raise ValueError(f"no complete rows for {spec.name}")
+    return [dataclasses.replace(s, levels=found[s.name]) if not s.levels else s for s in specs]
+
+
+def user_moments(rows: DataFrame, user: str, specs: list[MixedSpec]) -> DataFrame:
+    """Per (model, user): number of rows and sums of all model columns; a model with fewer levels has zeros."""
+
+    def in_level(k: int) -> Column:
+        names = {spec.name: spec.levels[k] for spec in specs if k < len(spec.levels)}
+        if len(set(names.values())) == 1 and len(names) == len(specs):
+            return F.col("level") == specs[0].levels[k]
+        return F.col("level") == F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("model")]
+
     return rows.groupBy("model", user).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(f"x_{j}").alias(f"s_{j}") for j in range(terms)],
-        *[F.count_if(F.col("level") == name).alias(f"d_{k}") for k, name in enumerate(levels[1:])],
+        *[F.sum(f"x_{j}").alias(f"s_{j}") for j in range(len(specs[0].numeric))],
+        *[F.count_if(in_level(k + 1)).alias(f"d_{k}") for k in range(dummies(specs))],
         F.sum("y").alias("s_y"),
     )
 
 
+def dummies(specs: list[MixedSpec]) -> int:
+    return max(len(spec.levels) for spec in specs) - 1
+
+
 def column_totals(sums: DataFrame, terms: int) -> dict:
     """Per model: rows, users, distinct numbers of rows per user, and sums of the numeric columns and y."""
     columns = [*[f"s_{j}" for j in range(terms)], "s_y"]
@@ -173,11 +212,12 @@ def column_means(totals: dict, terms: int) -> dict[str, list[float]]:
 
 
 def fit_mixed(df: DataFrame, user: str, specs: list[MixedSpec]) -> MixedFits:
-    """Fits all models; they must share the number of numeric terms and the factor levels."""
-    terms, levels = len(specs[0].numeric), specs[0].levels
-    if any(len(s.numeric) != terms or s.levels != levels for s in specs):
-        raise ValueError("models fitted together need equally many numeric terms and the same levels")
-    sums = cut(user_moments(model_rows(df, user, specs), user, terms, levels))
+    """Fits all models; they must share the number of numeric terms. Their levels may differ."""
+    terms = len(specs[0].numeric)
+    if any(len(s.numeric) != terms for s in specs):
+        raise ValueError("models fitted together need equally many numeric terms")
+    specs = with_levels(df, user, specs)
+    sums = cut(user_moments(model_rows(df, user, specs), user, specs))
 
     totals = column_totals(sums, terms)
     missing = [s.name for s in specs if s.name not in totals]
@@ -185,21 +225,11 @@ def fit_mixed(df: DataFrame, user: str, specs: list[MixedSpec]) -> MixedFits:
         raise ValueError(f"no complete rows for {missing}")
     means = column_means(totals, terms)
     grams = _grams(model_rows(df, user, specs, means), specs)
-    by_size = size_products(sums, means, terms, len(levels) - 1)
-    width = terms + len(levels) + 1
-    if sum(r["sizes"] for r in totals.values()) > MAX_SIZES_ON_DRIVER:
-        by_size = cut(by_size)
-        weigh = {s.name: _weigh_on_spark(by_size, s.name, grams[s.name], width) for s in specs}
-    else:
-        collected = by_size.collect()
-        weigh = {s.name: _weigh_here(collected, s.name, grams[s.name], width) for s in specs}
-
-    fits, counts = {}, {}
-    for spec in specs:
-        total = totals[spec.name]
-        centred = fit_intercepts(weigh[spec.name], grams[spec.name], total["n"])
-        fits[spec.name] = _uncentre(centred, means[spec.name], terms)
-        counts[spec.name] = (total["n"], total["users"])
+    by_size = cut(_as_lists(size_products(sums, means, terms, dummies(specs)), terms + dummies(specs) + 2))
+    found = fit_intercepts(grams, {m: r["n"] for m, r in totals.items()}, lambda ratios: profiles(by_size, grams, ratios))
+
+    fits = {spec.name: _uncentre(found[spec.name], means[spec.name], terms) for spec in specs}
+    counts = {spec.name: (totals[spec.name]["n"], totals[spec.name]["users"]) for spec in specs}
     return MixedFits(user, specs, fits, counts, sums)
 
 
@@ -218,15 +248,15 @@ def _grams(rows: DataFrame, specs: list[MixedSpec]) -> dict[str, np.ndarray]:
 
     Grouping by level replaces all products with indicator columns; columns are 1, numeric, levels, y.
     """
-    terms, levels = len(specs[0].numeric), specs[0].levels
+    terms, levels = len(specs[0].numeric), {spec.name: spec.levels for spec in specs}
     pairs = [(i, j) for i in range(terms + 1) for j in range(i, terms + 1)]
     summed = level_products(rows, terms).collect()
-    width = terms + len(levels) + 1
+    width = terms + dummies(specs) + 2
     place = [*range(1, terms + 1), width - 1]
     grams = {spec.name: np.zeros((width, width)) for spec in specs}
     for r in summed:
         g = grams[r["model"]]
-        k = levels.index(r["level"])
+        k = levels[r["model"]].index(r["level"])
         dummy = None if k == 0 else terms + k
         g[0, 0] += r["n"]
         if dummy is not None:
@@ -244,13 +274,13 @@ def _grams(rows: DataFrame, specs: list[MixedSpec]) -> dict[str, np.ndarray]:
     return grams
 
 
-def size_products(sums: DataFrame, means: dict[str, list[float]], terms: int, dummies: int) -> DataFrame:
+def size_products(sums: DataFrame, means: dict[str, list[float]], terms: int, indicators: int) -> DataFrame:
     """Per (model, rows per user): number of users and products of the users' centred sums."""
     centred = [
         _per_model([(m, f"{c} - n * {_number(v[j])}") for m, v in means.items()])
         for j, c in enumerate([*[f"s_{j}" for j in range(terms)], "s_y"])
     ]
-    dummy = [F.expr(f"double(d_{k})") for k in range(dummies)]
+    dummy = [F.expr(f"double(d_{k})") for k in range(indicators)]
     columns = [F.expr("double(n)"), *centred[:terms], *dummy, centred[terms]]
     width = len(columns)
     return (
@@ -263,46 +293,47 @@ def size_products(sums: DataFrame, means: dict[str, list[float]], terms: int, du
     )
 
 
-def _square(row, width: int) -> np.ndarray:
-    full = np.zeros((width, width))
-    for i in range(width):
-        for j in range(i, width):
-            full[i, j] = full[j, i] = row[f"b{i}_{j}"]
-    return full
-
-
-def _weigh_here(collected: list, model: str, gram: np.ndarray, width: int):
-    mine = [r for r in collected if r["model"] == model]
-    moments = Moments(
-        gram,
-        np.array([r["n"] for r in mine], dtype=float),
-        np.array([r["users"] for r in mine], dtype=float),
-        np.array([_square(r, width) for r in mine]),
-    )
-    return lambda ratios: [moments.weighted(float(x)) for x in ratios]
-
-
-def _weigh_on_spark(by_size: DataFrame, model: str, gram: np.ndarray, width: int):
-    """Same sums by a Spark job per list of ratios, for panels with very many distinct sizes."""
-    mine = by_size.filter(F.col("model") == model)
-    weight = F.col("ratio") / (1.0 + F.col("n") * F.col("ratio"))
+def _as_lists(by_size: DataFrame, width: int) -> DataFrame:
+    """The products of each size in one list, upper triangle by rows."""
     products = [f"b{i}_{j}" for i in range(width) for j in range(i, width)]
+    return by_size.select("model", "n", "users", F.array(*products).alias("products"))
 
-    def weighted(ratios):
-        listed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(x)).alias("ratio")) for k, x in enumerate(ratios)])
-        rows = (
-            mine.select("*", F.inline(listed))
-            .groupBy("k")
-            .agg(
-                F.sum(F.col("users") * F.log1p(F.col("n") * F.col("ratio"))).alias("log_det"),
-                *[F.sum(weight * F.col(c)).alias(c) for c in products],
-            )
-            .collect()
-        )
-        ordered = sorted(rows, key=lambda r: r["k"])
-        return [(gram - _square(r, width), float(r["log_det"])) for r in ordered]
 
-    return weighted
+def profiles(
+    by_size: DataFrame, grams: dict[str, np.ndarray], ratios: dict[str, list[float]]
+) -> dict[str, list[Profile]]:
+    """Weighted cross products of every model at each of its variance ratios, with their slopes in the log ratio.
+
+    One job for all models and ratios; it sums over the distinct sizes where they are, so any number of them will do.
+    """
+    listed = F.create_map(
+        *[x for m, values in ratios.items() for x in (F.lit(m), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("ratio")) for k, v in enumerate(values)]))]
+    )
+    points = by_size.select("*", F.inline(listed[F.col("model")]))
+    seen = F.expr("n * ratio")
+    weight, slope = F.col("ratio") / (1 + seen), F.col("ratio") / ((1 + seen) * (1 + seen))
+    terms = F.concat(
+        F.transform("products", lambda b: F.struct((weight * b).alias("sum"), (slope * b).alias("slope"))),
+        F.array(F.struct((F.col("users") * F.log1p(seen)).alias("sum"), (F.col("users") * seen / (1 + seen)).alias("slope"))),
+    )
+    summed = points.select("model", "k", F.posexplode(terms).alias("at", "term")).groupBy("model", "k", "at").agg(
+        F.sum("term.sum").alias("sum"), F.sum("term.slope").alias("slope")
+    )
+    held = {(m, k): ({}, {}) for m, values in ratios.items() for k in range(len(values))}
+    for r in summed.collect():
+        at = held[r["model"], r["k"]]
+        at[0][r["at"]], at[1][r["at"]] = r["sum"], r["slope"]
+    out: dict[str, list[Profile]] = {}
+    for (model, _), (sums, slopes) in held.items():
+        upper = np.triu_indices(len(grams[model]))
+        sides = []
+        for values in (sums, slopes):
+            square = np.zeros_like(grams[model])
+            square[upper] = [values[i] for i in range(len(upper[0]))]
+            sides.append(square + np.triu(square, 1).T)
+        last = len(upper[0])
+        out.setdefault(model, []).append(Profile(grams[model] - sides[0], -sides[1], sums[last], slopes[last]))
+    return out
 
 
 def _uncentre(fit: Fit, means: list[float], terms: int) -> Fit:
@@ -320,13 +351,13 @@ def _uncentre(fit: Fit, means: list[float], terms: int) -> Fit:
 
 
 def impute(df: DataFrame, channels: list[str], suffix: str = "__predicted") -> DataFrame:
-    """Adds ``<c>__imputed`` (valid users only) and the flag ``<c>__was_imputed``."""
+    """Adds ``<c>__imputed`` (valid users only) and the flag ``<c>__was_imputed``, missing where validity is unknown."""
     added = []
     for c in channels:
         valid, seen = F.col(f"valid_user__{c}") == 1, F.col(f"{c}__observed")
         added.append(F.when(valid, F.coalesce(seen, F.col(f"{c}{suffix}"))).alias(f"{c}__imputed"))
         filled = valid & ((F.col(f"valid_day__{c}") != 1) | seen.isNull())
-        added.append(F.when(filled, 1).otherwise(0).alias(f"{c}__was_imputed"))
+        added.append(F.when(filled, 1).when(~filled, 0).alias(f"{c}__was_imputed"))
     return df.select("*", *added)
 
 

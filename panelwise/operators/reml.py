@@ -74,35 +74,117 @@ def profile(cross: np.ndarray, log_det: float, n_rows: int, p: int) -> tuple[flo
     return criterion, coef, inverse, rss / (n_rows - p)
 
 
+@dataclass(frozen=True)
+class Profile:
+    """Cross products and log determinant at one variance ratio, and the slopes of both in the log ratio."""
+
+    cross: np.ndarray
+    slope: np.ndarray
+    log_det: float
+    log_det_slope: float
+
+    def at(self, pick: tuple, n_rows: int, p: int) -> tuple[float, float]:
+        """The criterion and its derivative in the log ratio, by the slopes of its three parts."""
+        cross, slope = self.cross[pick], self.slope[pick]
+        value, coef, inverse, sigma2 = profile(cross, self.log_det, n_rows, p)
+        residual = np.append(-coef, 1.0)  # moving the coefficients changes nothing at first order
+        return value, residual @ slope @ residual / sigma2 + self.log_det_slope + float(np.sum(inverse * slope[:p, :p]))
+
+
+class RatioSearch:
+    """The log variance ratio of one model at which its criterion is least, asked for a list of points a round.
+
+    An even grid finds the interval; then polynomials through the derivative at Chebyshev points, whose root is found to
+    rounding error in two rounds.
+    """
+
+    LOW, HIGH, GRID, NODES = -16.0, 12.0, 29, 9
+
+    def __init__(self):
+        self.points = np.linspace(self.LOW, self.HIGH, self.GRID)
+        self.found: float | None = None
+        self._rounds = 0
+
+    def take(self, values: np.ndarray, slopes: np.ndarray) -> None:
+        x = self.points
+        if self._rounds == 0:
+            best = int(np.nanargmin(values))
+            low = best - 1 if slopes[best] > 0 else best
+            if low < 0 or low + 1 >= len(x):
+                self.found = float(x[best])
+                return
+        else:
+            crossing = np.flatnonzero((slopes[:-1] <= 0) & (slopes[1:] > 0))
+            if not len(crossing) or self._rounds > 30:
+                self.found = float(x[int(np.nanargmin(np.abs(slopes)))])
+                return
+            low = int(crossing[0])
+        a, b = float(x[low]), float(x[low + 1])
+        if self._rounds:
+            root = _root(x, slopes, a, b)
+            if x[-1] - x[0] < 1e-3:
+                self.found = root
+                return
+            a, b = max(a, root - 1e-4), min(b, root + 1e-4)
+        self._rounds += 1
+        turn = np.cos(np.pi * np.arange(self.NODES) / (self.NODES - 1))
+        self.points = (a + b) / 2 - (b - a) / 2 * turn
+
+
+def _root(x: np.ndarray, y: np.ndarray, low: float, high: float) -> float:
+    """Where the polynomial through the points crosses zero between two of them."""
+    gaps = x[:, None] - x[None, :]
+    np.fill_diagonal(gaps, 1.0)
+    scale = x[-1] - x[0]
+    weight = 1.0 / np.prod(gaps / scale, axis=1)
+    for _ in range(200):
+        middle = (low + high) / 2
+        if middle in (low, high):
+            break
+        away = middle - x
+        at = y[away == 0][0] if (away == 0).any() else (weight / away) @ y / (weight / away).sum()
+        low, high = (middle, high) if at <= 0 else (low, middle)
+    return (low + high) / 2
+
+
 def fit_intercepts(
-    weighted: Callable[[np.ndarray], list[tuple[np.ndarray, float]]], gram: np.ndarray, n_rows: int
-) -> Fit:
-    """Random-intercept model: one search over the variance ratio.
+    grams: dict[str, np.ndarray], n_rows: dict[str, int],
+    weighted: Callable[[dict[str, list[float]]], dict[str, list[Profile]]],
+) -> dict[str, Fit]:
+    """Random-intercept models: one search over the variance ratio for all of them, round by round.
 
-    ``weighted`` gives the cross products for a list of ratios, from sums on the driver or by a Spark job.
+    ``weighted`` gives the profiles of every model at a list of ratios; a round asks it once, for the models that are
+    not settled yet.
     """
-    p = len(gram) - 1
-    keep = independent(gram[:p, :p])
-    pick = np.ix_([*keep, p], [*keep, p])
-    q = len(keep)
-    if n_rows <= q:
-        raise ValueError("more terms than rows")
-
-    def criterion(logs: np.ndarray) -> np.ndarray:
-        pairs = weighted(np.exp(logs))
-        return np.array([profile(m[pick], d, n_rows, q)[0] for m, d in pairs])
-
-    log_ratio, at_best = minimise(criterion, -16.0, 12.0, 57, 7)
-    ratio = float(np.exp(log_ratio))
-    at_zero = profile(gram[pick], 0.0, n_rows, q)[0]
-    if at_zero <= at_best:
-        ratio, at_best = 0.0, at_zero
-    cross, log_det = weighted(np.array([ratio]))[0]
-    _, coef, inverse, sigma2 = profile(cross[pick], log_det, n_rows, q)
+    keep, pick = {}, {}
+    for name, gram in grams.items():
+        p = len(gram) - 1
+        keep[name] = independent(gram[:p, :p])
+        pick[name] = np.ix_([*keep[name], p], [*keep[name], p])
+        if n_rows[name] <= len(keep[name]):
+            raise ValueError("more terms than rows")
+    searches = {name: RatioSearch() for name in grams}
+    while open_ := {m: s for m, s in searches.items() if s.found is None}:
+        asked = weighted({m: np.exp(s.points).tolist() for m, s in open_.items()})
+        for m, s in open_.items():
+            values = [p.at(pick[m], n_rows[m], len(keep[m])) for p in asked[m]]
+            s.take(np.array([v for v, _ in values]), np.array([d for _, d in values]))
+    last = weighted({m: [float(np.exp(s.found))] for m, s in searches.items()})
+    return {
+        m: _settled(grams[m], last[m][0], float(np.exp(searches[m].found)), n_rows[m], keep[m], pick[m]) for m in grams
+    }
+
+
+def _settled(gram: np.ndarray, best: Profile, ratio: float, n_rows: int, keep: list[int], pick: tuple) -> Fit:
+    p, q = len(gram) - 1, len(keep)
+    criterion, coef, inverse, sigma2 = profile(best.cross[pick], best.log_det, n_rows, q)
+    at_zero = profile(gram[pick], 0.0, n_rows, q)
+    if at_zero[0] <= criterion:
+        ratio, (criterion, coef, inverse, sigma2) = 0.0, at_zero
     full, cov = np.zeros(p), np.full((p, p), np.nan)
     full[keep] = coef
     cov[np.ix_(keep, keep)] = sigma2 * inverse
-    return Fit(full, cov, sigma2, ratio, float(at_best))
+    return Fit(full, cov, sigma2, ratio, float(criterion))
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -481,16 +483,32 @@ def _outputs(spark: SparkSession, d: str) -> DataFrame:
     return study.model_outputs(days, fits, CHANNELS)
 
 
+def lmm_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels, reference level first, of two factors: the model's own, and cohort and period together."""
+    days = tv.activity_panel(spark, d).withColumn("setting", F.concat_ws(" in ", COHORT, "flu_period"))
+    specs = [
+        spec
+        for factor, end in (("day_of_week", ""), ("setting", " by setting"))
+        for spec in (dataclasses.replace(s, name=s.name + end, factor=factor) for s in _specs())
+    ]
+    return mixed.model_levels(days, USER, specs)
+
+
+def _summed(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixed.MixedSpec], DataFrame]:
+    days = cut(tv.activity_panel(spark, d), USER)
+    specs = mixed.with_levels(days, USER, _specs())
+    return days, specs, mixed.user_moments(mixed.model_rows(days, USER, specs), USER, specs)
+
+
 def lmm_user_sums(spark: SparkSession, d: str) -> DataFrame:
-    rows = mixed.model_rows(tv.activity_panel(spark, d), USER, _specs())
-    sums = mixed.user_moments(rows, USER, 4, mixed.WEEKDAYS)
+    sums = _summed(spark, d)[2]
     return _rounded(sums, *[f"s_{j}" for j in range(4)], "s_y", places=4)
 
 
-def _centred(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, list[float]]]:
-    days = cut(tv.activity_panel(spark, d), USER)
-    sums = cut(mixed.user_moments(mixed.model_rows(days, USER, _specs()), USER, 4, mixed.WEEKDAYS))
-    return days, sums, mixed.column_means(mixed.column_totals(sums, 4), 4)
+def _centred(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixed.MixedSpec], DataFrame, dict[str, list[float]]]:
+    days, specs, sums = _summed(spark, d)
+    sums = cut(sums)
+    return days, specs, sums, mixed.column_means(mixed.column_totals(sums, 4), 4)
 
 
 def _off_half(column: str, places: int) -> Column:
@@ -499,14 +517,14 @@ def _off_half(column: str, places: int) -> Column:
 
 
 def lmm_level_products(spark: SparkSession, d: str) -> DataFrame:
-    days, _, means = _centred(spark, d)
-    products = mixed.level_products(mixed.model_rows(days, USER, _specs(), means), 4)
+    days, specs, _, means = _centred(spark, d)
+    products = mixed.level_products(mixed.model_rows(days, USER, specs, means), 4)
     return products.select(*products.columns[:3], *[_off_half(c, 3) for c in products.columns[3:]])
 
 
 def lmm_size_products(spark: SparkSession, d: str) -> DataFrame:
-    _, sums, means = _centred(spark, d)
-    products = mixed.size_products(sums, means, 4, len(mixed.WEEKDAYS) - 1)
+    _, specs, sums, means = _centred(spark, d)
+    products = mixed.size_products(sums, means, 4, mixed.dummies(specs))
     return products.select(*products.columns[:3], *[_off_half(c, 4) for c in products.columns[3:]])
 
 
@@ -603,7 +621,7 @@ QUERIES = {
         chi_square_care, chi_square_symptoms, two_prop_z, two_prop_z_dense, two_prop_z_care, two_prop_z_symptoms,
         symptom_totals, top_symptoms, symptom_sets, peak_day, peak_day_trailing, symptom_summary, prevalence_by_day,
         duration_median, duration_density, rank_sum_pairs, valid_user_counts, zscore_user, user_rank, coverage_grid,
-        elevated_rate, error_bars, spread_medians, lmm_user_sums, lmm_level_products,
+        elevated_rate, error_bars, spread_medians, lmm_levels, lmm_user_sums, lmm_level_products,
         lmm_size_products, lmm_fit, lmm_predict, impute_values, residuals,
         zscore_imputed, elevated_rate_imputed, excess_by_day, smooth_curve, impute_by_state, excess_by_state,
     ]

@@ -116,24 +116,79 @@ def test_baseline_effect_is_zero_without_baseline_rows(spark):
     assert r["bl__predicted"] == pytest.approx(float(x @ fits.fits["bl"].coef))
 
 
-def test_many_sizes_use_the_spark_route(fitted, monkeypatch):
-    rows, df, fits = fitted
-    monkeypatch.setattr(mixed, "MAX_SIZES_ON_DRIVER", 2)
-    monkeypatch.setattr(reml, "minimise", lambda f, low, high, points, rounds: _coarse(f))
-    again = mixed.fit_mixed(df, "user_id", fits.specs[:1])
+def test_the_search_finds_the_root_of_the_derivative():
+    for target in (-15.7, -3.21, 0.0, 4.5, 11.9):
+        search = reml.RatioSearch()
+        for rounds in range(1, 6):
+            x = search.points - target
+            search.take(np.cosh(x / 3), np.sinh(x / 3) / 3)
+            if search.found is not None:
+                break
+        assert search.found == pytest.approx(target, abs=1e-12) and rounds == 3
+    falling = reml.RatioSearch()
+    falling.take(-falling.points, -np.ones(29))
+    assert falling.found == 12.0
+
+
+def test_profiles_sum_any_number_of_sizes(spark):
+    """20,001 sizes, no switch: the weighted products equal direct sums, and their slopes finite differences."""
+    sizes = np.arange(1, 20_002)
+    rows = [(m, int(n), 2, [float(n * n), float(n), 3.0]) for m in ("a", "b") for n in sizes]
+    by_size = spark.createDataFrame(rows, "model string, n long, users long, products array<double>")
+    gram = {"a": np.diag([1e9, 1e9]), "b": np.zeros((2, 2))}
+    got = mixed.profiles(by_size, gram, {"a": [0.5], "b": [0.5, 0.5 * np.exp(1e-6)]})
+    weight = 0.5 / (1 + sizes * 0.5)
+    sums = np.array([[weight @ sizes**2.0, weight @ sizes], [weight @ sizes, 3 * weight.sum()]])
+    np.testing.assert_allclose(got["a"][0].cross, gram["a"] - sums, rtol=1e-12)
+    np.testing.assert_allclose(got["b"][0].cross, -sums, rtol=1e-12)
+    assert got["a"][0].log_det == pytest.approx(2 * np.log1p(sizes * 0.5).sum())
+    first, second = got["b"]
+    np.testing.assert_allclose(first.slope, (second.cross - first.cross) / 1e-6, rtol=1e-5)
+    assert first.log_det_slope == pytest.approx((second.log_det - first.log_det) / 1e-6, rel=1e-5)
+
+
+def test_derivative_is_that_of_the_criterion():
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(40, 4))
+    gram, between = z.T @ z, z[:5].T @ z[:5]
+    at = lambda t: reml.Profile(
+        gram - between * np.exp(t) / (1 + 3 * np.exp(t)), -between * np.exp(t) / (1 + 3 * np.exp(t)) ** 2,
+        5 * np.log1p(3 * np.exp(t)), 15 * np.exp(t) / (1 + 3 * np.exp(t)),
+    ).at(np.ix_(range(4), range(4)), 40, 3)
+    for t in (-4.0, -1.0, 0.5, 2.0):
+        assert at(t)[1] == pytest.approx((at(t + 1e-5)[0] - at(t - 1e-5)[0]) / 2e-5, rel=1e-5, abs=1e-7)
+
+
+def test_levels_come_from_the_rows(spark):
+    rows = [(*r[:5], {"Friday": "zeta", "Monday": "alpha"}.get(r[5], "mid'dle"), *r[6:]) for r in simulate(15)]
+    rows += [("u0", 3, 0.1, 0.1, 60.0, "only missing", "event", None), ("u1", 4, 0.1, 0.1, 60.0, None, "event", 1.0)]
+    rows = [(*r[:5], "late" if r[6] == "event" and r[5] == "zeta" else r[5], *r[6:]) for r in rows]
+    df = spark.createDataFrame(rows, SCHEMA)
+    all_days = mixed.MixedSpec("all", "y", ["w1", "w2", "state"], "weekday")
+    base = mixed.MixedSpec("bl", "y", ["w1", "w2", "state"], "weekday", rows=F.col("period") == "baseline")
+    resolved = {s.name: s.levels for s in mixed.with_levels(df, "user_id", [all_days, base])}
+    assert resolved["bl"] == ["alpha", "mid'dle", "zeta"]
+    assert resolved["all"] == sorted({r[5] for r in rows if r[7] is not None and r[5]})
+    together = mixed.fit_mixed(df, "user_id", [all_days, base])
+    alone = mixed.fit_mixed(df, "user_id", [base])
+    terms = lambda fits: {
+        r["term"]: (r["estimate"], r["std_error"]) for r in fits.coefficients().filter("model = 'bl'").collect()
+    }
+    assert set(terms(together)) == set(terms(alone)) and "weekdayalpha" not in terms(alone)
+    for term, (estimate, error) in terms(alone).items():
+        assert terms(together)[term] == (pytest.approx(estimate, rel=1e-8, abs=1e-9), pytest.approx(error, rel=1e-8))
+
+
+def test_levels_are_bounded_and_given_ones_are_checked(spark, monkeypatch):
+    df = spark.createDataFrame(simulate(15), SCHEMA)
+    spec = mixed.MixedSpec("all", "y", ["w1", "w2", "state"], "weekday")
+    monkeypatch.setattr(mixed, "MOST_LEVELS", 3)
+    with pytest.raises(ValueError, match="more than 3 levels"):
+        mixed.fit_mixed(df, "user_id", [spec])
     monkeypatch.undo()
-    here = fits.fits["all"]
-    there = again.fits["all"]
-    cross = dense_criterion(*design(rows)[:2], np.eye(len(rows)) + there.ratio * design(rows)[2] @ design(rows)[2].T)
-    np.testing.assert_allclose(there.coef, cross[1], rtol=1e-6, atol=1e-6)
-    assert there.criterion >= here.criterion - 1e-6
-
-
-def _coarse(f):
-    grid = np.linspace(-2, 4, 7)
-    values = f(grid)
-    i = int(np.argmin(values))
-    return grid[i], values[i]
+    narrow = mixed.MixedSpec("all", "y", ["w1", "w2", "state"], "weekday", levels=DAYS[:6])
+    with pytest.raises(Exception, match="unknown level of weekday"):
+        mixed.fit_mixed(df, "user_id", [narrow])
 
 
 def test_constant_terms_are_dropped(spark):
