@@ -113,6 +113,10 @@ def _number(x: float) -> str:
     return f"({float(x)!r}D)"
 
 
+def _text(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _per_model(cases: list[tuple[str, str]]) -> Column:
     """An SQL expression per model."""
     chosen = F.when(F.col("model") == cases[0][0], F.expr(cases[0][1]))
@@ -139,7 +143,7 @@ def model_rows(
             needed = needed & spec.rows
         names = [*[f"x_{j}" for j in range(len(spec.numeric))], "y"]
         fields = ", ".join(f"`{c}` - {_number(m)} AS {name}" for c, m, name in zip(columns, shifts, names))
-        known = ", ".join("'" + level.replace("\\", "\\\\").replace("'", "\\'") + "'" for level in spec.levels)
+        known = ", ".join(_text(level) for level in spec.levels)
         level = f"`{spec.factor}`"
         if spec.levels:
             level = (
@@ -306,17 +310,18 @@ def profiles(
 
     One job for all models and ratios; it sums over the distinct sizes where they are, so any number of them will do.
     """
-    listed = F.create_map(
-        *[x for m, values in ratios.items() for x in (F.lit(m), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("ratio")) for k, v in enumerate(values)]))]
+    points = ", ".join(
+        f"{_text(m)}, array({', '.join(f'struct({k} AS k, {_number(v)} AS ratio)' for k, v in enumerate(values))})"
+        for m, values in ratios.items()
+    )
+    spread = by_size.selectExpr("*", f"inline(map({points})[model])").selectExpr(
+        "*", "n * ratio AS seen", "ratio / (1 + n * ratio) AS weight"
     )
-    points = by_size.select("*", F.inline(listed[F.col("model")]))
-    seen = F.expr("n * ratio")
-    weight, slope = F.col("ratio") / (1 + seen), F.col("ratio") / ((1 + seen) * (1 + seen))
-    terms = F.concat(
-        F.transform("products", lambda b: F.struct((weight * b).alias("sum"), (slope * b).alias("slope"))),
-        F.array(F.struct((F.col("users") * F.log1p(seen)).alias("sum"), (F.col("users") * seen / (1 + seen)).alias("slope"))),
+    terms = (
+        "posexplode(concat(transform(products, b -> struct(weight * b AS sum, weight / (1 + seen) * b AS slope)), "
+        "array(struct(users * log1p(seen) AS sum, users * seen / (1 + seen) AS slope)))) AS (at, term)"
     )
-    summed = points.select("model", "k", F.posexplode(terms).alias("at", "term")).groupBy("model", "k", "at").agg(
+    summed = spread.selectExpr("model", "k", terms).groupBy("model", "k", "at").agg(
         F.sum("term.sum").alias("sum"), F.sum("term.slope").alias("slope")
     )
     held = {(m, k): ({}, {}) for m, values in ratios.items() for k in range(len(values))}

@@ -1,11 +1,12 @@
 """Oracle SQL: every registered query with a relational answer, written independently of the operators.
 
 Rank tests compare pairs, medians use the built-in, and tables are filled cell by cell: the SQL is the plain
-statement of each result, not of how Spark gets there. Fitted models have no SQL form and no entry.
+statement of each result, not of how Spark gets there. Fitted models are in ``oracle_models``.
 """
 
 from __future__ import annotations
 
+from panelwise.plans.oracle_models import CENTRED, LATER_WEEKDAYS, MODEL_ROWS, STATE, USER_CENTRED, binary, model_oracle
 from panelwise.plans.oracle_views import with_views
 
 COHORTS = ["alpha", "beta", "gamma"]
@@ -177,6 +178,12 @@ smoothed AS (
   SELECT *, CASE WHEN count(*) OVER w = 3 THEN avg(raw_share) OVER w END AS share FROM rates
   WINDOW w AS (PARTITION BY cohort, threshold ORDER BY days_since_onset ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
 people AS (SELECT cohort, count(DISTINCT user_id) AS n_users FROM heart GROUP BY 1)"""
+ELEVATED_RATES = (
+    f"SELECT cohort, days_since_onset, threshold, n_users, {_round('share')} AS share, "
+    f"{_round('sqrt(share * (1 - share) / n_users) / 2')} AS error_bar, "
+    + _round(_two_sided("threshold") + " / 2")
+    + " AS expected FROM smoothed JOIN people USING (cohort) WHERE days_since_onset BETWEEN -10 AND 20"
+)
 RANKS = """ranked_users AS (
   SELECT DISTINCT user_id, cohort, date_onset FROM activity_panel
   WHERE valid_user__steps = 1 OR valid_user__heart = 1 OR valid_user__sleep = 1),
@@ -190,29 +197,6 @@ ranks AS (
   SELECT user_id, CASE WHEN r IS NOT NULL THEN row_number() OVER (ORDER BY moved NULLS LAST, r) END AS user_rank
   FROM shifted)"""
 
-STATE = {"steps": "state__steps__scale1k", "heart": "state__heart", "sleep": "state__sleep__scale60"}
-MODEL_ROWS = "model_rows AS (" + " UNION ALL ".join(
-    f"SELECT '{c}{suffix}' AS model, user_id, day_of_week, week_L, week_Q, week_C, {STATE[c]} AS state, "
-    f"{c}__observed AS y FROM activity_panel WHERE {c}__observed IS NOT NULL AND {STATE[c]} IS NOT NULL{extra}"
-    for suffix, extra in (("", ""), ("_bl", " AND flu_period = 'baseline'"))
-    for c in CHANNELS
-) + ")"
-LATER_WEEKDAYS = ["Monday", "Saturday", "Sunday", "Thursday", "Tuesday", "Wednesday"]
-MODEL_COLUMNS = ["week_L", "week_Q", "week_C", "state", "y"]
-CENTRED = (
-    "centred AS (SELECT model, user_id, day_of_week, "
-    + ", ".join(f"{c} - avg({c}) OVER m AS x{i}" for i, c in enumerate(MODEL_COLUMNS))
-    + " FROM model_rows WINDOW m AS (PARTITION BY model))"
-)
-USER_CENTRED = (
-    "user_centred AS (SELECT model, user_id, count(*) AS n, count(*)::DOUBLE AS c0, "
-    + ", ".join(f"sum(x{i}) AS c{i + 1}" for i in range(4))
-    + ", "
-    + ", ".join(
-        f"count(CASE WHEN day_of_week = '{w}' THEN 1 END)::DOUBLE AS c{5 + k}" for k, w in enumerate(LATER_WEEKDAYS)
-    )
-    + ", sum(x4) AS c11 FROM centred GROUP BY 1, 2)"
-)
 RULES = " UNION ALL ".join(
     f"SELECT '{c}: {name}' AS rule, count(CASE WHEN {test} THEN 1 END) AS n_rows FROM unchecked_panel"
     for c in CHANNELS
@@ -520,23 +504,20 @@ ranked AS (
     ),
     "elevated_rate": with_views(
         ELEVATED,
-        f"SELECT cohort, days_since_onset, threshold, n_users, {_round('share')} AS share, "
-        f"{_round('sqrt(share * (1 - share) / n_users) / 2')} AS error_bar, "
-        + _round(_two_sided("threshold") + " / 2")
-        + " AS expected FROM smoothed JOIN people USING (cohort) WHERE days_since_onset BETWEEN -10 AND 20",
+        ELEVATED_RATES,
     ),
     "lmm_level_products": with_views(
         MODEL_ROWS, CENTRED,
         "SELECT model, day_of_week AS level, count(*) AS n, "
-        + ", ".join(_round(f"sum(x{i}) + 3e-8", 3) + f" AS z{i}" for i in range(5))
+        + ", ".join(binary(f"sum(x{i})") + f" AS z{i}" for i in range(5))
         + ", "
-        + ", ".join(_round(f"sum(x{i} * x{j}) + 3e-8", 3) + f" AS p{i}_{j}" for i in range(5) for j in range(i, 5))
+        + ", ".join(binary(f"sum(x{i} * x{j})") + f" AS p{i}_{j}" for i in range(5) for j in range(i, 5))
         + " FROM centred GROUP BY 1, 2",
     ),
     "lmm_size_products": with_views(
         MODEL_ROWS, CENTRED, USER_CENTRED,
         "SELECT model, n, count(*) AS users, "
-        + ", ".join(_round(f"sum(c{i} * c{j}) + 3e-8", 4) + f" AS b{i}_{j}" for i in range(12) for j in range(i, 12))
+        + ", ".join(binary(f"sum(c{i} * c{j})") + f" AS b{i}_{j}" for i in range(12) for j in range(i, 12))
         + " FROM user_centred GROUP BY 1, 2",
     ),
     "impute_by_state": with_views(
@@ -588,3 +569,6 @@ ranked AS (
         + f", {_round('sum(y)', 4)} AS s_y FROM model_rows GROUP BY 1, 2",
     ),
 }
+ORACLE |= model_oracle(
+    ELEVATED.replace("heart__observed", "heart__imputed").replace("activity_panel", "outputs"), ELEVATED_RATES
+)

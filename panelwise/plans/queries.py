@@ -511,21 +511,21 @@ def _centred(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixed.MixedSp
     return days, specs, sums, mixed.column_means(mixed.column_totals(sums, 4), 4)
 
 
-def _off_half(column: str, places: int) -> Column:
-    """Rounded after a tiny shift: products of two-decimal values often end in an exact half."""
-    return F.round(F.col(column) + 3e-8, places).alias(column)
+def _binary(column: str, name: str | None = None) -> Column:
+    """Rounded to 2**-13. Means and products of two-decimal values often end in a decimal half, never in half of that."""
+    return (F.round(F.col(column) * 8192) / 8192).alias(name or column)
 
 
 def lmm_level_products(spark: SparkSession, d: str) -> DataFrame:
     days, specs, _, means = _centred(spark, d)
     products = mixed.level_products(mixed.model_rows(days, USER, specs, means), 4)
-    return products.select(*products.columns[:3], *[_off_half(c, 3) for c in products.columns[3:]])
+    return products.select(*products.columns[:3], *[_binary(c) for c in products.columns[3:]])
 
 
 def lmm_size_products(spark: SparkSession, d: str) -> DataFrame:
     _, specs, sums, means = _centred(spark, d)
     products = mixed.size_products(sums, means, 4, mixed.dummies(specs))
-    return products.select(*products.columns[:3], *[_off_half(c, 4) for c in products.columns[3:]])
+    return products.select(*products.columns[:3], *[_binary(c) for c in products.columns[3:]])
 
 
 def lmm_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -539,20 +539,20 @@ def lmm_fit(spark: SparkSession, d: str) -> DataFrame:
 def lmm_predict(spark: SparkSession, d: str) -> DataFrame:
     days, fits = _fits(spark, d)
     names = [f"{s.name}__predicted" for s in fits.specs]
-    return fits.predict(days).select(USER, "study_date", *[_r(n, places=4) for n in names])
+    return fits.predict(days).select(USER, "study_date", *[_binary(n) for n in names])
 
 
 def impute_values(spark: SparkSession, d: str) -> DataFrame:
     outputs = _outputs(spark, d)
     return outputs.select(
-        USER, "study_date", *[_r(f"{c}__imputed", places=4) for c in CHANNELS],
+        USER, "study_date", *[_binary(f"{c}__imputed") for c in CHANNELS],
         *[f"{c}__was_imputed" for c in CHANNELS],
     )
 
 
 def residuals(spark: SparkSession, d: str) -> DataFrame:
     names = [f"{c}{kind}" for c in CHANNELS for kind in ("__resids", "__bl_resids")]
-    return _outputs(spark, d).select(USER, "study_date", *[_r(n, places=4) for n in names])
+    return _outputs(spark, d).select(USER, "study_date", *[_binary(n) for n in names])
 
 
 def zscore_imputed(spark: SparkSession, d: str) -> DataFrame:
