@@ -48,11 +48,14 @@ def valid_user_counts(df: DataFrame, user: str, cohort: str, channels: list[str]
 def zscores(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Adds ``<column>_z``: distance from the person's mean in sample standard deviations.
 
-    Statistics first, then a join: the statistics combine on the map side. The adaptive skew join cannot split a person
-    with very many rows here, as the aggregate lies between shuffle and join; write the statistics first for that.
+    Statistics first, then a join: the statistics combine on the map side, and a person with very many rows is split by
+    the adaptive skew join. That needs a shuffle right below both sides of the join, so the statistics are grouped under
+    another key and dealt out once more for the join: one row a person.
     """
-    stats = df.groupBy(by).agg(
-        *[F.avg(c).alias(f"_{c}_mean") for c in columns], *[F.stddev_samp(c).alias(f"_{c}_sd") for c in columns]
+    stats = (
+        df.groupBy(F.struct(by).alias("_person"))
+        .agg(*[F.avg(c).alias(f"_{c}_mean") for c in columns], *[F.stddev_samp(c).alias(f"_{c}_sd") for c in columns])
+        .withColumn(by, F.col("_person").getField(by)).drop("_person")
     )
     scored = df.join(stats, by, "left")
     z = [F.try_divide(F.col(c) - F.col(f"_{c}_mean"), F.col(f"_{c}_sd")).alias(f"{c}_z") for c in columns]

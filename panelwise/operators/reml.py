@@ -197,52 +197,94 @@ class SmoothFit:
     criterion: float
 
 
+class _Surface:
+    """The criterion of a model with a random intercept and one penalised block, over both log variance ratios."""
+
+    USER, SMOOTH = (-16.0, 12.0), (-18.0, 18.0)
+
+    def __init__(self, moments: Moments, n_rows: int, fixed: int):
+        self.moments, self.n_rows, self.fixed = moments, n_rows, fixed
+        self.p = len(moments.gram) - 1
+        self.wiggly = np.arange(fixed, self.p)
+
+    def _solved(self, log_user: np.ndarray, log_smooth: np.ndarray):
+        ratio = np.exp(log_user)[:, None]
+        seen = 1.0 + self.moments.size * ratio
+        cross = self.moments.gram - np.tensordot(ratio / seen, self.moments.between, 1)
+        system = cross[:, : self.p, : self.p].copy()
+        system[:, self.wiggly, self.wiggly] += np.exp(-log_smooth)[:, None]
+        inverse = np.linalg.inv(system)
+        coef = (inverse @ cross[:, : self.p, self.p :])[:, :, 0]
+        rss = np.maximum(cross[:, self.p, self.p] - np.einsum("gi,gi->g", coef, cross[:, : self.p, self.p]), 1e-300)
+        return ratio, seen, system, inverse, coef, rss
+
+    def value(self, log_user: np.ndarray, log_smooth: np.ndarray) -> np.ndarray:
+        _, seen, system, _, _, rss = self._solved(log_user, log_smooth)
+        log_det = np.log(seen) @ self.moments.users + np.linalg.slogdet(system)[1]
+        return (self.n_rows - self.fixed) * np.log(rss) + log_det + len(self.wiggly) * log_smooth
+
+    def user_slope(self, log_user: np.ndarray, log_smooth: float) -> np.ndarray:
+        ratio, seen, _, inverse, coef, rss = self._solved(log_user, np.full(len(log_user), log_smooth))
+        slope = -np.tensordot(ratio / seen**2, self.moments.between, 1)
+        residual = np.concatenate([-coef, np.ones((len(coef), 1))], axis=1)
+        moved = np.einsum("gi,gij,gj->g", residual, slope, residual) * (self.n_rows - self.fixed) / rss
+        own = (self.moments.size * ratio / seen) @ self.moments.users
+        return moved + own + np.einsum("gij,gij->g", inverse, slope[:, : self.p, : self.p])
+
+    def smooth_slope(self, log_user: float, log_smooth: float) -> float:
+        _, _, _, inverse, coef, rss = self._solved(np.array([log_user]), np.array([log_smooth]))
+        w = self.wiggly
+        bent = (self.n_rows - self.fixed) * (coef[0, w] ** 2).sum() / rss[0] + inverse[0, w, w].sum()
+        return float(len(w) - bent * np.exp(-log_smooth))
+
+    def best_user(self, log_smooth: float, low: float, high: float) -> float:
+        """The root of the slope in the user ratio, or the end of the interval that it points to."""
+        for _ in range(12):
+            grid = np.linspace(low, high, 17)
+            slopes = self.user_slope(grid, log_smooth)
+            rising = np.flatnonzero(slopes > 0)
+            if not len(rising):
+                return high
+            at = int(rising[0])
+            if at == 0:
+                return low
+            low, high = float(grid[at - 1]), float(grid[at])
+        return (low + high) / 2
+
+    def best(self, user: tuple[float, float], smooth: tuple[float, float]) -> tuple[float, float]:
+        """Both ratios: bisection of the slope in the smooth ratio, with the user ratio at its best for each."""
+        low, high = smooth
+        for _ in range(54):
+            middle = (low + high) / 2
+            if self.smooth_slope(self.best_user(middle, *user), middle) > 0:
+                high = middle
+            else:
+                low = middle
+        log_smooth = (low + high) / 2
+        return self.best_user(log_smooth, *user), log_smooth
+
+
 def fit_smooth(moments: Moments, n_rows: int, fixed: int) -> SmoothFit:
     """Random intercept plus one penalised block: columns are ``fixed`` terms, then the block, then y.
 
-    The criterion is evaluated for whole grids of (user ratio, smooth ratio) at once.
+    A coarse grid over both ratios shows whether the root that was found is the least point; if not, the search is
+    done again around the grid's best point.
     """
-    p = len(moments.gram) - 1
-    wiggly = slice(fixed, p)
-    rest = [*range(fixed), p]
-    eye = np.eye(p - fixed)
-
-    def crosses(log_user: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ratio = np.exp(log_user)[:, None]
-        weight = ratio / (1.0 + moments.size * ratio)
-        return moments.gram - np.tensordot(weight, moments.between, 1), np.log1p(moments.size * ratio) @ moments.users
-
-    def criteria(log_user: np.ndarray, log_smooth: np.ndarray) -> np.ndarray:
-        cross, log_det = crosses(log_user)
-        scale = np.exp(log_smooth)[:, None, None]
-        block = cross[:, wiggly, wiggly]
-        side = cross[:, rest, wiggly]
-        reduced = cross[np.ix_(range(len(cross)), rest, rest)] - side @ np.linalg.solve(
-            block + eye / scale, side.transpose(0, 2, 1)
-        )
-        log_det = log_det + np.linalg.slogdet(eye + scale * block)[1]
-        xx, xy, yy = reduced[:, :fixed, :fixed], reduced[:, :fixed, fixed:], reduced[:, fixed, fixed]
-        rss = yy - (xy.transpose(0, 2, 1) @ np.linalg.solve(xx, xy))[:, 0, 0]
-        return (n_rows - fixed) * np.log(np.maximum(rss, 1e-300)) + log_det + np.linalg.slogdet(xx)[1]
-
-    centre, reach, points = np.array([-2.0, 0.0]), np.array([14.0, 18.0]), 17
-    best = (np.inf, *centre)
-    for _ in range(16):
-        a, b = (np.linspace(c - r, c + r, points) for c, r in zip(centre, reach))
-        grid = np.array([(x, y) for x in a for y in b])
-        values = criteria(grid[:, 0], grid[:, 1])
+    surface = _Surface(moments, n_rows, fixed)
+    if len(surface.wiggly):
+        log_user, log_smooth = surface.best(surface.USER, surface.SMOOTH)
+        a, b = np.linspace(*surface.USER, 15), np.linspace(*surface.SMOOTH, 19)
+        points = np.array([(x, y) for x in a for y in b])
+        values = surface.value(points[:, 0], points[:, 1])
         i = int(np.nanargmin(values))
-        if values[i] < best[0]:
-            best = (values[i], *grid[i])
-        # narrow slowly: a ridge between the two ratios must not be lost
-        centre, reach, points = np.array(best[1:]), reach * 0.45, 9
-    criterion, log_user, log_smooth = best
-    cross = crosses(np.array([log_user]))[0][0]
-    system = cross[:p, :p].copy()
-    system[wiggly, wiggly] += eye / np.exp(log_smooth)
-    inverse = np.linalg.pinv(system, hermitian=True)
-    coef = inverse @ cross[:p, p]
-    sigma2 = max(float(cross[p, p] - cross[p, :p] @ coef), 1e-300) / (n_rows - fixed)
+        if values[i] < surface.value(np.array([log_user]), np.array([log_smooth]))[0] - 1e-6:
+            near = [(max(e[0], x - 2), min(e[1], x + 2)) for e, x in zip((surface.USER, surface.SMOOTH), points[i])]
+            log_user, log_smooth = surface.best(*near)
+    else:
+        log_user, log_smooth = surface.best_user(0.0, *surface.USER), 0.0
+    at = np.array([log_user]), np.array([log_smooth])
+    _, _, _, inverse, coef, rss = surface._solved(*at)
+    sigma2 = float(rss[0]) / (n_rows - fixed)
     return SmoothFit(
-        coef, sigma2 * inverse, sigma2, float(np.exp(log_user)), float(np.exp(log_smooth)), float(criterion)
+        coef[0], sigma2 * inverse[0], sigma2, float(np.exp(log_user)), float(np.exp(log_smooth)), float(surface.value(*at)[0])
     )

@@ -6,6 +6,7 @@ products; each step eliminates one column, and after the last one the sign of th
 
 from __future__ import annotations
 
+from panelwise.operators.smooth import range_design
 from panelwise.plans.oracle_views import VIEWS
 
 CHANNELS = ["steps", "heart", "sleep"]
@@ -56,12 +57,12 @@ def total(body: str, width: int) -> str:
     )
 
 
-def eliminated(pivot: str, width: int) -> str:
+def eliminated(pivot: str, width: int, m: str = "m") -> str:
     """``m`` after elimination of one column; after all of them it holds the inverse, the coefficients and the rest."""
-    at = f"m[{pivot}][{pivot}]"
+    at = f"{m}[{pivot}][{pivot}]"
     return cells(
-        f"CASE WHEN i = {pivot} AND j = {pivot} THEN 1 / {at} WHEN i = {pivot} THEN m[i][j] / {at} "
-        f"WHEN j = {pivot} THEN -m[i][j] / {at} ELSE m[i][j] - m[i][{pivot}] * m[{pivot}][j] / {at} END",
+        f"CASE WHEN i = {pivot} AND j = {pivot} THEN 1 / {at} WHEN i = {pivot} THEN {m}[i][j] / {at} "
+        f"WHEN j = {pivot} THEN -{m}[i][j] / {at} ELSE {m}[i][j] - {m}[i][{pivot}] * {m}[{pivot}][j] / {at} END",
         width,
     )
 
@@ -161,6 +162,100 @@ OUTPUTS = (
     )
     + " FROM predicted)"
 )
+EXCESS = (
+    "excess AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS channel, cohort, user_id, days_since_onset, {c}__bl_resids AS excess FROM outputs "
+        f"WHERE valid_user__{c} = 1 AND valid_day__{c} = 1"
+        for c in ("steps", "sleep")
+    )
+    + ")"
+)
+
+# --- smooth curves: the basis of the days -10 to 20 is a literal, both ratios are found by nested bisection
+
+_DESIGN = range_design(-10, 20)
+_Q = _DESIGN.shape[1]
+_BASIS = "[" + ", ".join("[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in row) + "]" for row in _DESIGN) + "]"
+_INNER, _OUTER = 44, 46
+
+
+def _sums(cell) -> str:
+    return "[" + ", ".join("[" + ", ".join(cell(i, j) for j in range(_Q + 1)) + "]" for i in range(_Q + 1)) + "]"
+
+
+_SYSTEM = cells(
+    "gram[i][j] - list_sum(list_transform(sizes, lambda s: a / (1 + s.n * a) * s.b[i][j])) "
+    f"+ CASE WHEN i = j AND i > 2 AND i <= {_Q} THEN exp(-log_smooth) ELSE 0.0 END",
+    _Q + 1,
+)
+# a list of the matrix and as many empty ones as there are columns: folding it eliminates column k - 1 at the k-th
+_SOLVED = (
+    f"list_reduce(list_concat([{_SYSTEM}], list_transform(range(1, {_Q + 1}), lambda x: CAST(NULL AS DOUBLE[][]))), "
+    f"lambda acc, x, k: {eliminated('(k - 1)', _Q + 1, 'acc')})"
+)
+_SMOOTH_RESIDUAL = f"list_append(list_transform(range(1, {_Q + 1}), lambda i: -m[i][{_Q + 1}]), 1.0::DOUBLE)"
+_USER_SLOPE = f"""list_sum(list_transform(sizes, lambda s:
+      s.users * s.n * a / (1 + s.n * a) - a / (1 + s.n * a) ** 2 * (
+        {total('r[i] * r[j] * s.b[i][j]', _Q + 1)} * (n_rows - 2) / m[{_Q + 1}][{_Q + 1}]
+        + {total('m[i][j] * s.b[i][j]', _Q)})))"""
+_SMOOTH_SLOPE = (
+    f"({_Q - 2} - exp(-log_smooth) * list_sum(list_transform(range(3, {_Q + 1}), lambda i: "
+    f"(n_rows - 2) * m[i][{_Q + 1}] ** 2 / m[{_Q + 1}][{_Q + 1}] + m[i][i])))"
+)
+SMOOTH = f"""near AS MATERIALIZED (
+  SELECT channel, cohort, user_id, days_since_onset AS day, excess, avg(excess) OVER (PARTITION BY channel, cohort) AS shift
+  FROM excess WHERE days_since_onset BETWEEN -10 AND 20 AND excess IS NOT NULL),
+placed AS (
+  SELECT channel, cohort, user_id, list_append({_BASIS}[day + 11], excess - shift) AS z FROM near),
+curve_grams AS (
+  SELECT channel, cohort, count(*) AS n_rows, count(DISTINCT user_id) AS n_users,
+    {_sums(lambda i, j: f'sum(z[{i + 1}] * z[{j + 1}])')} AS gram FROM placed GROUP BY 1, 2),
+curve_users AS (
+  SELECT channel, cohort, user_id, count(*) AS n, {', '.join(f'sum(z[{i + 1}]) AS c{i}' for i in range(_Q + 1))}
+  FROM placed GROUP BY 1, 2, 3),
+curve_sizes AS (
+  SELECT channel, cohort, n, count(*) AS users, {_sums(lambda i, j: f'sum(c{i} * c{j})')} AS b
+  FROM curve_users GROUP BY 1, 2, 3),
+curve_stats AS MATERIALIZED (
+  SELECT channel, cohort, n_rows, n_users, gram, (SELECT list({{'n': n, 'users': users, 'b': b}} ORDER BY n)
+    FROM curve_sizes s WHERE s.channel = g.channel AND s.cohort = g.cohort) AS sizes FROM curve_grams g),
+curve_search AS (
+  SELECT channel, cohort, 0 AS outer_step, 0 AS inner_step, -18.0::DOUBLE AS low_smooth, 18.0::DOUBLE AS high_smooth,
+    0.0::DOUBLE AS log_smooth, -16.0::DOUBLE AS low, 12.0::DOUBLE AS high, -2.0::DOUBLE AS log_user,
+    CAST(NULL AS DOUBLE[][]) AS m, CAST(NULL AS DOUBLE) AS a
+  FROM curve_stats
+  UNION ALL
+  SELECT channel, cohort, CASE WHEN done THEN outer_step + 1 ELSE outer_step END, CASE WHEN done THEN 0 ELSE inner_step + 1 END,
+    new_low, new_high, CASE WHEN done THEN (new_low + new_high) / 2 ELSE log_smooth END,
+    CASE WHEN done THEN -16.0 WHEN user_slope > 0 THEN low ELSE log_user END,
+    CASE WHEN done THEN 12.0 WHEN user_slope > 0 THEN log_user ELSE high END,
+    CASE WHEN done THEN -2.0 WHEN user_slope > 0 THEN (low + log_user) / 2 ELSE (log_user + high) / 2 END, m, a
+  FROM (
+    SELECT *, CASE WHEN done AND {_SMOOTH_SLOPE} <= 0 THEN log_smooth ELSE low_smooth END AS new_low,
+      CASE WHEN done AND {_SMOOTH_SLOPE} > 0 THEN log_smooth ELSE high_smooth END AS new_high,
+      CASE WHEN NOT done THEN {_USER_SLOPE} END AS user_slope
+    FROM (
+      SELECT *, inner_step = {_INNER} AS done, CASE WHEN inner_step < {_INNER} THEN {_SMOOTH_RESIDUAL} END AS r
+      FROM (
+        SELECT * REPLACE ({_SOLVED} AS m)
+        FROM (
+          SELECT s.* REPLACE (exp(s.log_user) AS a), t.gram, t.sizes, t.n_rows
+          FROM curve_search s JOIN curve_stats t USING (channel, cohort)
+          WHERE outer_step < {_OUTER} OR inner_step < {_INNER}))))),
+curve_fits AS MATERIALIZED (
+  SELECT channel, cohort, n_rows, n_users, sizes, a, s, m, m[{_Q + 1}][{_Q + 1}] / (n_rows - 2) AS sigma2
+  FROM (
+    SELECT * REPLACE ({_SOLVED} AS m), exp(log_smooth) AS s
+    FROM (SELECT c.* REPLACE (exp(c.log_user) AS a), t.gram, t.sizes, t.n_rows, t.n_users FROM curve_search c
+          JOIN curve_stats t USING (channel, cohort) WHERE outer_step = {_OUTER} AND inner_step = {_INNER})))"""
+_AT = f"{_BASIS}[day + 11]"
+CURVES = f"""fitted AS (
+  SELECT f.channel, f.cohort, day, mean_y,
+    shift + list_sum(list_transform(range(1, {_Q + 1}), lambda i: z[i] * m[i][{_Q + 1}])) AS fit,
+    sqrt(sigma2 * {total('z[i] * z[j] * m[i][j]', _Q)}) AS se
+  FROM (SELECT channel, cohort, day, {_AT} AS z, avg(excess) AS mean_y, any_value(shift) AS shift FROM near GROUP BY 1, 2, 3) d
+  JOIN curve_fits f ON f.channel = d.channel AND f.cohort = d.cohort)"""
 FIT_STEPS = [MODEL_ROWS, CENTRED, USER_CENTRED, GRAMS, SEARCH]
 OUTPUT_STEPS = [*FIT_STEPS, EFFECTS, PREDICTED, OUTPUTS]
 
@@ -232,16 +327,26 @@ def model_oracle(elevated: str, elevated_query: str) -> dict[str, str]:
         "elevated_rate_imputed": recursive(*OUTPUT_STEPS, elevated, elevated_query),
         "excess_by_day": recursive(
             *OUTPUT_STEPS,
-            "excess AS ("
-            + " UNION ALL ".join(
-                f"SELECT '{c}' AS channel, cohort, days_since_onset, {c}__bl_resids AS excess FROM outputs "
-                f"WHERE valid_user__{c} = 1 AND valid_day__{c} = 1"
-                for c in ("steps", "sleep")
-            )
-            + ")",
+            EXCESS,
             f"SELECT channel, cohort, days_since_onset, {_round('avg(excess)')} AS mean_excess, count(excess) AS n_days "
             "FROM excess WHERE days_since_onset BETWEEN -10 AND 20 GROUP BY 1, 2, 3",
         ),
+        "smooth_curve": recursive(
+            *OUTPUT_STEPS, EXCESS, SMOOTH, CURVES,
+            f"SELECT channel, cohort, day AS days_since_onset, {_round('mean_y')} AS mean_y, {_round('fit')} AS fit, "
+            f"{_round('se')} AS se, {_round('fit - se')} AS low, {_round('fit + se')} AS high FROM fitted",
+        ),
+        "smooth_fit": recursive(
+            *OUTPUT_STEPS, EXCESS, SMOOTH,
+            f"SELECT channel, cohort, n_rows, n_users, {_round('sigma2')} AS residual_variance, "
+            f"{_round('sigma2 * a')} AS user_variance, {_round('sigma2 * s')} AS smooth_variance, "
+            + _round(f"{_Q - 1} - list_sum(list_transform(range(3, {_Q + 1}), lambda i: m[i][i])) / s") + " AS edf_curve, "
+            + _round(
+                "n_users - list_sum(list_transform(sizes, lambda z: z.users / (1 + z.n * a) "
+                f"+ a / (1 + z.n * a) ** 2 * {total('m[i][j] * z.b[i][j]', _Q)}))"
+            )
+            + " AS edf_users FROM curve_fits",
+        ),
         "lmm_levels": recursive(
             MODEL_ROWS.replace("day_of_week, week_L", "day_of_week, cohort || ' in ' || flu_period AS setting, week_L"),
             "counted AS (SELECT model, day_of_week AS level, count(*) AS n FROM model_rows GROUP BY 1, 2 "

@@ -577,6 +577,15 @@ def smooth_curve(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(study.excess_curves(long, USER, COHORT, DAY), "mean_y", "fit", "se", "low", "high", places=4)
 
 
+def smooth_fit(spark: SparkSession, d: str) -> DataFrame:
+    """What a summary of the smooth fits says: variances and effective degrees of freedom."""
+    long = study.excess_long(_outputs(spark, d), ["steps", "sleep"], [USER, COHORT], DAY)
+    table = study.excess_fits(long, USER, COHORT, DAY).summary()
+    return _rounded(
+        table, "residual_variance", "user_variance", "smooth_variance", "edf_curve", "edf_users", places=4
+    )
+
+
 def _by_state(spark: SparkSession, d: str) -> DataFrame:
     """Model outputs with the day's state mean in place of a fitted prediction: the same rules, checkable in SQL."""
     scale = {"steps": 1000.0, "heart": 1.0, "sleep": 60.0}
@@ -623,6 +632,6 @@ QUERIES = {
         duration_median, duration_density, rank_sum_pairs, valid_user_counts, zscore_user, user_rank, coverage_grid,
         elevated_rate, error_bars, spread_medians, lmm_levels, lmm_user_sums, lmm_level_products,
         lmm_size_products, lmm_fit, lmm_predict, impute_values, residuals,
-        zscore_imputed, elevated_rate_imputed, excess_by_day, smooth_curve, impute_by_state, excess_by_state,
+        zscore_imputed, elevated_rate_imputed, excess_by_day, smooth_curve, smooth_fit, impute_by_state, excess_by_state,
     ]
 }

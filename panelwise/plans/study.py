@@ -267,9 +267,13 @@ def excess_by_day(long: DataFrame, cohort: str, day: str, first_day: int = -10,
     )
 
 
+def excess_fits(long: DataFrame, user: str, cohort: str, day: str) -> smooth.CurveFits:
+    """Smooth excess curves for every (channel, cohort): ``curves()`` and ``summary()`` of the result."""
+    return smooth.fit_all(long, ["channel", cohort], user, day, "excess")
+
+
 def excess_curves(long: DataFrame, user: str, cohort: str, day: str) -> DataFrame:
-    """Smooth excess curves for every (channel, cohort)."""
-    return smooth.fit_curves(long, ["channel", cohort], user, day, "excess")
+    return excess_fits(long, user, cohort, day).curves()
 
 
 def duration_tests(events: DataFrame, cohort: str, labels: list[str], duration: str = "duration") -> DataFrame:

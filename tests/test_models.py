@@ -295,3 +295,52 @@ def test_few_days_fall_back_to_simple_curves(spark):
     curve = {(r["cohort"], r["day"]): r["fit"] for r in smooth.fit_curves(df, ["cohort"], "user_id", "day", "y").collect()}
     assert curve[("one", 0)] == pytest.approx(2.0, abs=1e-6)
     assert curve[("two", 1)] - curve[("two", 0)] == pytest.approx(1.0, abs=1e-6)
+
+
+def test_effective_degrees_of_freedom_are_traces_of_the_influence_matrix(spark):
+    rows = curve_rows(seed=4, n_users=14)
+    df = spark.createDataFrame(rows, "cohort string, user_id string, day int, y double")
+    fits = smooth.fit_all(df, ["cohort"], "user_id", "day", "y")
+    for r in fits.summary().collect():
+        mine = [x for x in rows if x[0] == r["cohort"]]
+        design = smooth.range_design(-10, 20)
+        users = sorted({x[1] for x in mine})
+        x = np.array([design[d[2] + 10] for d in mine])
+        z = np.array([[float(d[1] == u) for u in users] for d in mine])
+        full = np.column_stack([x, z])
+        fit = fits.fits[(r["cohort"],)].fit
+        penalty = np.diag([0.0, 0.0, *[1 / fit.smooth_ratio] * 8, *[1 / fit.user_ratio] * len(users)])
+        influence = np.linalg.solve(full.T @ full + penalty, full.T @ full)
+        trace = np.diag(influence)
+        assert r["edf_curve"] == pytest.approx(trace[1:10].sum(), rel=1e-6)
+        assert r["edf_users"] == pytest.approx(trace[10:].sum(), rel=1e-6)
+        assert (r["n_rows"], r["n_users"]) == (len(mine), len(users))
+        assert r["user_variance"] == pytest.approx(fit.sigma2 * fit.user_ratio)
+
+
+def test_slopes_are_those_of_the_surface(spark):
+    rows = curve_rows(seed=6, n_users=10)
+    df = spark.createDataFrame(rows, "cohort string, user_id string, day int, y double")
+    c = smooth.fit_all(df, ["cohort"], "user_id", "day", "y").fits[("a",)]
+    surface = reml._Surface(c.moments, int(sum(r["n"] for r in c.stats)), c.fixed)
+    h = 1e-5
+    for a, t in ((-3.0, 2.0), (0.5, -4.0), (1.0, 6.0)):
+        value = lambda x, y: surface.value(np.array([x]), np.array([y]))[0]
+        assert surface.user_slope(np.array([a]), t)[0] == pytest.approx((value(a + h, t) - value(a - h, t)) / (2 * h), rel=1e-4, abs=1e-4)
+        assert surface.smooth_slope(a, t) == pytest.approx((value(a, t + h) - value(a, t - h)) / (2 * h), rel=1e-4, abs=1e-4)
+    at = np.log([c.fit.user_ratio, c.fit.smooth_ratio])
+    assert abs(surface.user_slope(at[:1], at[1])[0]) < 1e-6 and abs(surface.smooth_slope(*at)) < 1e-6
+
+
+def test_curves_with_missing_days_and_too_many_products(spark, monkeypatch):
+    rows = [r for r in curve_rows(seed=3, n_users=12) if r[2] % 3]
+    df = spark.createDataFrame(rows, "cohort string, user_id string, day int, y double")
+    curve = smooth.fit_curves(df, ["cohort"], "user_id", "day", "y").collect()
+    assert {r["day"] for r in curve} == {d for d in range(-10, 21) if d % 3}
+    peak = max((r for r in curve if r["cohort"] == "a"), key=lambda r: r["fit"])
+    assert abs(peak["day"] - 2) <= 3
+    monkeypatch.setattr(smooth, "MOST_PRODUCTS", 2)
+    with pytest.raises(ValueError, match="more than 2 curves"):
+        smooth.fit_curves(df, ["cohort"], "user_id", "day", "y")
+    empty = smooth.fit_all(df.limit(0), ["cohort"], "user_id", "day", "y")
+    assert empty.curves().collect() == [] and empty.summary().collect() == []

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from panelwise.operators import mixed, panel, timecourse
+from panelwise.operators import mixed, panel, smooth, timecourse
 from panelwise.plans import study
 from panelwise.session import cut
 from panelwise.sources import testviews as tv
@@ -59,13 +59,10 @@ def test_daily_reports_combine_before_the_shuffle(spark, days):
     assert plan.index("partial_sum") > plan.index("Exchange hashpartitioning")
 
 
-def test_predictions_split_a_user_with_most_rows(spark):
+@pytest.fixture
+def hot_user(spark):
+    """300,000 rows, 60 percent of them of one user, under limits at which that is skew."""
     users = F.when(F.col("id") % 5 < 3, F.lit("hot")).otherwise(F.concat(F.lit("u"), F.col("id") % 997))
-    df = spark.range(0, 300_000, 1, 16).select(users.alias("user_id"), F.rand(1).alias("v"))
-    effects = df.select("user_id").distinct().select("user_id", F.lit("m").alias("model"), F.lit(2.0).alias("effect"))
-    fits = SimpleNamespace(
-        specs=[SimpleNamespace(name="m")], user="user_id", user_effects=lambda: effects, fixed_part=lambda spec: F.col("v")
-    )
     limits = {
         "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
@@ -73,12 +70,39 @@ def test_predictions_split_a_user_with_most_rows(spark):
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
     }
     before = {k: spark.conf.get(k, None) for k in limits}
-    try:
-        for k, v in limits.items():
-            spark.conf.set(k, v)
-        got = mixed.MixedFits.predict(fits, df)
-        assert len(got.toPandas()) == 300_000
-        assert "skew=true" in plan_of(got)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    yield spark.range(0, 300_000, 1, 16).select(users.alias("user_id"), F.rand(1).alias("v"))
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_predictions_split_a_user_with_most_rows(hot_user):
+    effects = hot_user.select("user_id").distinct().select("user_id", F.lit("m").alias("model"), F.lit(2.0).alias("effect"))
+    fits = SimpleNamespace(
+        specs=[SimpleNamespace(name="m")], user="user_id", user_effects=lambda: effects, fixed_part=lambda spec: F.col("v")
+    )
+    got = mixed.MixedFits.predict(fits, hot_user)
+    assert len(got.toPandas()) == 300_000
+    assert "skew=true" in plan_of(got)
+
+
+def test_scores_split_a_user_with_most_rows(hot_user):
+    got = panel.zscores(hot_user, "user_id", ["v"])
+    held = got.toPandas()
+    assert "skew=true" in plan_of(got)
+    own = held.groupby("user_id")["v"]
+    expected = (held["v"] - own.transform("mean")) / own.transform("std")
+    assert len(held) == 300_000 and (held["v_z"] - expected).abs().max() < 1e-9
+
+
+def test_curves_need_no_join_on_days(spark, monkeypatch):
+    """The basis is in the plan; users' sums are the only rows that move, and none are paired."""
+    rows = [("a", f"u{u}", d, float(u + d)) for u in range(6) for d in range(-10, 21)]
+    df = spark.createDataFrame(rows, "cohort string, user_id string, day int, y double")
+    seen = []
+    real = smooth._between
+    monkeypatch.setattr(smooth, "_between", lambda *args: seen.append(real(*args)) or seen[-1])
+    smooth.fit_curves(df, ["cohort"], "user_id", "day", "y").collect()
+    plan = plan_of(seen[0])
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2
