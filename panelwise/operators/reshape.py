@@ -76,3 +76,10 @@ def all_rows(*frames: DataFrame) -> DataFrame:
     for frame in frames[1:]:
         stacked = stacked.unionByName(frame, allowMissingColumns=True)
     return stacked
+
+
+def with_position(df: DataFrame, column: str, order: list[str], name: str) -> DataFrame:
+    """Adds the place of ``column`` in a fixed list; unlisted values share the place after it, missing ones have none."""
+    listed = F.create_map(*[F.lit(x) for place, value in enumerate(order, 1) for x in (value, place)])
+    place = F.coalesce(listed[F.col(column)], F.lit(len(order) + 1))
+    return df.withColumn(name, F.when(F.col(column).isNotNull(), place))

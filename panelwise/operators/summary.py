@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelwise.functions.numeric import any_true, ratio
 from panelwise.functions.text import count_percent_text, percent_text
 from panelwise.operators.ranking import spread_median
+from panelwise.operators.selection import medians
 from panelwise.session import cut
 
 
@@ -24,11 +25,44 @@ def counts(
 
     ``clean`` rewrites responses. It runs once per distinct response after a first count, not once per row.
     """
+    return _all_counts(long, by, response, clean).filter(F.col(response).isNotNull())
+
+
+def _all_counts(long: DataFrame, by: list[str], response: str, clean: Callable[[Column], Column] | None) -> DataFrame:
     counted = long.dropna(subset=by).groupBy(*by, response).agg(F.count(F.lit(1)).alias("n"))
-    if clean is not None:
-        cleaned = counted.withColumn(response, clean(F.col(response)))
-        counted = cleaned.groupBy(*by, response).agg(F.sum("n").alias("n"))
-    return counted.filter(F.col(response).isNotNull())
+    if clean is None:
+        return counted
+    return counted.withColumn(response, clean(F.col(response))).groupBy(*by, response).agg(F.sum("n").alias("n"))
+
+
+class IncompleteAnswers(ValueError):
+    """Counts that do not add up to the rows they were taken from."""
+
+
+def complete_counts(
+    long: DataFrame, by: list[str], response: str = "value", clean: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """``counts``, written, for tables in which every row must have a (cleaned) response.
+
+    Rows and answers are added up while the counts are computed, so the check needs no pass of its own. If they
+    differ the short table of counts names the groups, and the counts are not returned.
+    """
+    seen = Observation()
+    answered = F.col(response).isNotNull()
+    every = _all_counts(long, by, response, clean)
+    watched = every.observe(
+        seen, F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.when(answered, F.col("n"))), F.lit(0)).alias("n_counted"),
+    )
+    written = cut(watched)
+    totals = seen.get
+    if totals["n_rows"] != totals["n_counted"]:
+        missing = written.filter(~answered).orderBy(F.desc("n"), *by).limit(5).collect()
+        groups = "; ".join(", ".join(str(r[c]) for c in by) + f": {r['n']}" for r in missing)
+        raise IncompleteAnswers(
+            f"{totals['n_counted']} answers in {totals['n_rows']} rows; without an answer: {groups}"
+        )
+    return written
 
 
 def with_share(counted: DataFrame, within: list[str]) -> DataFrame:
@@ -114,6 +148,37 @@ def continuous_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
+STATISTICS = ["Mean ± SD", "Median", "Min - Max"]
+
+
+def continuous_table(
+    long: DataFrame, cohorts: list[str], cohort: str = "cohort_label", question: str = "variable", value: str = "value"
+) -> DataFrame:
+    """Rows (question, statistic), one text column per cohort: the continuous form of ``summary_table``.
+
+    ``long`` has a row for every cohort and question of a person; cohorts may overlap. Means, ranges and medians of all
+    groups are taken together, the medians by histograms, so neither a large cohort nor many questions are gathered.
+    Medians and ranges are shown in full. A cohort without a value stays empty.
+    """
+    by = [cohort, question]
+    x = F.col(value).cast("double")
+    known = long.filter(F.col(cohort).isin(cohorts) & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    moments = known.groupBy(*by).agg(
+        F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"), F.min(x).alias("_low"), F.max(x).alias("_high")
+    )
+    texts = [
+        F.format_string("%.1f ± %.1f", "_mean", F.coalesce("_sd", F.lit(float("nan")))),
+        F.col("median").cast("string"), F.concat(F.col("_low").cast("string"), F.lit(" - "), F.col("_high").cast("string")),
+    ]
+    cells = F.inline(
+        F.array(*[F.struct(F.lit(name).alias("statistic"), t.alias("_cell")) for name, t in zip(STATISTICS, texts)])
+    )
+    shown = moments.join(medians(known, by, value), by).select(*by, cells)
+    return shown.groupBy(question, "statistic").agg(
+        *[F.max(F.when(F.col(cohort) == c, F.col("_cell"))).alias(c) for c in cohorts]
+    )
+
+
 def flag_crosstab(df: DataFrame, user: str, flags: list[str]) -> DataFrame:
     """Distinct users per combination of flags, missing as false."""
     filled = df.select(user, *[F.coalesce(f, F.lit(False)).alias(f) for f in flags])

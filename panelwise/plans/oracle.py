@@ -572,3 +572,99 @@ ranked AS (
 ORACLE |= model_oracle(
     ELEVATED.replace("heart__observed", "heart__imputed").replace("activity_panel", "outputs"), ELEVATED_RATES
 )
+
+CONTINUOUS = """held AS (
+  SELECT cohort_label, 'balance' AS variable, balance AS value FROM participants JOIN membership USING (user_id)
+  UNION ALL
+  SELECT cohort_label, 'largest_order', o_totalprice FROM (
+    SELECT o_custkey AS user_id, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1) JOIN membership USING (user_id)),
+numbered AS (
+  SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY cohort_label, variable) AS n FROM held
+  WHERE value IS NOT NULL WINDOW w AS (PARTITION BY cohort_label, variable ORDER BY value)),
+texts AS (
+  SELECT cohort_label, variable, unnest(['Mean ± SD', 'Median', 'Min - Max']) AS statistic,
+    unnest([printf('%.1f', avg(value)) || ' ± ' || printf('%.1f', stddev_samp(value)),
+      CAST((max(CASE WHEN place = (n + 1) // 2 THEN value END) + max(CASE WHEN place = n // 2 + 1 THEN value END)) / 2.0
+        AS VARCHAR),
+      CAST(min(value) AS VARCHAR) || ' - ' || CAST(max(value) AS VARCHAR)]) AS cell
+  FROM numbered GROUP BY 1, 2)"""
+REGION_RANKS = """nation_cents AS (
+  SELECT r_name AS side, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents
+  FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name, n_nationkey),
+sides AS (SELECT side, count(*) AS n FROM nation_cents GROUP BY 1),
+compared AS (
+  SELECT a.side AS cohort_a, b.side AS cohort_b,
+    sum(CASE WHEN a.cents > b.cents THEN 1.0 WHEN a.cents = b.cents THEN 0.5 ELSE 0.0 END) AS u
+  FROM nation_cents a JOIN nation_cents b ON a.side < b.side GROUP BY 1, 2),
+sized AS (
+  SELECT cohort_a, cohort_b, a.n AS n_a, b.n AS n_b, CAST(u AS DOUBLE) AS u FROM compared
+  JOIN sides a ON a.side = cohort_a JOIN sides b ON b.side = cohort_b),
+arranged AS (
+  SELECT cohort_a, cohort_b, list_sum(list_transform(range(0, n_a + n_b), lambda i: (i + 1) * ((mask >> i) & 1)))
+    - n_a * (n_a + 1) / 2 AS arranged_u
+  FROM sized, range(0, 1024) AS m(mask)
+  WHERE mask < (1 << (n_a + n_b)) AND bit_count(mask) = n_a)"""
+DENSITY_CELLS = """spans AS (
+  SELECT cohort, count(balance) AS n, min(balance) AS lo, max(balance) AS hi,
+    stddev_samp(balance) * pow(count(balance), -0.2) AS bw FROM participants WHERE balance IS NOT NULL GROUP BY 1),
+shared AS (
+  SELECT cohort, lo + least(floor((balance - lo) / ((hi - lo) / 1023)), 1022) * ((hi - lo) / 1023) AS node,
+    (balance - lo) / ((hi - lo) / 1023) - least(floor((balance - lo) / ((hi - lo) / 1023)), 1022) AS right_part
+  FROM participants JOIN spans USING (cohort)),
+nodes AS (
+  SELECT cohort, node, count(*) - sum(right_part) AS weight FROM shared GROUP BY 1, 2
+  UNION ALL SELECT cohort, node + (hi - lo) / 1023, sum(right_part) FROM shared JOIN spans USING (cohort) GROUP BY 1, 2),
+grid_points AS (
+  SELECT s.*, CAST(i AS INTEGER) AS point, lo - 3 * bw + i * (hi - lo + 6 * bw) / 199 AS x
+  FROM spans s CROSS JOIN range(0, 200) AS r(i))"""
+ORACLE |= {
+    "summary_continuous_cohorts": with_views(
+        CONTINUOUS,
+        "SELECT variable, statistic, "
+        + ", ".join(f"max(CASE WHEN cohort_label = '{c}' THEN cell END) AS \"{c}\"" for c in ALL + DENSE)
+        + " FROM texts GROUP BY 1, 2",
+    ),
+    "summary_headers": with_views(
+        DEMOGRAPHIC_ANSWERS, FULL, COUNTED,
+        "headers AS (SELECT cohort_label, cohort_label || ' (N=' || count(DISTINCT user_id) || ')' AS header FROM sets GROUP BY 1)",
+        "filled AS (SELECT variable, value, header, coalesce(max(CAST(round_even(percent, 1) AS VARCHAR) || '%'), '0.0%') AS cell "
+        "FROM (SELECT DISTINCT variable, value FROM counted) CROSS JOIN headers "
+        "LEFT JOIN shares USING (cohort_label, variable, value) GROUP BY 1, 2, 3)",
+        "PIVOT filled ON header USING max(cell) GROUP BY variable, value",
+    ),
+    "answers_complete": with_views(
+        DEMOGRAPHIC_ANSWERS, EVERY, COUNTED,
+        "SELECT cohort_label, variable, CAST(sum(n) AS BIGINT) AS n_answers, count(*) AS n_distinct FROM counted GROUP BY 1, 2",
+    ),
+    "activity_set_sizes": with_views("SELECT cohort_label, count(DISTINCT user_id) AS n_users FROM activity_sets GROUP BY 1"),
+    "symptom_set_count": with_views(
+        PRESENT,
+        """user_sets AS (
+  SELECT s.user_id, coalesce(string_agg(p.symptom, '+' ORDER BY p.symptom), '') AS symptom_set
+  FROM survey s LEFT JOIN (SELECT * FROM present WHERE symptom IN (SELECT symptom FROM top)) p ON p.user_id = s.user_id
+  WHERE s.cohort IN ('alpha', 'beta') GROUP BY 1)""",
+        "SELECT count(DISTINCT symptom_set) AS n_sets, count(*) AS n_reports FROM user_sets",
+    ),
+    "rank_sum_exact": with_views(
+        REGION_RANKS,
+        f"""SELECT s.cohort_a, s.cohort_b, n_a, n_b, u,
+  {_round('greatest(abs(u - n_a * n_b / 2.0) - 0.5, 0) / sqrt(n_a * n_b / 12.0 * (n_a + n_b + 1))')} AS z,
+  {_round('least(1.0, 2.0 * count(CASE WHEN arranged_u >= greatest(u, n_a * n_b - u) THEN 1 END) / count(*))')} AS p_value
+FROM sized s JOIN arranged a ON a.cohort_a = s.cohort_a AND a.cohort_b = s.cohort_b GROUP BY s.cohort_a, s.cohort_b, n_a, n_b, u""",
+    ),
+    "density_continuous": with_views(
+        DENSITY_CELLS,
+        f"""SELECT p.cohort, point, {_round('x')} AS x,
+  {_round('sum(weight * exp(-0.5 * pow((x - node) / bw, 2))) / any_value(n * bw) / sqrt(2 * pi())', 10)} AS density
+FROM grid_points p JOIN nodes USING (cohort) GROUP BY p.cohort, point, x""",
+    ),
+    "coverage_order": "SELECT cohort, channel, day_type, count(*) AS n_days, "
+    "CASE cohort WHEN 'alpha' THEN 1 WHEN 'gamma' THEN 2 WHEN 'beta' THEN 3 END AS cohort_position, "
+    "CASE channel WHEN 'Steps' THEN 1 WHEN 'RHR' THEN 2 WHEN 'Sleep' THEN 3 END AS channel_position, "
+    "CASE day_type WHEN 'Symptoms Onset' THEN 1 WHEN 'alpha observation' THEN 2 WHEN 'gamma observation' THEN 3 "
+    "WHEN 'beta observation' THEN 4 WHEN 'no observation' THEN 5 END AS day_type_position "
+    f"FROM ({ORACLE['coverage_grid']}) GROUP BY cohort, channel, day_type",
+    "derived_names": with_views(
+        "SELECT user_id, " + ", ".join(f'symptoms__{k} AS "felt {k}"' for k in KINDS) + " FROM survey"
+    ),
+}

@@ -174,7 +174,7 @@ def duration_density(events: DataFrame) -> DataFrame:
 
 
 def duration_tests(events: DataFrame) -> DataFrame:
-    return inference.rank_sum_pairs(_durations(events), COHORT, "duration", text.COHORTS)
+    return inference.rank_sum_pairs(_durations(events), COHORT, "duration", text.COHORTS, small=8)
 
 
 def daily_prevalence(days: DataFrame) -> DataFrame:

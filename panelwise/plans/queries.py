@@ -86,6 +86,14 @@ def select_pattern(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(USER, *reshape.matching(rows.columns, contains="symptoms__", without=["symptoms__promo"]))
 
 
+def derived_names(spark: SparkSession, d: str) -> DataFrame:
+    """A list of columns under names made from their own."""
+    rows = tv.events_survey(spark, d)
+    return rows.select(
+        USER, *[F.col(old).alias(new) for old, new in zip(SYMPTOMS, reshape.renamed(SYMPTOMS, "symptoms__", "felt "))]
+    )
+
+
 def rename_map(spark: SparkSession, d: str) -> DataFrame:
     rows = tv.events_survey(spark, d).select(USER, *SYMPTOMS)
     return reshape.rename(rows, {s: s.split("__")[-1] for s in SYMPTOMS})
@@ -267,6 +275,43 @@ def summary_continuous(spark: SparkSession, d: str) -> DataFrame:
     return summary.continuous_summary(tv.participants(spark, d), [COHORT], "balance")
 
 
+def summary_continuous_cohorts(spark: SparkSession, d: str) -> DataFrame:
+    """Two continuous questions in six overlapping cohorts."""
+    largest = tv.table(spark, d, "orders").groupBy(F.col("o_custkey").alias(USER)).agg(
+        F.max("o_totalprice").alias("largest_order")
+    )
+    people = tv.participants(spark, d).join(largest, USER, "left")
+    rows = cut(people.select(_labels().alias("labels"), "balance", "largest_order"))  # read in every round
+    long = reshape.melt(
+        rows.select(F.explode("labels").alias("cohort_label"), "balance", "largest_order"), ["cohort_label"],
+        ["balance", "largest_order"],
+    )
+    return summary.continuous_table(long, ALL + DENSE)
+
+
+def summary_headers(spark: SparkSession, d: str) -> DataFrame:
+    """The percent table with the size of each cohort in its column's name."""
+    people = tv.participants(spark, d)
+    table = summary.summary_table(_demographics(spark, d, _full()), ALL, "percent")
+    return summary.with_sizes(table, _sizes(people), ALL)
+
+
+def answers_complete(spark: SparkSession, d: str) -> DataFrame:
+    """Counts that were checked against their rows while they were made."""
+    long = reshape.melt(
+        tv.participants(spark, d).select(F.explode(_labels()).alias("cohort_label"), *QUESTIONS), ["cohort_label"], QUESTIONS
+    )
+    counted = summary.complete_counts(long, ["cohort_label", "variable"], clean=study.tidy_answer())
+    return counted.groupBy("cohort_label", "variable").agg(
+        F.sum("n").alias("n_answers"), F.count(F.lit(1)).alias("n_distinct")
+    )
+
+
+def activity_set_sizes(spark: SparkSession, d: str) -> DataFrame:
+    people = tv.participants(spark, d)
+    return cohorts.sizes(cohorts.membership(people, USER, cohorts.activity_label(VALID, *ACTIVITY)), USER)
+
+
 def contingency(spark: SparkSession, d: str) -> DataFrame:
     return summary.contingency(_demographics(spark, d, _full()), ALL)
 
@@ -379,6 +424,10 @@ def symptom_sets(spark: SparkSession, d: str) -> DataFrame:
     return study.symptom_sets(_combos(spark, d), COHORT, ["alpha", "beta"], 3)
 
 
+def symptom_set_count(spark: SparkSession, d: str) -> DataFrame:
+    return study.symptom_set_count(_combos(spark, d), COHORT, ["alpha", "beta"], 3)
+
+
 def _peaks(spark: SparkSession, d: str) -> DataFrame:
     reports = timecourse.daily_reports(tv.daily_symptoms(spark, d), [COHORT], DAY, ITEMS)
     totals = timecourse.daily_totals(reports, [COHORT], DAY, ITEMS)
@@ -429,6 +478,21 @@ def rank_sum_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(tested, "u", "z", "p_value")
 
 
+def rank_sum_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Few members a side: the nations of two regions by their customers' balances, in cents."""
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")
+    nations = tv.table(spark, d, "nation").join(tv.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    held = tv.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sum(cents).alias("cents"))
+    regions = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    tested = inference.rank_sum_pairs(nations.join(held, "n_nationkey"), "r_name", "cents", regions, small=8)
+    return _rounded(tested, "z", "p_value")
+
+
+def density_continuous(spark: SparkSession, d: str) -> DataFrame:
+    curve = inference.binned_density(tv.participants(spark, d), COHORT, "balance")
+    return curve.select(COHORT, "point", _r("x"), _r("density", places=10))
+
+
 # --- panels ----------------------------------------------------------------------------------------------
 
 
@@ -456,6 +520,11 @@ def coverage_grid(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def coverage_order(spark: SparkSession, d: str) -> DataFrame:
+    grid = coverage_grid(spark, d).groupBy(COHORT, "channel", "day_type").agg(F.count(F.lit(1)).alias("n_days"))
+    return study.in_coverage_order(grid, COHORT, ["alpha", "gamma", "beta"], ["Steps", "RHR", "Sleep"])
+
+
 def elevated_rate(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: all thresholds in one pass over the z-scores of the observed values."""
     valid = tv.activity_panel(spark, d).filter(F.col("valid_user__heart") == 1)
@@ -622,14 +691,16 @@ def error_bars(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        scan_csv, scan_csv_by_name, preview, select_cols, select_pattern, rename_map, recode_labels, filter_eq, filter_in, null_flags,
+        scan_csv, scan_csv_by_name, preview, select_cols, select_pattern, derived_names,
+        rename_map, recode_labels, filter_eq, filter_in, null_flags,
         filter_range, filter_compare, filter_any_flag, fill_nulls, dense_users, care_location_clean,
         panel_consistency, melt_long, split_name, pivot_cohort, cohort_sizes, semi_cohort, anti_cohort,
         user_set_algebra, distinct_users, summary_percent, summary_ordered, summary_count, care_summary,
-        summary_continuous, contingency, flag_crosstab, collapse_flags, item_order, chi_square, chi_square_dense,
+        summary_continuous, summary_continuous_cohorts, summary_headers, answers_complete, activity_set_sizes, contingency, flag_crosstab, collapse_flags, item_order, chi_square, chi_square_dense,
         chi_square_care, chi_square_symptoms, two_prop_z, two_prop_z_dense, two_prop_z_care, two_prop_z_symptoms,
-        symptom_totals, top_symptoms, symptom_sets, peak_day, peak_day_trailing, symptom_summary, prevalence_by_day,
-        duration_median, duration_density, rank_sum_pairs, valid_user_counts, zscore_user, user_rank, coverage_grid,
+        symptom_totals, top_symptoms, symptom_sets, symptom_set_count, peak_day, peak_day_trailing, symptom_summary, prevalence_by_day,
+        duration_median, duration_density, density_continuous, rank_sum_pairs, rank_sum_exact, valid_user_counts,
+        zscore_user, user_rank, coverage_grid, coverage_order,
         elevated_rate, error_bars, spread_medians, lmm_levels, lmm_user_sums, lmm_level_products,
         lmm_size_products, lmm_fit, lmm_predict, impute_values, residuals,
         zscore_imputed, elevated_rate_imputed, excess_by_day, smooth_curve, smooth_fit, impute_by_state, excess_by_state,

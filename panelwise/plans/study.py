@@ -123,6 +123,24 @@ def symptom_sets(
     return place_in_order(kept, F.desc("total"), F.desc("cardinality"), F.asc("symptom_set"))
 
 
+def symptom_set_count(combos: DataFrame, cohort: str, labels: list[str], k: int = 5) -> DataFrame:
+    """The number of sets of top symptoms before rare ones are left out, and of the reports in them."""
+    return symptom_sets(combos, cohort, labels, k, min_share=0.0).agg(
+        F.count(F.lit(1)).alias("n_sets"), total(F.col("total")).alias("n_reports")
+    )
+
+
+def in_coverage_order(
+    grid: DataFrame, cohort: str, cohorts_in_order: list[str], channels: list[str], onset_label: str = "Symptoms Onset",
+    missing_label: str = "no observation",
+) -> DataFrame:
+    """A coverage grid with the places of cohort, channel and kind of day in which they are shown."""
+    kinds = [onset_label, *[f"{c} observation" for c in cohorts_in_order], missing_label]
+    placed = reshape.with_position(grid, cohort, cohorts_in_order, "cohort_position")
+    placed = reshape.with_position(placed, "channel", channels, "channel_position")
+    return reshape.with_position(placed, "day_type", kinds, "day_type_position")
+
+
 def symptom_summary(
     counted: DataFrame, peaks: DataFrame, labels: dict[str, str], cohort: str, absent: str = "", missing: str = "NA"
 ) -> DataFrame:

@@ -105,19 +105,23 @@ def unchecked_panel(spark: SparkSession, folder: str) -> DataFrame:
 def activity_panel(spark: SparkSession, folder: str) -> DataFrame:
     daily = day_activity(spark, folder)
     observed = {c: F.when(F.col(f"valid_user__{c}") == 1, F.col(f"{c}_raw")) for c in CHANNELS}
-    # mean of the kept values on each date, from the observed days only
+    # mean of the kept values on each date, from the observed days only; one entry a calendar day, read without a join
     state = (
         daily.join(person(daily).drop("date_onset"), "user_id")
         .groupBy("study_date")
         .agg(*[F.avg(observed[c]).alias(f"state_{c}") for c in CHANNELS])
     )
+    means = state.select(
+        F.map_from_entries(F.collect_list(F.struct("study_date", F.struct(*[f"state_{c}" for c in CHANNELS]))))
+    ).scalar()
     x = F.col("week") - (F.col("weeks") - 1) / 2.0
     w = F.col("weeks").cast("double")
     w2 = w * w
     onset = F.col("days_since_onset")
     return (
         grid(spark, folder, daily)
-        .join(state, "study_date", "left")
+        .withColumn("_means", means[F.col("study_date")])
+        .withColumns({f"state_{c}": F.col(f"_means.state_{c}") for c in CHANNELS})
         .select(
             "user_id", "study_date", "cohort", "date_onset", "days_since_onset", "day_of_week",
             F.when((onset < -2) | (onset > 10), "baseline").otherwise("event").alias("flu_period"),
