@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm import tokenizing
-from panelwise.llm.common import rows, utf8
+from panelwise.llm.common import any_names, rows, utf8
 
 
 def byte_letters() -> dict[str, int]:
@@ -174,6 +174,7 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+@any_names
 def encode(
     docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.json", keep: list[str] | None = None
 ) -> DataFrame:
@@ -185,6 +186,7 @@ def encode(
     return _mapped(docs, text, vocabulary, keep, lambda ids, back: (ids,), "ids binary")
 
 
+@any_names
 def round_trip(
     docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.json", keep: list[str] | None = None
 ) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from panelwise.llm import tokenizing
 from panelwise.llm.bpe import byte_letters
-from panelwise.llm.common import rows, utf8
+from panelwise.llm.common import any_names, rows, utf8
 
 REMEMBERED, LONGEST = 400_000, 64
 
@@ -160,6 +160,7 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+@any_names
 def encode(
     docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken", keep: list[str] | None = None
 ) -> DataFrame:
@@ -177,6 +178,7 @@ def decode(tokens: DataFrame, ids: str = "ids", vocabulary: str = "byte_bpe_mult
     return _mapped(tokens, ids, vocabulary, None, {"data": pa.binary()}, lambda encoder, found: (encoder.decode(found),), True)
 
 
+@any_names
 def round_trip(
     docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken", keep: list[str] | None = None
 ) -> DataFrame:

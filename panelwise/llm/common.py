@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,50 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Names that the operators pass through as they are; the columns of ``documents``.
+PLAIN_NAMES = frozenset({"doc_id", "text", "lang", "source", "n_chars"})
+
+
+def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets the caller's columns have any names, those of an operator's own working columns included.
+
+    Columns other than those of ``PLAIN_NAMES`` go through under names of their own and get theirs back at the end. A
+    carried column with the name of a new one is replaced by it.
+    """
+    signature = inspect.signature(operator)
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        bound = signature.bind(docs, *args, **named)
+        bound.apply_defaults()
+        given = bound.arguments
+        read = {name: given[name] for name in ("text", "by", "doc_id") if name in given}
+        reads = [c for value in read.values() for c in ([value] if isinstance(value, str) else value)]
+        carried = docs.columns if given["keep"] is None else given["keep"]
+        odd = [c for c in dict.fromkeys([*carried, *reads]) if c.lower() not in PLAIN_NAMES]
+        if not odd:
+            return operator(*bound.args, **bound.kwargs)
+        own = {c: f"carried_{i}" for i, c in enumerate(odd)}
+        quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
+        columns = [quoted(c).alias(own.get(c, c)) for c in dict.fromkeys([*carried, *reads])]
+        for name, value in given.items():
+            if isinstance(value, Column):
+                columns.append(value.alias(f"given_{name}"))
+                given[name] = F.col(f"given_{name}")
+        for name, value in read.items():
+            given[name] = own.get(value, value) if isinstance(value, str) else tuple(own.get(c, c) for c in value)
+        given["keep"] = [own.get(c, c) for c in carried]
+        given[next(iter(signature.parameters))] = docs.select(*columns)
+        made = operator(*bound.args, **bound.kwargs)
+        names = {new: c for c, new in own.items()}
+        new = {c.lower() for c in made.columns if c not in names}
+        return made.select(
+            *[F.col(f"`{c}`").alias(names.get(c, c)) for c in made.columns if c not in names or names[c].lower() not in new]
+        )
+
+    return run
+
+
 def utf8(text: str | Column) -> Column:
     """The text's UTF-8 bytes, null as empty."""
     column = F.col(text) if isinstance(text, str) else text

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.llm import hashing
-from panelwise.llm.common import flat, once, rows, utf8
+from panelwise.llm.common import any_names, flat, once, rows, utf8
 
 DEPTH, CLASSES = 3, 32
 CONTEXTS = CLASSES**DEPTH
@@ -170,6 +170,7 @@ def _word_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return hashing.Slices(data).of(start, stop).view(np.int64), owner
 
 
+@any_names
 def score(
     docs: DataFrame, text: str = "text", held_out: Column | None = None, keep: list[str] | None = None,
 ) -> DataFrame:

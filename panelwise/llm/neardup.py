@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm import hashing
-from panelwise.llm.common import flat, lists, once, rows, utf8
+from panelwise.llm.common import any_names, flat, lists, once, rows, utf8
 from panelwise.llm.components import connected_components
 
 WORDS = 5
@@ -147,6 +147,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, together: int = 25
     return once(stream.mapInArrow(compare, "a long, b long"))
 
 
+@any_names
 def find_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, k: int = 64, rounds: int = 1,
     keep: list[str] | None = None,

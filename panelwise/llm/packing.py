@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.llm import tokenizing
-from panelwise.llm.common import once, rows, utf8
+from panelwise.llm.common import any_names, once, rows, utf8
 
 REST = 0
 
@@ -87,6 +87,7 @@ class Layout:
         return int(self._tail[0] // self.length + k), int(place - self._tail[k]), int(self._tail[k + 1] - place)
 
 
+@any_names
 def pack(
     docs: DataFrame, text: str = "text", by: str = "source", vocabulary: str = "word_bpe_49k.json", end: int = 2,
     length: int = 4096, window_sequences: int = 16, queues: int | None = None, targets: dict[str, float] | None = None,

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.llm import hashing
-from panelwise.llm.common import flat, rows, utf8
+from panelwise.llm.common import any_names, flat, rows, utf8
 from panelwise.session import cut
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
@@ -214,6 +214,7 @@ def _shrink(models: DataFrame, groups: list[str], prior_rows: float) -> DataFram
     return above.select(*groups, "rows", "center", "spread")
 
 
+@any_names
 def judge(
     docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), keep: list[str] | None = None,
     share: float = 0.75, steps: int = 6, cutoff: float = 12.83, prior_rows: float = 50.0,

@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import utf8
+from panelwise.llm.common import any_names, utf8
 from panelwise.operators.ranking import running_totals
 from panelwise.session import cut
 
@@ -23,6 +23,7 @@ def longest_first(sizes: dict, shards: int) -> dict:
     return placed
 
 
+@any_names
 def assign_shards(
     docs: DataFrame, text: str = "text", shards: int = 8, items: int = 8192, keep: list[str] | None = None
 ) -> DataFrame:

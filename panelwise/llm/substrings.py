@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm import hashing
-from panelwise.llm.common import flat, flat_lists, lists, once, release, rows, utf8
+from panelwise.llm.common import any_names, flat, flat_lists, lists, once, release, rows, utf8
 from panelwise.llm.suffixes import common_prefixes, suffix_ranks
 
 GRAM = 16
@@ -317,6 +317,7 @@ def _inside_characters(pairs: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.stack([first, last], axis=1)[first < last]
 
 
+@any_names
 def remove_repeats(
     docs: DataFrame, text: str = "text", length: int = 400, keep: list[str] | None = None, with_text: bool = True,
     whole_characters: bool = False,

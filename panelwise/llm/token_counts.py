@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm import tokenizing
-from panelwise.llm.common import utf8
+from panelwise.llm.common import any_names, utf8
 from panelwise.session import cut
 
 CACHE = "content binary, tokenizer string, n_tokens long"
@@ -27,6 +27,7 @@ def stored_counts(docs: DataFrame, cache: str, version: str) -> DataFrame:
     return found.filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+@any_names
 def count_tokens(
     docs: DataFrame, cache: str, text: str = "text", vocabulary: str = "byte_bpe_50k.json", limit: int = 1024,
     keep: list[str] | None = None,
