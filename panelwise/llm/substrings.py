@@ -1,9 +1,9 @@
 """Removal of long repeated byte strings, over a suffix order of phrases.
 
 Texts are cut into phrases at anchors, the least hashed 16-byte strings of each sliding window. Anchors depend on the bytes
-around them alone, so equal strings of ``length`` bytes contain the same phrases, but for their first and last bytes.
-Phrases that occur once cannot be inside a repeated string; what is left are runs of repeated phrases with their
-margins. The suffixes of these runs are put in order by the difference-cover algorithm (``suffixes``), with phrases
+around them alone, so equal strings of ``length`` bytes contain the same phrases, but for their first and last bytes. Their
+phrases are at least ``Grid.least`` bytes long together; where no such run of phrases occurs twice, nothing is repeated,
+and what is left are the repeated runs with their margins. The suffixes of these runs are put in order by the difference-cover algorithm (``suffixes``), with phrases
 as letters, and neighbours in the order tell how far each place repeats. Only windows of ``length`` bytes whose phrases
 repeat as a whole remain as candidates. Equal surroundings of an anchor settle all its windows at once; windows in
 surroundings that occur once, at the borders of repeats, are compared one by one, by 128-bit hashes.
@@ -70,6 +70,21 @@ def _phrases(grid: Grid, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, ((hashes & _LETTER) + np.uint64(1)).astype(np.int64)
 
 
+def _least_runs(grid: Grid, at: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the phrases with ``grid.least`` bytes of whole phrases from their start on, and a hash of these phrases."""
+    stop = np.searchsorted(at, at + grid.least)
+    start = np.flatnonzero(stop < len(at))
+    hashes = hashing.Slices(np.arange(len(at)), values=letters.view(np.uint64)).of(start, stop[start])
+    return start, hashes.view(np.int64)
+
+
+def _covered(grid: Grid, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Numbers of the phrases that a string whose first own anchor is one of ``starts`` can contain."""
+    stops = np.searchsorted(at, at[starts] + grid.last - grid.first)
+    opened = np.bincount(starts, minlength=len(at) + 1) - np.bincount(stops, minlength=len(at) + 1)
+    return np.flatnonzero(np.cumsum(opened)[:-1] > 0)
+
+
 def _texts(batch: pa.RecordBatch, column: str):
     data, borders = flat(batch.column(batch.schema.get_field_index(column)))
     for row, (a, b) in enumerate(zip(borders[:-1], borders[1:])):
@@ -101,26 +116,25 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     grid = Grid(length)
     long = texts.filter(F.octet_length("data") >= length)
 
-    def letters(batches):
+    def starts_of(batches):
         for batch in rows(batches, "data"):
-            owner, found = [], []
+            owner, starts, found = [], [], []
             for row, data in _texts(batch, "data"):
-                names = _phrases(grid, data)[1]
-                owner.append(np.full(len(names), row))
-                found.append(names)
-            owner = np.concatenate(owner)
-            place = np.concatenate([np.arange(len(f)) for f in found])
+                start, run = _least_runs(grid, *_phrases(grid, data))
+                owner.append(np.full(len(start), row))
+                starts.append(start)
+                found.append(run)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(owner.astype(np.int64))), pa.array(place.astype(np.int32)),
-                    pa.array(np.concatenate(found)),
+                    batch.column(0).take(pa.array(np.concatenate(owner).astype(np.int64))),
+                    pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(found)),
                 ],
-                names=["row", "place", "letter"],
+                names=["row", "place", "run"],
             )
 
-    phrases = once(long.mapInArrow(letters, "row long, place int, letter long"))
-    common = once(phrases.groupBy("letter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("letter"))
-    hits = once(phrases.join(common, "letter", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("hits")))
+    phrases = once(long.mapInArrow(starts_of, "row long, place int, run long"))
+    common = once(phrases.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run"))
+    hits = once(phrases.join(common, "run", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("hits")))
 
     release(phrases, common)
 
@@ -130,12 +144,10 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
             owner, starts, parts, ats, names, ends, depth = [], [], [], [], [], [], []
             for row, data in _texts(batch, "data"):
                 at, letter = _phrases(grid, data)
-                places = hit[borders[row]:borders[row + 1]]
+                places = _covered(grid, at, hit[borders[row]:borders[row + 1]])
                 stops = np.append(at[1:], len(data))
                 for run in np.split(places, np.flatnonzero(np.diff(places) != 1) + 1):
                     a, b = at[run[0]], stops[run[-1]]
-                    if b - a < grid.least:
-                        continue
                     left, right = max(0, a - grid.margin), min(len(data), b + grid.margin)
                     owner.append(row)
                     starts.append(left)
