@@ -71,6 +71,11 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(column.cast("binary"), F.lit(b""))
 
 
+def carries(docs: DataFrame, text: str | Column, carried: list[str]) -> bool:
+    """Whether the text is a string column that is carried anyway, so that tasks need no second copy of it."""
+    return isinstance(text, str) and text in carried and docs.schema[text].dataType.simpleString() == "string"
+
+
 def rows(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices whose ``column`` holds at most ``limit`` bytes, or one row."""
     for batch in batches:
@@ -84,12 +89,14 @@ def rows(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTE
 
 
 def _offsets(array: pa.Array) -> np.ndarray:
-    kind = np.int64 if pa.types.is_large_binary(array.type) else np.int32
+    kind = np.int64 if pa.types.is_large_binary(array.type) or pa.types.is_large_string(array.type) else np.int32
     return np.frombuffer(array.buffers()[1], dtype=kind)[array.offset:array.offset + len(array) + 1].astype(np.int64)
 
 
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column without nulls in one array, and the borders of its values."""
+    """All bytes of a binary or string column in one array, and the borders of its values; nulls are empty."""
+    if array.null_count:
+        array = array.fill_null("" if pa.types.is_string(array.type) or pa.types.is_large_string(array.type) else b"")
     offsets = _offsets(array)
     data = array.buffers()[2]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import once
+from panelwise.llm.common import once, release
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,7 +20,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     state = _state(links)
     while True:
-        links = _star(_star(links, large=True), large=False)
+        large = _star(links, large=True)
+        release(links)
+        links = _star(large, large=False)
+        release(large)
         now = _state(links)
         if now == state:
             break
@@ -50,4 +53,6 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             nearest.select("u", F.col("m").alias("v"))
         )
-    return once(moved.filter("u <> v").distinct())
+    turned = once(moved.filter("u <> v").distinct())
+    release(nearest)
+    return turned

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm import hashing
-from panelwise.llm.common import any_names, flat, lists, once, rows, utf8
+from panelwise.llm.common import any_names, carries, flat, lists, once, release, rows, utf8
 from panelwise.llm.components import connected_components
 
 WORDS = 5
@@ -84,7 +84,7 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
 
 def _inverted(values: DataFrame, share: Column) -> DataFrame:
     """``value``, ``rep``, ``n`` for the rarest values of each set that others hold too; ``alone`` is how many values it
-    holds alone, ``front`` the rarest others, ``at`` the value's place there.
+    holds alone, ``at`` the value's place among the others from the rarest on.
 
     ``values`` has ``rep``, ``n``, ``held`` (values it brings) and ``value``; ``share`` is the least number that linked
     sets have in common. Values of one set alone are the rarest, so they only use up places.
@@ -98,7 +98,7 @@ def _inverted(values: DataFrame, share: Column) -> DataFrame:
         "rep", "n", (F.col("held") - F.size("found")).alias("alone"),
         F.transform(F.slice("found", F.lit(1), places.cast("int")), lambda f: f["value"]).alias("front"),
     )
-    return front.select("rep", "n", "alone", "front", F.posexplode("front").alias("at", "value"))
+    return front.select("rep", "n", "alone", F.posexplode("front").alias("at", "value"))
 
 
 def _estimate_filter(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -144,7 +144,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, together: int = 25
                 [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
             )
 
-    return once(stream.mapInArrow(compare, "a long, b long"))
+    confirmed = once(stream.mapInArrow(compare, "a long, b long"))
+    release(counts)
+    return confirmed
 
 
 @any_names
@@ -163,73 +165,88 @@ def find_groups(
     """
     new = ["n_shingles", "component_id", "kept", "repeated"]
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    # a text that is carried goes to the tasks once
+    own_text = [] if carries(docs, text, carried) else [utf8(text).alias("_text")]
+    read, width = "_text" if own_text else text, len(carried) + 1
+    spent = []
+
+    def hold(df):
+        spent.append(once(df))
+        return spent[-1]
 
     def sketch(batches):
-        for batch in rows(batches, "_text"):
-            sets = shingle_sets(*flat(batch.column(batch.num_columns - 1)))
+        for batch in rows(batches, read):
+            sets = shingle_sets(*flat(batch.column(batch.schema.get_field_index(read))))
             digests = [_digest(s) for s in sets]
             fronts = [s[:k] for s in sets]
             values = np.concatenate(fronts) if fronts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:-1], pa.array([len(s) for s in sets], pa.int32()),
+                    *batch.columns[:width], pa.array([len(s) for s in sets], pa.int32()),
                     *[pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)],
                     lists(values, np.concatenate([[0], np.cumsum([len(f) for f in fronts])]), pa.int64()),
                 ],
-                names=[*batch.schema.names[:-1], "_n", "_d1", "_d2", "_sketch"],
+                names=[*batch.schema.names[:width], "_n", "_d1", "_d2", "_sketch"],
             )
 
-    chosen = docs.select(
-        *[F.col(f"`{c}`") for c in carried], F.col(f"`{doc_id}`").cast("long").alias("_id"), utf8(text).alias("_text")
-    )
+    chosen = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{doc_id}`").cast("long").alias("_id"), *own_text)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema if f.name != "_text")
     marked = once(
         chosen.mapInArrow(sketch, fields + "_n int, _d1 long, _d2 long, _sketch array<long>")
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    spark = docs.sparkSession
     known = marked.filter("_n > 0 and _id is not null")
+    # a set is known by its digest: an id may have rows with several sets, and equal sets have several ids
+    key = ["_n", "_d1", "_d2"]
     reps = once(
-        known.groupBy("_n", "_d1", "_d2").agg(F.min("_id").alias("rep"), F.first("_sketch").alias("sketch"))
-        .withColumnRenamed("_n", "n")
+        known.groupBy(*key).agg(
+            F.min("_row").alias("rep"), F.min("_id").alias("least"), F.first("_sketch").alias("sketch"), F.first("_n").alias("n")
+        )
     )
-    links = known.join(reps.drop("sketch"), (F.col("_n") == F.col("n")) & reps["_d1"].eqNullSafe(known["_d1"]) & reps["_d2"].eqNullSafe(known["_d2"]))
     # an id that has rows with different sets links these sets
-    same_id = links.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
+    held = hold(known.select("_id", *key).distinct().join(reps.select(*key, "rep"), key).select("_id", "rep"))
+    several = hold(held.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("_id", "a"))
+    same_id = hold(held.join(several, "_id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct())
 
     ask = F.element_at(F.array(*[F.lit(t) for t in needed(k, percent)]), F.least(F.col("n"), F.lit(2000)) + 1)
     values = reps.select("rep", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
-    entries = once(_inverted(values, ask).select("value", "rep", "n", "alone"))
+    entries = hold(_inverted(values, ask).select("value", "rep", "n", "alone"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("value")
-    entries = once(entries.join(shared, "value"))
+    entries = hold(entries.join(shared, "value"))
 
-    active = once(entries.select("rep").distinct())
+    active = hold(reps.join(entries.select("rep").distinct(), "rep").select("rep", "least", *key))
     number = active.count()
-    ids = F.broadcast(active) if number <= SENT_IDS else active
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), utf8(text).alias("_text")).join(ids, "rep", "left_semi")
+    ids = active.select(F.col("least").alias("id"))
+    ids = F.broadcast(ids) if number <= SENT_IDS else ids
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), utf8(text).alias("_text")).join(ids, "id", "left_semi")
 
     def full_sets(batches):
         for batch in rows(batches, "_text"):
             sets = shingle_sets(*flat(batch.column(1)))
+            digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["rep", "size", "members"],
+                [
+                    pa.array([len(s) for s in sets], pa.int32()), *[pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)],
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ],
+                names=[*key, "members"],
             )
 
-    every = texts.mapInArrow(full_sets, "rep long, size int, members binary")
-    # an id may have rows with other sets than the one it stands for
-    sets = once(
-        every.join(reps.select(F.col("rep").alias("rep"), F.col("n").alias("size")), ["rep", "size"], "left_semi")
-        .dropDuplicates(["rep"])
+    every = texts.mapInArrow(full_sets, "_n int, _d1 long, _d2 long, members binary")
+    # an id may have rows with other sets than those that are asked for
+    sets = hold(
+        every.dropDuplicates(key).join(active.select(*key, "rep"), key).select("rep", F.col("_n").alias("size"), "members")
     )
 
     edges = same_id
     for turn in range(rounds):
-        parts = None if turn == 0 else once(connected_components(edges))
+        parts = None if turn == 0 else hold(connected_components(edges))
         pairs = _estimate_filter(_stars(entries, parts, turn, percent), reps, k, percent)
-        edges = edges.union(_confirm(once(pairs), sets, percent))
-    parts = once(connected_components(edges))
-    placed = once(_with_parts(entries, parts))
+        found = _confirm(hold(pairs), sets, percent)
+        spent.append(found)
+        edges = edges.union(found)
+    parts = hold(connected_components(edges))
+    placed = hold(_with_parts(entries, parts))
     open_lists = placed.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
     rest = placed.join(open_lists, "value", "left_semi").select("rep", "part").distinct()
 
@@ -243,36 +260,44 @@ def find_groups(
                 names=["rep", "part", "n", "value"],
             )
 
-    held = sets.join(rest, "rep").select("rep", "part", F.col("size").alias("n"), "members")
-    full = once(held.mapInArrow(spread, "rep long, part long, n int, value long")).withColumn("held", F.col("n"))
-    tight = once(_inverted(full.select("rep", "n", "held", "value"), F.ceil(percent * F.col("n") / 100)))
+    open_sets = sets.join(rest, "rep").select("rep", "part", F.col("size").alias("n"), "members")
+    full = hold(open_sets.mapInArrow(spread, "rep long, part long, n int, value long")).withColumn("held", F.col("n"))
+    tight = hold(_inverted(full.select("rep", "n", "held", "value"), F.ceil(percent * F.col("n") / 100)))
     pairs = _stars(tight.select("value", "rep", "n", "alone"), parts, rounds, percent)
-    edges = edges.union(_confirm(once(pairs), sets, percent))
-    parts = once(connected_components(edges))
-    tight = once(_with_parts(tight, parts))
+    found = _confirm(hold(pairs), sets, percent)
+    spent.append(found)
+    edges = edges.union(found)
+    parts = hold(connected_components(edges))
+    tight = hold(_with_parts(tight, parts))
     side = lambda x: tight.select(
         "value", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"),
-        (F.col("n") - F.col("alone") - F.col("at")).alias(f"left{x}"), F.slice("front", F.lit(1), F.col("at")).alias(f"f{x}"),
+        (F.col("n") - F.col("alone") - F.col("at")).alias(f"left{x}"),
     )
-    # a pair meets at its rarest common value only, and only if enough is left behind it in both sets
+    # at a linked pair's rarest common value enough is left behind it in both sets
     both = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     pairs = side("a").withColumnRenamed("value", "va").join(
         side("b"),
         (F.col("va") == F.col("value")) & (F.col("pa") < F.col("pb")) & _similar_sizes(F.col("na"), F.col("nb"), percent)
-        & (F.col("lefta") >= both) & (F.col("leftb") >= both) & ~F.arrays_overlap("fa", "fb"),
-    ).select("a", "b")
-    edges = edges.union(_confirm(once(pairs), sets, percent))
-    final = once(connected_components(edges))
-
-    # a component is named by its smallest representative, which is its smallest id
-    narrow = marked.select("_row", "_id", F.col("_n").alias("n"), "_d1", "_d2")
-    named = narrow.join(reps.drop("sketch"), ["n", "_d1", "_d2"], "left").join(
-        final.select(F.col("node").alias("rep"), "component"), "rep", "left"
-    )
-    first = marked.groupBy("_id", "_n", "_d1", "_d2").agg(F.min("_row").alias("_row")).select("_row", F.lit(False).alias("again"))
-    own = F.when(F.col("_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("_id")))
+        & (F.col("lefta") >= both) & (F.col("leftb") >= both),
+    ).select("a", "b").distinct()
+    found = _confirm(hold(pairs), sets, percent)
+    spent.append(found)
+    edges = edges.union(found)
+    final = hold(connected_components(edges))
+
+    # a component is named by the smallest id of its sets
+    placed = hold(reps.select(*key, "rep", "least").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
+        *key, "least", F.coalesce("component", "rep").alias("component")
+    ))
+    smallest = hold(placed.groupBy("component").agg(F.min("least").alias("named")))
+    names = once(placed.join(smallest, "component").select(*key, "named"))
+    release(*spent, reps)
+
+    named = marked.select("_row", "_id", *key).join(names, key, "left")
+    first = marked.groupBy("_id", *key).agg(F.min("_row").alias("_row")).select("_row", F.lit(False).alias("again"))
+    own = F.when(F.col("_id").isNotNull(), F.coalesce("named", "_id"))
     flags = named.join(first, "_row", "left").select(
-        "_row", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"),
+        "_row", F.col("_n").cast("long").alias("n_shingles"), own.alias("component_id"),
         F.coalesce(own == F.col("_id"), F.lit(True)).alias("kept"),
         (F.coalesce("again", F.lit(True)) & F.col("_id").isNotNull()).alias("repeated"),
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.llm import hashing
-from panelwise.llm.common import any_names, flat, rows, utf8
+from panelwise.llm.common import any_names, carries, flat, once, rows, utf8
 from panelwise.session import cut
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
@@ -70,17 +70,19 @@ def count_statistics(data: np.ndarray, borders: np.ndarray, window: int = 8) ->
 def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (all columns, or those in ``keep``) plus the counts of ``COUNTS``; a null text has none of anything."""
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in COUNTS]
+    own = [] if carries(docs, text, kept) else [utf8(text).alias("_text")]
+    read = "_text" if own else text
 
     def run(batches):
-        for batch in rows(batches, "_text"):
-            counts = count_statistics(*flat(batch.column(len(kept))))
+        for batch in rows(batches, read):
+            counts = count_statistics(*flat(batch.column(batch.schema.get_field_index(read))))
             columns = [batch.column(k) for k in range(len(kept))]
             yield pa.RecordBatch.from_arrays(
                 columns + [pa.array(c, pa.int64()) for c in counts], names=[*kept, *COUNTS]
             )
 
-    chosen = docs.select(*[F.col(f"`{c}`") for c in kept], utf8(text).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "_text"]
+    chosen = docs.select(*[F.col(f"`{c}`") for c in kept], *own)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in kept]
     return chosen.mapInArrow(run, ", ".join(fields + [f"{c} long" for c in COUNTS]))
 
 
@@ -238,17 +240,19 @@ def judge(
     new = [*COUNTS, *FEATURES, "base_failed", "distance", "kept"]
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     groups = [f"_by{k}" for k in range(len(by))]
+    # a text that is carried goes to the tasks once
+    own = [] if carries(docs, text, carried) else [utf8(text).alias("_text")]
     # a group's key is text that tells null from every value
     keyed = docs.select(
-        *[F.col(f"`{c}`") for c in carried], utf8(text).alias("_text"),
+        *[F.col(f"`{c}`") for c in carried], *own,
         *[
             F.coalesce(F.concat(F.lit("="), F.col(f"`{b}`").cast("string")), F.lit("")).alias(g)
             for b, g in zip(by, groups)
         ],
     )
-    counted = statistics(keyed, "_text", [*carried, *groups])
+    counted = statistics(keyed, "_text" if own else text, [*carried, *groups])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    measured = cut(counted.withColumns(features()).withColumn("base_failed", failed))
+    measured = once(counted.withColumns(features()).withColumn("base_failed", failed))
     passed = _levels(measured.filter(~F.col("base_failed")), groups)
     levels = ["_level", *groups]
     models = cut(_start(passed, levels, list(floor)))

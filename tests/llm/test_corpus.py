@@ -289,3 +289,16 @@ def test_empty_tables(spark, docs, tmp_path):
         assert found.count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert covertree.top_k(vectors, vectors).count() == 0
+
+
+def test_sets_that_share_an_id(spark):
+    """Sets of equal size under one id keep all their links, and an id joins them."""
+    pick = random.Random(11)
+    long = lambda: [f"w{pick.randrange(10**6)}" for _ in range(60)]
+    texts = [long() for _ in range(5)]
+    rows = [(5, t) for t in texts[:4]] + [(k + 1, [*t[:-1], "end"]) for k, t in enumerate(texts)]
+    rows += [(9, long()), (None, texts[0]), (8, [])]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.find_groups(frame, percent=80).collect()]
+    want = [(5, 1, False)] * 5 + [(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (9, 9, True), (8, 8, True), (None, None, True)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
