@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm import hashing
-from panelwise.llm.common import any_names, flat, flat_lists, lists, once, release, rows, utf8
+from panelwise.llm.common import any_names, carries, flat, flat_lists, lists, once, release, rows, utf8
 from panelwise.llm.suffixes import common_prefixes, suffix_ranks
 
 GRAM = 16
@@ -345,19 +345,22 @@ def remove_repeats(
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "spans"]
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    # a text that is carried is written once
+    own = [] if carries(docs, text, carried) else [utf8(text).alias("_data")]
+    read = "_data" if own else text
     marked = once(
-        docs.select(*[F.col(f"`{c}`") for c in carried], utf8(text).alias("_data")).withColumn("_row", F.monotonically_increasing_id())
+        docs.select(*[F.col(f"`{c}`") for c in carried], *own).withColumn("_row", F.monotonically_increasing_id())
     )
-    found = repeated_spans(marked.select(F.col("_row").alias("row"), F.col("_data").alias("data")), length)
+    found = repeated_spans(marked.select(F.col("_row").alias("row"), utf8(read).alias("data")), length)
     names = new if with_text else new[:4]
 
     def apply(batches):
-        for batch in rows(batches, "_data"):
+        for batch in rows(batches, read):
             every, borders = batch.column(batch.num_columns - 1), None
             every = every.fill_null([]) if every.null_count else every
             spans, borders = flat_lists(every)
             out = []
-            for row, data in _texts(batch, "_data"):
+            for row, data in _texts(batch, read):
                 pairs = united(spans[borders[row]:borders[row + 1]])
                 if whole_characters:
                     pairs = _inside_characters(pairs, data)
@@ -370,7 +373,7 @@ def remove_repeats(
             columns = [pa.array(c, k) for c, k, _ in zip(zip(*out), kinds, names)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *columns], names=[*carried, *names])
 
-    chosen = marked.join(found, F.col("_row") == F.col("row"), "left").select(*carried, "_data", "spans")
+    chosen = marked.join(found, F.col("_row") == F.col("row"), "left").select(*carried, *(["_data"] if own else []), "spans")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema if f.name in carried)
     schema = fields + "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return chosen.mapInArrow(apply, schema + (", kept_bytes binary, spans array<long>" if with_text else ""))
