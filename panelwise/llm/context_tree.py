@@ -1,10 +1,9 @@
 """Text scores by context-tree weighting, beside a word unigram score.
 
 Bytes are predicted bit by bit, from the highest bit down, so that each byte is eight binary decisions in a tree
-of 255 nodes. Each decision has Krichevsky-Trofimov estimates for the contexts of 0 to 3 bytes before it, and
-the estimates of all depths are mixed by the weights that the training bytes give them. Context bytes are
-folded to 32 classes, so there are at most 32 768 contexts of 256 bytes: the counts that are gathered and the
-table that is sent out have this fixed bound, whatever the corpus holds.
+of 255 nodes. Each decision has Krichevsky-Trofimov estimates for the contexts of 0 to ``depth`` bytes before it, and
+the estimates of all depths are mixed by the weights that the training bytes give them. Contexts are real bytes and rows
+of a table that grows with the corpus: it is grouped depth by depth, and joined to the contexts that blocks of texts ask for.
 """
 
 from __future__ import annotations
@@ -18,42 +17,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.llm import hashing
-from panelwise.llm.common import any_names, flat, once, rows, utf8
+from panelwise.llm.common import any_names, flat, flat_lists, lists, once, places, release, rows, utf8
 
-DEPTH, CLASSES = 3, 32
-CONTEXTS = CLASSES**DEPTH
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 END = 0
+_LEVEL = (
+    "context long, bytes array<int>, n array<long>, nodes array<int>, total array<double>, ones array<double>, "
+    "weighted array<double>, share array<double>"
+)
+_MIXED = "context long, bytes array<int>, nodes array<int>, stop array<double>, fixed array<double>, free array<double>"
 
 
-def byte_classes() -> np.ndarray:
-    """White space 0, letters 1 to 26, digits 27, other ASCII 28, two halves of continuation bytes, leading bytes 31."""
-    classes = np.full(256, 28, np.int64)
-    classes[hashing.SPACE] = 0
-    classes[END] = 0
-    classes[97:123] = np.arange(1, 27)
-    classes[48:58] = 27
-    classes[0x80:0xA0], classes[0xA0:0xC0], classes[0xC0:] = 29, 30, 31
-    return classes
+def codes(data: np.ndarray, borders: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """``context * 256 + byte`` of every byte of the lower-cased texts and of an end behind each; their borders.
 
-
-def codes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``context * 256 + byte`` of every byte of the lower-cased texts and of an end behind each; their borders."""
+    A context is the ``depth`` bytes before, the latest one lowest; before a text there are ends.
+    """
     texts = len(borders) - 1
     borders = borders + np.arange(texts + 1)
-    symbols = np.full(borders[-1], END, np.uint8)
+    symbols = np.full(borders[-1], END, np.int64)
     inner = np.ones(len(symbols), bool)
     inner[borders[1:] - 1] = False
     symbols[inner] = hashing.LOWER[data]
-    kind = byte_classes()[symbols].astype(np.int32)
-    context, place = np.zeros(len(symbols), np.int32), np.arange(len(symbols), dtype=np.int32)
-    place -= np.repeat(borders[:-1].astype(np.int32), np.diff(borders))
-    for back in range(1, DEPTH + 1):
-        shifted = np.zeros(len(symbols), np.int32)
-        shifted[back:] = kind[:-back]
-        shifted[place < back] = 0
-        context += shifted * CLASSES ** (back - 1)
-    return context * 256 + symbols, borders
+    place = np.arange(len(symbols)) - np.repeat(borders[:-1], np.diff(borders))
+    out = symbols.copy()
+    for back in range(1, depth + 1):
+        shifted = symbols[:-back].copy()
+        shifted[place[back:] < back] = END
+        out[back:] += shifted << (8 * back)
+    return out, borders
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -73,85 +65,217 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def log_table(seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Log10 probability of every byte in every context, from the counts of ``context * 256 + byte``.
+def _decisions(row: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row * 256 + node`` of the binary decisions that lead to the bytes, ascending; how often they were met and gave one.
 
-    A node's weight is that of stopping at its depth against going deeper, by the training bytes; a context or
-    decision that was never seen leaves the prediction to the shorter context.
+    A node is a byte's leading bits behind a one.
     """
-    levels = [np.zeros((CLASSES**d, 256)) for d in range(DEPTH)]
-    active, row = np.unique(seen // 256, return_inverse=True)
-    deep = np.zeros((len(active), 256))
-    deep[row, seen % 256] = counts
-    levels.append(deep)
-    owners = [active % CLASSES**d for d in range(DEPTH)]
-    for d in range(DEPTH):
-        np.add.at(levels[d], owners[d], deep)
-    keys = [np.arange(CLASSES**d) for d in range(DEPTH)] + [active]
-    out = np.zeros((CONTEXTS, 256), np.float32)
-    row_of = np.full(CONTEXTS, -1)
-    row_of[active] = np.arange(len(active))
-    spread = np.arange(256)
-    for bit in range(8):
-        pair = [n.reshape(len(n), 1 << bit, 2, 128 >> bit).sum(-1) for n in levels]
-        shares, below = _shares(pair, keys), None
-        for d in range(DEPTH):
-            total, one = pair[d].sum(-1), pair[d][:, :, 1]
-            estimate = (one + 0.5) / (total + 1.0)
-            if d == 0:
-                stop, kept, free = estimate, shares[0] * estimate, 1 - shares[0]
-                continue
-            up = keys[d] % CLASSES ** (d - 1)
-            stop = np.where(total > 0, kept[up] + free[up] * estimate, stop[up])
-            kept, free = kept[up] + free[up] * shares[d] * estimate, free[up] * (1 - shares[d])
-        bits, nodes = (spread >> (7 - bit)) & 1, spread >> (8 - bit)
-        for start in range(0, CONTEXTS, 4096):
-            contexts = np.arange(start, start + 4096)
-            up, row = contexts % CLASSES ** (DEPTH - 1), row_of[contexts]
-            p = stop[up]
-            if (row >= 0).any():
-                found = row >= 0
-                below, up = pair[DEPTH][row[found]], up[found]
-                total = below.sum(-1)
-                estimate = (below[:, :, 1] + 0.5) / (total + 1.0)
-                p[found] = np.where(total > 0, kept[up] + free[up] * estimate, p[found])
-            out[start:start + 4096] += np.log10(np.where(bits, p[:, nodes], 1 - p[:, nodes]))
-    return out
-
-
-def _shares(pair: list[np.ndarray], keys: list[np.ndarray]) -> list[np.ndarray]:
-    """By depth, a node's weight of its own estimate against its children's, from the deepest level up."""
-    weighted, shares = _log_kt(pair[DEPTH][:, :, 0], pair[DEPTH][:, :, 1]), []
-    for d in range(DEPTH - 1, -1, -1):
-        own = _log_kt(pair[d][:, :, 0], pair[d][:, :, 1]) + math.log(0.5)
-        below = np.zeros_like(own)
-        np.add.at(below, keys[d + 1] % CLASSES**d, weighted)
-        weighted = np.logaddexp(own, below + math.log(0.5))
-        shares.insert(0, np.exp(own - weighted))
-    return shares
-
-
-def gather_counts(blocks: DataFrame) -> DataFrame:
-    """``code``, ``n``: how often each byte follows each context in the rows of blocks that are not held out.
-
-    A task sums its blocks before anything is shuffled.
+    keys = np.concatenate([row * 256 + ((1 << bit) | (byte >> (8 - bit))) for bit in range(8)])
+    ones = np.concatenate([n * ((byte >> (7 - bit)) & 1) for bit in range(8)])
+    keys, inverse = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(inverse, np.tile(n, 8), len(keys)), np.bincount(inverse, ones, len(keys))
+
+
+def _keyed(lists_: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """``row * 256 + value`` of the values of lists, and the lists' borders."""
+    values, borders = flat_lists(lists_)
+    return np.repeat(np.arange(len(lists_)), np.diff(borders)) * 256 + values, borders
+
+
+def _level(context: pa.Array, pairs: np.ndarray, n: np.ndarray, below: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+    """Rows of ``_LEVEL`` from the counts of ``row * 256 + byte`` and the summed logarithms of the next depth's nodes."""
+    keys, total, ones = _decisions(pairs // 256, pairs % 256, n)
+    weighted, share = _log_kt(total - ones, ones), np.ones(len(keys))
+    if below:
+        own = weighted + math.log(0.5)
+        deeper = np.bincount(np.searchsorted(keys, below[0]), below[1], len(keys))
+        weighted = np.logaddexp(own, deeper + math.log(0.5))
+        share = np.exp(own - weighted)
+    rows_ = np.arange(len(context) + 1)
+    by_byte, by_node = np.searchsorted(pairs // 256, rows_), np.searchsorted(keys // 256, rows_)
+    return pa.RecordBatch.from_arrays(
+        [
+            context, lists(pairs % 256, by_byte, pa.int32()), lists(n, by_byte, pa.int64()),
+            lists(keys % 256, by_node, pa.int32()), lists(total, by_node, pa.float64()), lists(ones, by_node, pa.float64()),
+            lists(weighted, by_node, pa.float64()), lists(share, by_node, pa.float64()),
+        ],
+        names=[f.split()[0] for f in _LEVEL.split(", ")],
+    )
+
+
+def _deepest(batches):
+    for batch in batches:
+        own = batch.column(1)
+        structs = own.flatten()
+        pairs = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy()) * 256 + structs.field("byte").to_numpy()
+        order = np.argsort(pairs)
+        yield _level(batch.column(0), pairs[order], structs.field("n").to_numpy()[order], None)
+
+
+def _shorter(batches):
+    """A context's counts and children's logarithms, from its longer contexts: at most 256 of at most 255 nodes."""
+    for batch in batches:
+        kids = batch.column(1)
+        structs = kids.flatten()
+        owner = np.repeat(np.arange(len(kids)), kids.value_lengths().to_numpy())
+        flatten = lambda name: flat_lists(structs.field(name))
+        byte, borders = flatten("bytes")
+        pairs, inverse = np.unique(np.repeat(owner, np.diff(borders)) * 256 + byte, return_inverse=True)
+        n = np.bincount(inverse, flatten("n")[0], len(pairs)).astype(np.int64)
+        node, borders = flatten("nodes")
+        below = np.repeat(owner, np.diff(borders)) * 256 + node, flatten("weighted")[0]
+        yield _level(batch.column(0), pairs, n, below)
+
+
+def _mixed(batches):
+    """Each node's probability of a one where no longer context was seen (``stop``), the part of it that is fixed already
+    (``fixed``), and the weight that is left to longer contexts (``free``); from a context's nodes and its parent's.
     """
+    for batch in batches:
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        keys, borders = _keyed(column("nodes"))
+        total, ones, share = (flat_lists(column(name))[0] for name in ("total", "ones", "share"))
+        estimate = (ones + 0.5) / (total + 1.0)
+        if "up_nodes" in batch.schema.names:
+            at = np.searchsorted(_keyed(column("up_nodes"))[0], keys)
+            stop, fixed, free = (flat_lists(column(f"up_{name}"))[0][at] for name in ("stop", "fixed", "free"))
+        else:
+            stop, fixed, free = estimate, np.zeros(len(keys)), np.ones(len(keys))
+        stop = np.where(total > 0, fixed + free * estimate, stop)
+        fixed, free = fixed + free * share * estimate, free * (1 - share)
+        yield pa.RecordBatch.from_arrays(
+            [
+                column("context"), column("bytes"), column("nodes"),
+                *[lists(x, borders, pa.float64()) for x in (stop, fixed, free)],
+            ],
+            names=[f.split()[0] for f in _MIXED.split(", ")],
+        )
+
+
+def _byte_logs(batches):
+    for batch in batches:
+        keys, _ = _keyed(batch.column(1))
+        stop, _ = flat_lists(batch.column(2))
+        pairs, borders = _keyed(batch.column(0))
+        row, byte, logs = pairs // 256, pairs % 256, np.zeros(len(pairs))
+        for bit in range(8):
+            p = stop[np.searchsorted(keys, row * 256 + ((1 << bit) | (byte >> (8 - bit))))]
+            logs += np.log10(np.where((byte >> (7 - bit)) & 1, p, 1 - p))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(3), batch.column(0), lists(logs, borders, pa.float32())], names=["context", "bytes", "logs"]
+        )
+
+
+def model(counts: DataFrame, depth: int) -> DataFrame:
+    """``context``, ``bytes``, ``logs``: the log10 probability of each byte of ``counts`` behind its context.
+
+    ``counts`` has ``code`` (``context * 256 + byte``, each once) and ``n``, the times it was learned; a code with 0 is rated
+    only. Weights are those of stopping at a depth against going deeper, by the training bytes, from the deepest
+    contexts up, one grouping a depth; the mixtures then go from the shortest context down, one join a depth. A
+    context or decision that was never learned leaves the prediction to the shorter context. A group holds a
+    context's bytes or its next longer contexts, at most 256 of either, whatever the corpus holds.
+    """
+    pair = F.struct((F.col("code") % 256).cast("int").alias("byte"), "n")
+    deepest = counts.groupBy(F.shiftright("code", 8).alias("context")).agg(F.collect_list(pair).alias("pairs"))
+    levels = [once(deepest.mapInArrow(_deepest, _LEVEL))]
+    for d in range(depth - 1, -1, -1):
+        parent = (F.col("context") % 256**d).alias("context")
+        kids = levels[0].groupBy(parent).agg(F.collect_list(F.struct("bytes", "n", "nodes", "weighted")).alias("kids"))
+        levels.insert(0, once(kids.mapInArrow(_shorter, _LEVEL), batch_rows=200))
+    mixed = levels[0].mapInArrow(_mixed, _MIXED)
+    for d in range(1, depth + 1):
+        up = mixed.select(F.col("context").alias("up"), *[F.col(c).alias(f"up_{c}") for c in ("nodes", "stop", "fixed", "free")])
+        mixed = levels[d].join(up, F.col("context") % 256 ** (d - 1) == F.col("up")).mapInArrow(_mixed, _MIXED)
+    logs = mixed.select("bytes", "nodes", "stop", "context").mapInArrow(
+        _byte_logs, "context long, bytes array<int>, logs array<float>"
+    )
+    found = once(logs)
+    release(*levels)
+    return found
+
+
+def gather_counts(blocks: DataFrame, depth: int) -> DataFrame:
+    """``code``, ``n``: all codes of blocks, and how often they occur in rows that are not held out.
+
+    A task sums its blocks, a million codes and more at a time, before anything is shuffled.
+    """
+
+    def summed(parts):
+        found, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return found, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(found)).astype(np.int64)
+
+    def emit(found, n):
+        for start in range(0, len(found), 1 << 16):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[start:start + (1 << 16)]), pa.array(n[start:start + (1 << 16)])], names=["code", "n"]
+            )
 
     def run(batches):
-        total = np.zeros(CONTEXTS * 256, np.int64)
+        parts, held = [], 0
         for batch in batches:
             for packed in batch.column("packed"):
                 part = _opened(packed.as_buffer())
-                held = part.column(part.schema.get_field_index("held_out"))
-                total += np.bincount(codes(*flat(part.column("_text").filter(pa.compute.invert(held))))[0], minlength=len(total))
-        seen = np.flatnonzero(total)
-        for start in range(0, len(seen), 1 << 16):
-            part = seen[start:start + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["code", "n"])
+                code, borders = codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)
+                learned = ~part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
+                parts.append(summed([(code, np.repeat(learned, np.diff(borders)))]))
+                held += len(parts[-1][0])
+                if held > 1 << 21:
+                    parts = [summed(parts)]
+                    held = len(parts[0][0])
+                    if held > 1 << 20:
+                        yield from emit(*parts.pop())
+                        held = 0
+        if parts:
+            yield from emit(*summed(parts))
 
     return blocks.select("packed").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def _asked(code: np.ndarray, block: int):
+    """A block's distinct codes, ascending, as one row per context with its bytes."""
+    starts = np.flatnonzero(np.diff(code >> 8, prepend=-1))
+    borders = np.append(starts, len(code)).astype(np.int32)
+    for at in range(0, len(starts), 1 << 16):
+        some = borders[at:at + (1 << 16) + 1]
+        own = (code[some[0]:some[-1]] & 255).astype(np.uint8)
+        bytes_ = pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(some - some[0]), pa.py_buffer(own)])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(code[some[:-1]] >> 8), pa.array(np.full(len(some) - 1, block)), pa.array(some[:-1]), bytes_],
+            names=["context", "block", "place", "asked"],
+        )
+
+
+def _answers(batches):
+    """The logarithms of the asked bytes of each row, in their order."""
+    for batch in batches:
+        keys, _ = _keyed(batch.column(3))
+        logs, _ = flat_lists(batch.column(4))
+        own, borders = flat(batch.column(2))
+        wanted = np.repeat(np.arange(batch.num_rows), np.diff(borders)) * 256 + own
+        found = lists(logs[np.searchsorted(keys, wanted)], borders, pa.float32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["block", "place", "logs"])
+
+
+def block_logs(blocks: DataFrame, depth: int) -> DataFrame:
+    """``block``, ``logs``: the logarithms of a block's distinct codes, as lists with their places."""
+
+    def ask(batches):
+        for batch in batches:
+            for packed, block in zip(batch.column("packed"), batch.column("block").to_pylist()):
+                part = _opened(packed.as_buffer())
+                yield from _asked(np.unique(codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)[0]), block)
+
+    counts = once(gather_counts(blocks, depth))
+    table = model(counts, depth)
+    asked = blocks.select("packed", "block").mapInArrow(ask, "context long, block long, place int, asked binary")
+    answers = asked.join(table, "context").select("block", "place", "asked", "bytes", "logs").mapInArrow(
+        _answers, "block long, place int, logs array<float>"
+    )
+    found = once(answers.groupBy("block").agg(F.collect_list(F.struct("place", "logs")).alias("logs")))
+    release(counts, table)
+    return found
+
+
 def _packed(batch: pa.RecordBatch) -> bytes:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -163,6 +287,20 @@ def _opened(data) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(data)))
 
 
+def _blocks(batches):
+    """Batches joined or cut to about ``BLOCK_BYTES`` of text, or one row."""
+    waiting, held = [], 0
+    for batch in rows(batches, "_text", BLOCK_BYTES):
+        size = batch.nbytes
+        if waiting and held + size > BLOCK_BYTES:
+            yield pa.concat_batches(waiting)
+            waiting, held = [], 0
+        waiting.append(batch)
+        held += size
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def _word_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     data, borders = flat(batch.column(batch.schema.get_field_index("_text")))
     data = hashing.LOWER[data]
@@ -173,6 +311,7 @@ def _word_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 @any_names
 def score(
     docs: DataFrame, text: str = "text", held_out: Column | None = None, keep: list[str] | None = None,
+    depth: int = 4,
 ) -> DataFrame:
     """``docs`` (all columns, or those in ``keep``) plus ``held_out``, ``n_bytes``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score``, ``score`` and ``bits_per_byte``.
@@ -183,11 +322,12 @@ def score(
     the sum over words and one end of ``log10((c + 1) / (N + 1 * (V + 1)))``; ``c`` is the token's training count, ``N``
     all training tokens, ``V`` the distinct ones. With nothing to learn from, ``N`` and ``V`` are 0.
 
-    Texts are packed into blocks of about ``BLOCK_BYTES``. A block sends each of its distinct words once, whatever its
-    documents repeat, and gets the corpus count back; a very frequent word thus has one row per block. Words
-    meet by 64-bit hash. Columns of ``docs`` with the new names are replaced; an empty table gives an empty result.
+    Texts are packed into blocks of about ``BLOCK_BYTES``. A block sends each of its distinct words and contexts once, whatever
+    its documents repeat, and gets the corpus counts and probabilities back; a very frequent word or context thus has one row
+    per block. Words meet by 64-bit hash, contexts of ``depth`` bytes (at most 6) as they are. Columns of ``docs`` with the new names are replaced; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    if not 1 <= depth <= 6:
+        raise ValueError("a context has 1 to 6 bytes")
     new = ["held_out", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     chosen = docs.select(
@@ -196,7 +336,7 @@ def score(
     )
 
     def block_up(batches):
-        for batch in rows(batches, "_text", BLOCK_BYTES):
+        for batch in _blocks(batches):
             learned = batch.filter(pa.compute.invert(batch.column("held_out")))
             n = len(_word_hashes(learned)[0]) + learned.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -209,9 +349,7 @@ def score(
         .withColumn("block", F.monotonically_increasing_id())
     )
 
-    counts = once(gather_counts(blocks)).toArrow()
-    # at most CONTEXTS * 256 rows, whatever the corpus holds
-    model = spark.sparkContext.broadcast(log_table(counts["code"].to_numpy(), counts["n"].to_numpy()))
+    logs = block_logs(blocks, depth)
 
     def block_words(batches):
         for batch in batches:
@@ -248,9 +386,8 @@ def score(
     floor = math.log10(max(n_train + v_train + 1, 1))
 
     def rate(batches):
-        table = model.value.reshape(-1)
         for batch in batches:
-            for packed, pairs in zip(batch.column("packed"), batch.column("counts")):
+            for packed, pairs, answers in zip(*batch.columns):
                 part = _opened(packed.as_buffer())
                 hashes, owner = _word_hashes(part)
                 distinct, inverse = np.unique(hashes, return_inverse=True)
@@ -261,8 +398,12 @@ def score(
                 tokens = np.bincount(owner, minlength=texts) + 1
                 base = np.bincount(owner, np.log10(c + 1), texts) + math.log10(n_ends + 1) - tokens * floor
                 known = np.bincount(owner[c > 0], minlength=texts) + (n_ends > 0)
-                symbols, borders = codes(*flat(part.column(part.schema.get_field_index("_text"))))
-                total = np.concatenate([[0.0], np.cumsum(table[symbols], dtype=float)])
+                code, borders = codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)
+                distinct, inverse = np.unique(code, return_inverse=True)
+                found, ends = flat_lists(answers.values.field("logs"))
+                own = np.zeros(len(distinct))
+                own[np.repeat(answers.values.field("place").to_numpy(), np.diff(ends)) + places(ends)] = found
+                total = np.concatenate([[0.0], np.cumsum(own[inverse])])
                 rated = total[borders[1:]] - total[borders[:-1]]
                 size = np.diff(borders) - 1
                 yield pa.RecordBatch.from_arrays(
@@ -279,4 +420,4 @@ def score(
         "held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, "
         "score double, bits_per_byte double"
     )
-    return blocks.join(by_block, "block", "left").select("packed", "counts").mapInArrow(rate, schema)
+    return blocks.join(logs, "block").join(by_block, "block", "left").select("packed", "counts", "logs").mapInArrow(rate, schema)

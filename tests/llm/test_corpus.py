@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelwise.llm import bpe, context_tree, covertree, neardup, packing, quality, sharding, substrings, token_counts
 from panelwise.llm import tokenizing, warc
@@ -223,12 +226,67 @@ def test_packing_holds_many_sources_to_their_targets(spark):
         packing.pack(frame, queues=5, targets={f"host{k:02}": 2.0 for k in range(80)})
 
 
-def test_context_tree(docs):
-    seen = np.array([97, 98, 256 + 98])
-    table = context_tree.log_table(seen, np.array([5, 3, 2]))
-    assert np.allclose((10.0 ** table[[0, 1, 2, 999]].astype(float)).sum(1), 1, atol=1e-4)
-    got = context_tree.score(docs, keep=["doc_id"]).collect()
-    assert all(r["score"] < 0 and r["n_known"] == r["n_tokens"] for r in got)
+def plain_context_tree(learned: list[bytes], depth: int):
+    """Log10 probability of a text, from counts in dictionaries and the definition of the weights."""
+    end = b"\0"
+    steps = lambda text: [
+        ((end * depth + text + end)[k:k + depth], (text + end)[k]) for k in range(len(text) + 1)
+    ]
+    bits = lambda byte: [((1 << k) | byte >> (8 - k), byte >> (7 - k) & 1) for k in range(8)]
+    counts = collections.defaultdict(lambda: [0, 0])
+    longer = collections.defaultdict(set)
+    for text in learned:
+        for context, byte in steps(text):
+            for node, bit in bits(byte):
+                for d in range(depth + 1):
+                    tail = context[depth - d:]
+                    counts[tail, node][bit] += 1
+                    if d < depth:
+                        longer[tail, node].add(context[depth - d - 1:])
+
+    def kt(pair):
+        return math.lgamma(pair[0] + 0.5) + math.lgamma(pair[1] + 0.5) - math.lgamma(sum(pair) + 1) - math.log(math.pi)
+
+    @functools.cache
+    def weighted(tail, node):
+        own = kt(counts[tail, node])
+        if len(tail) == depth:
+            return own
+        return np.logaddexp(own, sum(weighted(x, node) for x in longer[tail, node])) + math.log(0.5)
+
+    def one(context, node, d=0):
+        tail = context[depth - d:]
+        zeros, ones = counts[tail, node]
+        estimate = (ones + 0.5) / (zeros + ones + 1)
+        if d == depth or not sum(counts[context[depth - d - 1:], node]):
+            return estimate
+        share = math.exp(kt((zeros, ones)) + math.log(0.5) - weighted(tail, node))
+        return share * estimate + (1 - share) * one(context, node, d + 1)
+
+    return lambda text: sum(
+        math.log10(p if bit else 1 - p)
+        for context, byte in steps(text) for node, bit in bits(byte) for p in [one(context, node)]
+    )
+
+
+@pytest.mark.parametrize("depth", [1, 4])
+def test_context_tree(spark, monkeypatch, depth):
+    monkeypatch.setattr(context_tree, "BLOCK_BYTES", 300)
+    texts = ["", None, "A", "the cat sat on the mat", "The cat sat.", "ab" * 60, "the mat sat", "日本語 é", "new words, zq", "a cat"]
+    rows = [(k, t, k in (6, 8)) for k, t in enumerate(texts)] + [(k + 10, "the cat sat on the mat", False) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, out boolean")
+    plain = plain_context_tree([(t or "").lower().encode() for _, t, out in rows if not out], depth)
+    got = {r["doc_id"]: r for r in context_tree.score(docs, held_out=F.col("out"), keep=["doc_id"], depth=depth).collect()}
+    assert len(got) == len(rows)
+    for k, text, out in rows:
+        assert got[k]["score"] == pytest.approx(plain((text or "").lower().encode()), abs=1e-4)
+        assert got[k]["held_out"] == out and (out or got[k]["n_known"] == got[k]["n_tokens"])
+
+
+def test_context_tree_without_training(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in context_tree.score(docs, held_out=F.lit(True)).collect()}
+    assert got[1]["score"] == pytest.approx(-4 * 8 * math.log10(2), abs=1e-4) and got[2]["train_tokens"] == 0
 
 
 def test_archives_and_lookup(spark, tmp_path):
