@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from panelwise.llm import hashing
 from panelwise.llm.common import any_names, flat, flat_lists, lists, once, places, release, rows, utf8
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 3 << 19
 END = 0
 _LEVEL = (
     "context long, bytes array<int>, n array<long>, nodes array<int>, total array<double>, ones array<double>, "
@@ -34,18 +34,35 @@ def codes(data: np.ndarray, borders: np.ndarray, depth: int) -> tuple[np.ndarray
     A context is the ``depth`` bytes before, the latest one lowest; before a text there are ends.
     """
     texts = len(borders) - 1
-    borders = borders + np.arange(texts + 1)
-    symbols = np.full(borders[-1], END, np.int64)
+    # with ``depth`` ends before each text and one behind
+    symbols = np.full(borders[-1] + texts * (depth + 1), END, np.uint8)
     inner = np.ones(len(symbols), bool)
-    inner[borders[1:] - 1] = False
+    own = borders[:-1] + np.arange(texts) * (depth + 1)
+    for k in range(depth):
+        inner[own + k] = False
+    behind = inner.copy()
+    inner[borders[1:] + np.arange(1, texts + 1) * (depth + 1) - 1] = False
     symbols[inner] = hashing.LOWER[data]
-    place = np.arange(len(symbols)) - np.repeat(borders[:-1], np.diff(borders))
-    out = symbols.copy()
+    out = symbols.astype(np.int64)
     for back in range(1, depth + 1):
-        shifted = symbols[:-back].copy()
-        shifted[place[back:] < back] = END
-        out[back:] += shifted << (8 * back)
-    return out, borders
+        out[back:] |= symbols[:-back].astype(np.int64) << (8 * back)
+    return out[behind], borders + np.arange(texts + 1)
+
+
+def _distinct(code: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and each code's place among them; code and place are sorted as one number where they fit."""
+    low = len(code).bit_length()
+    if 8 * (depth + 1) + low > 63:
+        return np.unique(code, return_inverse=True)
+    both = code << low
+    both |= np.arange(len(code))
+    both.sort()
+    order = both & ((1 << low) - 1)
+    both >>= low
+    new = np.diff(both, prepend=-1) != 0
+    inverse = np.empty(len(code), np.int32)
+    inverse[order] = np.cumsum(new) - 1
+    return both[new], inverse
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -197,7 +214,7 @@ def model(counts: DataFrame, depth: int) -> DataFrame:
 def gather_counts(blocks: DataFrame, depth: int) -> DataFrame:
     """``code``, ``n``: all codes of blocks, and how often they occur in rows that are not held out.
 
-    A task sums its blocks, a million codes and more at a time, before anything is shuffled.
+    A task sums its blocks, half a million codes and more at a time, before anything is shuffled.
     """
 
     def summed(parts):
@@ -217,12 +234,16 @@ def gather_counts(blocks: DataFrame, depth: int) -> DataFrame:
                 part = _opened(packed.as_buffer())
                 code, borders = codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)
                 learned = ~part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
-                parts.append(summed([(code, np.repeat(learned, np.diff(borders)))]))
-                held += len(parts[-1][0])
-                if held > 1 << 21:
+                code <<= 1
+                code |= np.repeat(learned, np.diff(borders))
+                code.sort()
+                starts = np.flatnonzero(np.diff(code >> 1, prepend=-1))
+                parts.append((code[starts] >> 1, np.add.reduceat(code & 1, starts) if len(starts) else starts))
+                held += len(starts)
+                if held > 1 << 20:
                     parts = [summed(parts)]
                     held = len(parts[0][0])
-                    if held > 1 << 20:
+                    if held > 1 << 19:
                         yield from emit(*parts.pop())
                         held = 0
         if parts:
@@ -263,7 +284,9 @@ def block_logs(blocks: DataFrame, depth: int) -> DataFrame:
         for batch in batches:
             for packed, block in zip(batch.column("packed"), batch.column("block").to_pylist()):
                 part = _opened(packed.as_buffer())
-                yield from _asked(np.unique(codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)[0]), block)
+                code, _ = codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)
+                code.sort()
+                yield from _asked(code[np.diff(code, prepend=-1) != 0], block)
 
     counts = once(gather_counts(blocks, depth))
     table = model(counts, depth)
@@ -288,15 +311,14 @@ def _opened(data) -> pa.RecordBatch:
 
 
 def _blocks(batches):
-    """Batches joined or cut to about ``BLOCK_BYTES`` of text, or one row."""
+    """Batches joined or cut to between one and two times ``BLOCK_BYTES``, or one longer row."""
     waiting, held = [], 0
     for batch in rows(batches, "_text", BLOCK_BYTES):
-        size = batch.nbytes
-        if waiting and held + size > BLOCK_BYTES:
+        waiting.append(batch)
+        held += batch.nbytes
+        if held >= BLOCK_BYTES:
             yield pa.concat_batches(waiting)
             waiting, held = [], 0
-        waiting.append(batch)
-        held += size
     if waiting:
         yield pa.concat_batches(waiting)
 
@@ -399,7 +421,7 @@ def score(
                 base = np.bincount(owner, np.log10(c + 1), texts) + math.log10(n_ends + 1) - tokens * floor
                 known = np.bincount(owner[c > 0], minlength=texts) + (n_ends > 0)
                 code, borders = codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)
-                distinct, inverse = np.unique(code, return_inverse=True)
+                distinct, inverse = _distinct(code, depth)
                 found, ends = flat_lists(answers.values.field("logs"))
                 own = np.zeros(len(distinct))
                 own[np.repeat(answers.values.field("place").to_numpy(), np.diff(ends)) + places(ends)] = found
