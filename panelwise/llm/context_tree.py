@@ -20,6 +20,10 @@ from panelwise.llm import hashing
 from panelwise.llm.common import any_names, flat, flat_lists, lists, once, places, release, rows, utf8
 
 BLOCK_BYTES = 3 << 19
+#: Bytes of a block's texts that a task takes apart at once.
+SLICE_BYTES = 1 << 19
+#: Values for blocks that a task holds until it writes a row for each block.
+HELD_VALUES = 1 << 20
 END = 0
 _LEVEL = (
     "context long, bytes array<int>, n array<long>, nodes array<int>, total array<double>, ones array<double>, "
@@ -195,6 +199,7 @@ def model(counts: DataFrame, depth: int) -> DataFrame:
     pair = F.struct((F.col("code") % 256).cast("int").alias("byte"), "n")
     deepest = counts.groupBy(F.shiftright("code", 8).alias("context")).agg(F.collect_list(pair).alias("pairs"))
     levels = [once(deepest.mapInArrow(_deepest, _LEVEL))]
+    release(counts)
     for d in range(depth - 1, -1, -1):
         parent = (F.col("context") % 256**d).alias("context")
         kids = levels[0].groupBy(parent).agg(F.collect_list(F.struct("bytes", "n", "nodes", "weighted")).alias("kids"))
@@ -231,21 +236,21 @@ def gather_counts(blocks: DataFrame, depth: int) -> DataFrame:
         parts, held = [], 0
         for batch in batches:
             for packed in batch.column("packed"):
-                part = _opened(packed.as_buffer())
-                code, borders = codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)
-                learned = ~part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
-                code <<= 1
-                code |= np.repeat(learned, np.diff(borders))
-                code.sort()
-                starts = np.flatnonzero(np.diff(code >> 1, prepend=-1))
-                parts.append((code[starts] >> 1, np.add.reduceat(code & 1, starts) if len(starts) else starts))
-                held += len(starts)
-                if held > 1 << 20:
-                    parts = [summed(parts)]
-                    held = len(parts[0][0])
-                    if held > 1 << 19:
-                        yield from emit(*parts.pop())
-                        held = 0
+                for part in _slices(_opened(packed.as_buffer())):
+                    code, borders = codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)
+                    learned = ~part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
+                    code <<= 1
+                    code |= np.repeat(learned, np.diff(borders))
+                    code.sort()
+                    starts = np.flatnonzero(np.diff(code >> 1, prepend=-1))
+                    parts.append((code[starts] >> 1, np.add.reduceat(code & 1, starts) if len(starts) else starts))
+                    held += len(starts)
+                    if held > 1 << 20:
+                        parts = [summed(parts)]
+                        held = len(parts[0][0])
+                        if held > 1 << 19:
+                            yield from emit(*parts.pop())
+                            held = 0
         if parts:
             yield from emit(*summed(parts))
 
@@ -266,15 +271,63 @@ def _asked(code: np.ndarray, block: int):
         )
 
 
+def _by_block(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct blocks, the borders of their values, and the values' columns in order of block; block is the first column."""
+    columns = [np.concatenate(c) for c in zip(*held)]
+    order = np.argsort(columns[0], kind="stable")
+    block = columns[0][order]
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    return block[starts], np.append(starts, len(block)), [c[order] for c in columns[1:]]
+
+
+def _held(found, emit):
+    """What ``emit`` makes of the tuples of arrays in ``found``, some ``HELD_VALUES`` at a time, however short each is."""
+    held, n = [], 0
+    for part in found:
+        held.append(part)
+        n += len(part[0])
+        if n >= HELD_VALUES:
+            yield emit(held)
+            held, n = [], 0
+    if n:
+        yield emit(held)
+
+
 def _answers(batches):
-    """The logarithms of the asked bytes of each row, in their order."""
-    for batch in batches:
-        keys, _ = _keyed(batch.column(3))
-        logs, _ = flat_lists(batch.column(4))
-        own, borders = flat(batch.column(2))
-        wanted = np.repeat(np.arange(batch.num_rows), np.diff(borders)) * 256 + own
-        found = lists(logs[np.searchsorted(keys, wanted)], borders, pa.float32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["block", "place", "logs"])
+    """The logarithms of the asked bytes and their places, a row for each block that a task meets."""
+
+    def found():
+        for batch in batches:
+            keys, _ = _keyed(batch.column(3))
+            logs, _ = flat_lists(batch.column(4))
+            own, borders = flat(batch.column(2))
+            times = np.diff(borders)
+            wanted = np.repeat(np.arange(batch.num_rows), times) * 256 + own
+            place = np.repeat(batch.column(1).to_numpy(), times) + places(borders)
+            yield np.repeat(batch.column(0).to_numpy(), times), place.astype(np.int32), logs[np.searchsorted(keys, wanted)]
+
+    def emit(held):
+        block, borders, (place, logs) = _by_block(held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block), lists(place, borders, pa.int32()), lists(logs, borders, pa.float32())],
+            names=["block", "place", "logs"],
+        )
+
+    yield from _held(found(), emit)
+
+
+def _word_answers(batches):
+    """The corpus counts of words and their places, a row for each block that a task meets, with the words new there."""
+
+    def emit(held):
+        block, borders, (place, c, first) = _by_block(held)
+        new = np.add.reduceat((first & (c > 0)).astype(np.int64), borders[:-1])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block), lists(place, borders, pa.int32()), lists(c, borders, pa.int64()), pa.array(new)],
+            names=["block", "place", "c", "new_words"],
+        )
+
+    yield from _held(([c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches), emit)
 
 
 def block_logs(blocks: DataFrame, depth: int) -> DataFrame:
@@ -283,19 +336,21 @@ def block_logs(blocks: DataFrame, depth: int) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for packed, block in zip(batch.column("packed"), batch.column("block").to_pylist()):
-                part = _opened(packed.as_buffer())
-                code, _ = codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)
-                code.sort()
-                yield from _asked(code[np.diff(code, prepend=-1) != 0], block)
+                found = []
+                for part in _slices(_opened(packed.as_buffer())):
+                    code, _ = codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)
+                    code.sort()
+                    found.append(code[np.diff(code, prepend=-1) != 0])
+                yield from _asked(np.unique(np.concatenate(found)), block)
 
     counts = once(gather_counts(blocks, depth))
     table = model(counts, depth)
     asked = blocks.select("packed", "block").mapInArrow(ask, "context long, block long, place int, asked binary")
     answers = asked.join(table, "context").select("block", "place", "asked", "bytes", "logs").mapInArrow(
-        _answers, "block long, place int, logs array<float>"
+        _answers, "block long, place array<int>, logs array<float>"
     )
-    found = once(answers.groupBy("block").agg(F.collect_list(F.struct("place", "logs")).alias("logs")))
-    release(counts, table)
+    found = once(answers.groupBy("block").agg(F.collect_list(F.struct("place", "logs")).alias("logs")), batch_rows=10_000)
+    release(table)
     return found
 
 
@@ -310,6 +365,12 @@ def _opened(data) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(data)))
 
 
+def _slices(block: pa.RecordBatch):
+    """A block cut into parts of at most ``SLICE_BYTES``, or one longer text."""
+    if block.num_rows:
+        yield from rows([block], "_text", SLICE_BYTES)
+
+
 def _blocks(batches):
     """Batches joined or cut to between one and two times ``BLOCK_BYTES``, or one longer row."""
     waiting, held = [], 0
@@ -324,10 +385,16 @@ def _blocks(batches):
 
 
 def _word_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    data, borders = flat(batch.column(batch.schema.get_field_index("_text")))
-    data = hashing.LOWER[data]
-    start, stop, owner = hashing.words(data, borders)
-    return hashing.Slices(data).of(start, stop).view(np.int64), owner
+    """Hashes of the words of a block's texts, and the number of each one's text."""
+    found, owners, texts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for part in _slices(batch):
+        data, borders = flat(part.column(part.schema.get_field_index("_text")))
+        data = hashing.LOWER[data]
+        start, stop, owner = hashing.words(data, borders)
+        found.append(hashing.Slices(data).of(start, stop).view(np.int64))
+        owners.append(owner + texts)
+        texts += part.num_rows
+    return np.concatenate(found), np.concatenate(owners)
 
 
 @any_names
@@ -397,10 +464,10 @@ def score(
         "block", "place", F.sum("times").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first")
     )
     by_block = once(
-        counted.groupBy("block").agg(
-            F.collect_list(F.struct("place", "c")).alias("counts"),
-            F.sum(F.when(F.col("first") & (F.col("c") > 0), 1).otherwise(0)).alias("new_words"),
-        )
+        counted.mapInArrow(_word_answers, "block long, place array<int>, c array<long>, new_words long").groupBy("block").agg(
+            F.collect_list(F.struct("place", "c")).alias("counts"), F.sum("new_words").alias("new_words")
+        ),
+        batch_rows=10_000,
     )
     totals = blocks.agg(F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("d")).first()
     n_train, n_ends = totals["n"] or 0, totals["d"] or 0
@@ -415,19 +482,25 @@ def score(
                 distinct, inverse = np.unique(hashes, return_inverse=True)
                 c = np.zeros(len(distinct))
                 if pairs.is_valid and len(distinct):
-                    c[pairs.values.field("place").to_numpy()] = pairs.values.field("c").to_numpy()
+                    c[flat_lists(pairs.values.field("place"))[0]] = flat_lists(pairs.values.field("c"))[0]
                 c, texts = c[inverse], part.num_rows
                 tokens = np.bincount(owner, minlength=texts) + 1
                 base = np.bincount(owner, np.log10(c + 1), texts) + math.log10(n_ends + 1) - tokens * floor
                 known = np.bincount(owner[c > 0], minlength=texts) + (n_ends > 0)
-                code, borders = codes(*flat(part.column(part.schema.get_field_index("_text"))), depth)
-                distinct, inverse = _distinct(code, depth)
-                found, ends = flat_lists(answers.values.field("logs"))
-                own = np.zeros(len(distinct))
-                own[np.repeat(answers.values.field("place").to_numpy(), np.diff(ends)) + places(ends)] = found
-                total = np.concatenate([[0.0], np.cumsum(own[inverse])])
-                rated = total[borders[1:]] - total[borders[:-1]]
-                size = np.diff(borders) - 1
+                parts = []
+                for piece in _slices(part):
+                    code, borders = codes(*flat(piece.column(piece.schema.get_field_index("_text"))), depth)
+                    parts.append((*_distinct(code, depth), borders))
+                every = np.unique(np.concatenate([p[0] for p in parts]))
+                own = np.zeros(len(every))
+                own[flat_lists(answers.values.field("place"))[0]] = flat_lists(answers.values.field("logs"))[0]
+                upto, rated, size = 0.0, [], []
+                for distinct, inverse, borders in parts:
+                    total = np.cumsum(np.concatenate([[upto], own[np.searchsorted(every, distinct)][inverse]]))
+                    rated.append(total[borders[1:]] - total[borders[:-1]])
+                    size.append(np.diff(borders) - 1)
+                    upto = total[-1]
+                rated, size = np.concatenate(rated), np.concatenate(size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[part.column(k) for k in range(len(kept) + 1)], pa.array(size), pa.array(tokens), pa.array(known),

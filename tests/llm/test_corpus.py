@@ -10,6 +10,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +284,25 @@ def test_context_tree(spark, monkeypatch, depth):
         assert got[k]["held_out"] == out and (out or got[k]["n_known"] == got[k]["n_tokens"])
 
 
+def test_context_tree_answers_a_block_once_a_task(monkeypatch):
+    asked = pa.RecordBatch.from_arrays(
+        [
+            pa.array([4, 4, 9]), pa.array([0, 2, 0], pa.int32()), pa.array([b"ab", b"z", b"a"]),
+            pa.array([[97, 98], [122], [97]], pa.list_(pa.int32())), pa.array([[-1.0, -2.0], [-3.0], [-4.0]], pa.list_(pa.float32())),
+        ],
+        names=["block", "place", "asked", "bytes", "logs"],
+    )
+    got = [row for batch in context_tree._answers(iter([asked, asked.slice(1, 1)])) for row in batch.to_pylist()]
+    assert got == [
+        {"block": 4, "place": [0, 1, 2, 2], "logs": [-1.0, -2.0, -3.0, -3.0]}, {"block": 9, "place": [0], "logs": [-4.0]},
+    ]
+    monkeypatch.setattr(context_tree, "SLICE_BYTES", 8)
+    texts = pa.RecordBatch.from_arrays([pa.array([b"one Two", b"", b"a text longer than a slice", b"two"])], names=["_text"])
+    assert [part.num_rows for part in context_tree._slices(texts)] == [2, 1, 1]
+    hashes, owner = context_tree._word_hashes(texts)
+    assert owner.tolist() == [0, 0, 2, 2, 2, 2, 2, 2, 3] and hashes[1] == hashes[-1]
+
+
 def test_context_tree_without_training(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in context_tree.score(docs, held_out=F.lit(True)).collect()}
