@@ -6,6 +6,7 @@ import collections
 import functools
 import hashlib
 import math
+import pathlib
 import random
 import zlib
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from panelwise.llm import bpe, context_tree, covertree, neardup, packing, quality, sharding, substrings, token_counts
 from panelwise.llm import tokenizing, warc
 from panelwise.llm.suffixes import common_prefixes, suffix_ranks
+from panelwise.session import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, shard string, kept int, n_bytes string"
 
@@ -134,6 +136,26 @@ def test_suffix_order(spark):
     assert shared[got[16][0]] >= 1 and max(shared.values()) < 20
 
 
+def test_suffix_order_keeps_no_cut_but_its_ranks(spark):
+    folder = pathlib.Path(new_path(spark, "any")).parent
+    folder.mkdir(parents=True, exist_ok=True)
+    before = {p.name for p in folder.iterdir()}
+    strings = [[5, 6, 7] * 7, [6, 7] * 5, [9]]
+    ranks = suffix_ranks(spark.createDataFrame(list(enumerate(strings)), "sid long, letters array<long>"), 21)
+    got = {r["sid"]: r["ranks"] for r in ranks.collect()}
+    every = sorted(s[p:] for s in strings for p in range(len(s)))
+    assert all(got[i] == [1 + every.index(s[p:]) for p in range(len(s))] for i, s in enumerate(strings))
+    assert [p.name for p in folder.iterdir() if p.name not in before] == [pathlib.Path(ranks._cut_path).name]
+    # two letters that agree in their low bits: a place may repeat further by them, never less far
+    prefixes = [(1, [1, 2, 3]), (2, [1, 2 + (1 << 16), 3]), (3, [7, 7])]
+    shared = {}
+    for kind in (np.int64, np.uint16):
+        rows = [(rank, np.array(p).astype(kind).tobytes()) for rank, p in prefixes]
+        found = common_prefixes(spark.createDataFrame(rows, "rank long, prefix binary"), kind).collect()
+        shared[kind] = [n for _, n in sorted((r["rank"], r["shared"]) for r in found)]
+    assert shared == {np.int64: [1, 1, 0], np.uint16: [3, 3, 0]}
+
+
 def test_repeated_strings(docs, texts):
     got = by_id(substrings.remove_repeats(docs, length=400))
     times = collections.Counter()
