@@ -22,6 +22,8 @@ from panelwise.llm import hashing
 from panelwise.llm.common import any_names, carries, flat, lists, once, release, rows, utf8
 from panelwise.llm.components import connected_components
 
+#: Bytes of text that a task takes apart at once.
+SLICE_BYTES = 1 << 19
 WORDS = 5
 #: Document ids that are sent to all tasks at most; beyond that the ids are joined by a shuffle.
 SENT_IDS = 2_000_000
@@ -175,7 +177,7 @@ def find_groups(
         return spent[-1]
 
     def sketch(batches):
-        for batch in rows(batches, read):
+        for batch in rows(batches, read, SLICE_BYTES):
             sets = shingle_sets(*flat(batch.column(batch.schema.get_field_index(read))))
             digests = [_digest(s) for s in sets]
             fronts = [s[:k] for s in sets]
@@ -221,7 +223,7 @@ def find_groups(
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), utf8(text).alias("_text")).join(ids, "id", "left_semi")
 
     def full_sets(batches):
-        for batch in rows(batches, "_text"):
+        for batch in rows(batches, "_text", SLICE_BYTES):
             sets = shingle_sets(*flat(batch.column(1)))
             digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
