@@ -191,7 +191,7 @@ def model(counts: DataFrame, depth: int) -> DataFrame:
     """``context``, ``bytes``, ``logs``: the log10 probability of each byte of ``counts`` behind its context.
 
     ``counts`` has ``code`` (``context * 256 + byte``, each once) and ``n``, the times it was learned; a code with 0 is rated
-    only. Weights are those of stopping at a depth against going deeper, by the training bytes, from the deepest
+    only. A cut is deleted once it has been read. Weights are those of stopping at a depth against going deeper, by the training bytes, from the deepest
     contexts up, one grouping a depth; the mixtures then go from the shortest context down, one join a depth. A
     context or decision that was never learned leaves the prediction to the shorter context. A group holds a
     context's bytes or its next longer contexts, at most 256 of either, whatever the corpus holds.
