@@ -30,6 +30,7 @@ _LEVEL = (
     "weighted array<double>, share array<double>"
 )
 _MIXED = "context long, bytes array<int>, nodes array<int>, stop array<double>, fixed array<double>, free array<double>"
+_LOGS = "context long, bytes array<int>, logs array<float>"
 
 
 def codes(data: np.ndarray, borders: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,19 +175,26 @@ def _mixed(batches):
 
 
 def _byte_logs(batches):
+    """The logarithms of contexts' bytes, from rows of ``_MIXED``."""
     for batch in batches:
-        keys, _ = _keyed(batch.column(1))
-        stop, _ = flat_lists(batch.column(2))
-        pairs, borders = _keyed(batch.column(0))
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        keys, _ = _keyed(column("nodes"))
+        stop, _ = flat_lists(column("stop"))
+        pairs, borders = _keyed(column("bytes"))
         row, byte, logs = pairs // 256, pairs % 256, np.zeros(len(pairs))
         for bit in range(8):
             p = stop[np.searchsorted(keys, row * 256 + ((1 << bit) | (byte >> (8 - bit))))]
             logs += np.log10(np.where((byte >> (7 - bit)) & 1, p, 1 - p))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(3), batch.column(0), lists(logs, borders, pa.float32())], names=["context", "bytes", "logs"]
+            [column("context"), column("bytes"), lists(logs, borders, pa.float32())], names=["context", "bytes", "logs"]
         )
 
 
+def _rated(batches):
+    """``_mixed`` and ``_byte_logs`` of the deepest contexts in one Python worker, not two that run side by side."""
+    return _byte_logs(_mixed(batches))
+
+
 def model(counts: DataFrame, depth: int) -> DataFrame:
     """``context``, ``bytes``, ``logs``: the log10 probability of each byte of ``counts`` behind its context.
 
@@ -207,11 +215,9 @@ def model(counts: DataFrame, depth: int) -> DataFrame:
     mixed = levels[0].mapInArrow(_mixed, _MIXED)
     for d in range(1, depth + 1):
         up = mixed.select(F.col("context").alias("up"), *[F.col(c).alias(f"up_{c}") for c in ("nodes", "stop", "fixed", "free")])
-        mixed = levels[d].join(up, F.col("context") % 256 ** (d - 1) == F.col("up")).mapInArrow(_mixed, _MIXED)
-    logs = mixed.select("bytes", "nodes", "stop", "context").mapInArrow(
-        _byte_logs, "context long, bytes array<int>, logs array<float>"
-    )
-    found = once(logs)
+        both = levels[d].join(up, F.col("context") % 256 ** (d - 1) == F.col("up"))
+        mixed = both.mapInArrow(_mixed, _MIXED) if d < depth else both.mapInArrow(_rated, _LOGS)
+    found = once(mixed)
     release(*levels)
     return found
 
@@ -515,4 +521,12 @@ def score(
         "held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, "
         "score double, bits_per_byte double"
     )
-    return blocks.join(logs, "block").join(by_block, "block", "left").select("packed", "counts", "logs").mapInArrow(rate, schema)
+    answered = blocks.join(logs, "block").join(by_block, "block", "left").select("packed", "counts", "logs")
+    rated = answered.mapInArrow(rate, schema)
+    if "void" in fields or "interval" in fields:
+        # carried columns that Parquet does not hold
+        return rated
+    # a row is a block with its answers, so few of them make a batch
+    scored = once(rated, batch_rows=2)
+    release(blocks, logs, by_block)
+    return scored

@@ -8,6 +8,7 @@ import hashlib
 import math
 import pathlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from panelwise.llm import bpe, context_tree, covertree, neardup, packing, quality, sharding, substrings, token_counts
 from panelwise.llm import tokenizing, warc
+from panelwise.llm.common import once
 from panelwise.llm.suffixes import common_prefixes, suffix_ranks
 from panelwise.session import new_path
 
@@ -325,6 +327,23 @@ def test_context_tree_answers_a_block_once_a_task(monkeypatch):
     assert owner.tolist() == [0, 0, 2, 2, 2, 2, 2, 2, 3] and hashes[1] == hashes[-1]
 
 
+def test_context_tree_keeps_one_cut_and_one_worker_a_task(spark, monkeypatch):
+    plans, made = [], []
+
+    def kept(df, *args, **named):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        made.append(once(df, *args, **named))
+        return made[-1]
+
+    monkeypatch.setattr(context_tree, "once", kept)
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "b a"), (3, None)], "doc_id long, text string")
+    scored = context_tree.score(docs, keep=["doc_id", "text"], depth=2)
+    assert scored.count() == 3
+    # no step in Python feeds another one without a shuffle or a cut between
+    assert len(plans) > 5 and not any(re.search(r"MapInArrow.*\n[ :+-]*(Project.*\n[ :+-]*)*MapInArrow", p) for p in plans)
+    assert [pathlib.Path(df._cut_path).exists() for df in made] == [False] * (len(made) - 1) + [True]
+
+
 def test_context_tree_without_training(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in context_tree.score(docs, held_out=F.lit(True)).collect()}
