@@ -175,6 +175,12 @@ def test_repeated_strings(docs, texts):
         assert got[i]["n_spans"] == len(got[i]["spans"]) // 2
 
 
+def test_cuts_are_written_by_zstd(spark):
+    folder = pathlib.Path(once(spark.range(9))._cut_path)
+    files = [p.name for p in folder.iterdir() if p.suffix == ".parquet"]
+    assert files and all(".zstd." in name for name in files)
+
+
 def test_near_duplicates(docs, texts):
     got = by_id(neardup.find_groups(docs, percent=80))
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
