@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelwise.llm import bpe, context_tree, covertree, neardup, packing, quality, sharding, substrings, token_counts
 from panelwise.llm import tokenizing, warc
-from panelwise.llm.common import once
+from panelwise.llm.common import once, release
 from panelwise.llm.suffixes import common_prefixes, suffix_ranks
 from panelwise.session import new_path
 
@@ -181,6 +181,28 @@ def test_cuts_are_written_by_zstd(spark):
     assert files and all(".zstd." in name for name in files)
 
 
+def test_windows_are_compared_when_their_surroundings_are_deleted(docs, monkeypatch):
+    held, beside = {}, []
+
+    def kept(df, *args, **named):
+        if "w1" in df.columns:
+            beside.append(sorted(held.values()))
+        made = once(df, *args, **named)
+        held[made._cut_path] = made.columns
+        return made
+
+    def gone(*cuts):
+        release(*cuts)
+        for df in cuts:
+            held.pop(df._cut_path, None)
+
+    monkeypatch.setattr(substrings, "once", kept)
+    monkeypatch.setattr(substrings, "release", gone)
+    substrings.remove_repeats(docs, length=400, keep=["doc_id"], with_text=False)
+    assert len(beside) == 2 and all("core" not in columns and "n" not in columns for cuts in beside for columns in cuts)
+    assert sorted(held.values()) == [["doc_id", "_data", "_row"], ["row", "spans"]]
+
+
 def test_near_duplicates(docs, texts):
     got = by_id(neardup.find_groups(docs, percent=80))
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
