@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, context_tree, covertree, neardup, packing, quality, sharding, substrings, token_counts
+from panelwise.llm import bpe, context_tree, covertree, meeting, neardup, packing, quality, sharding, substrings, token_counts
 from panelwise.llm import tokenizing, warc
 from panelwise.llm.common import once, release
 from panelwise.llm.suffixes import common_prefixes, suffix_ranks
@@ -175,6 +175,51 @@ def test_repeated_strings(docs, texts):
         assert got[i]["n_spans"] == len(got[i]["spans"]) // 2
 
 
+def test_copies_and_loops_are_few_letters(spark, monkeypatch):
+    pick = random.Random(8)
+    words = ["".join(pick.choices("abcdefghij", k=5)) for _ in range(400)]
+    plain = " ".join(pick.choices(words, k=900))
+    loop = "La " * 900
+    texts = [plain, plain, plain[:2000] + "-" + plain[2001:], loop, "x " + loop[:1500] + "y " + loop[:900] + plain[300:900], loop[:1200] + "y " + loop]
+    texts += [" ".join(pick.choices(words, k=60)) + t[600:1100] + " ".join(pick.choices(words, k=60)) for t in texts]
+    texts += ["ab" * 40 + t[700:900] for t in (plain, texts[7])] + [plain[:160], loop[:160], "", "short"]
+    letters = []
+
+    def counted(strings, depth):
+        letters.append(strings.select(F.sum(F.size("letters"))).first()[0])
+        return suffix_ranks(strings, depth)
+
+    monkeypatch.setattr(substrings, "suffix_ranks", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(frame, length=160).collect()}
+    times = collections.Counter(t[p:p + 160] for t in texts for p in range(len(t) - 159))
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 159):
+            if times[t[p:p + 160]] > 1:
+                gone[p:p + 160] = True
+        assert got[i]["kept_bytes"] == np.frombuffer(t.encode(), np.uint8)[~gone].tobytes()
+        assert got[i]["n_spans"] == int((np.diff(np.concatenate([[0], gone, [0]]).astype(int)) == 1).sum())
+    assert sum(map(len, texts)) > 30000 and letters[0] < 400
+
+
+def test_keys_meet_in_ranges(spark, monkeypatch):
+    pick = np.random.default_rng(5)
+    blocks = [pick.integers(0, 1 << 64, 300, np.uint64) for _ in range(7)]
+    blocks = [np.concatenate([b, np.repeat(blocks[0][:3], 50), blocks[k - 1][:20]]) for k, b in enumerate(blocks)] + [np.zeros(0, np.uint64)]
+    frame = spark.createDataFrame([(k, bytearray(b.tobytes())) for k, b in enumerate(blocks)], "block long, run binary")
+    keys = lambda batch, row: meeting.counted(meeting.numbers(batch, "run", row, np.uint64)[None])
+    monkeypatch.setattr(meeting, "RANGE_BYTES", 512)
+    made = meeting.meet(frame, "seen", F.octet_length("run"), lambda *at: keys(*at)[0], lambda lines: meeting.several(lines)[0])
+    times = collections.Counter(x >> 1 for b in blocks for x in b.tolist())
+    got = {r["block"]: np.frombuffer(b"".join(r["seen"]), np.uint8) for r in made.collect()}
+    assert set(got) == set(range(7))
+    for k, b in enumerate(blocks[:7]):
+        one, inverse, _ = meeting.counted(b[None])
+        assert one.shape[1] == len(set(x >> 1 for x in b.tolist())) == len(got[k])
+        assert got[k][inverse].tolist() == [times[x >> 1] > 1 for x in b.tolist()]
+
+
 def test_cuts_are_written_by_zstd(spark):
     folder = pathlib.Path(once(spark.range(9))._cut_path)
     files = [p.name for p in folder.iterdir() if p.suffix == ".parquet"]
