@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwise.llm import bpe, context_tree, covertree, meeting, neardup, packing, quality, sharding, substrings, token_counts
-from panelwise.llm import tokenizing, warc
+from panelwise.llm import suffixes, tokenizing, warc
 from panelwise.llm.common import once, release
 from panelwise.llm.suffixes import common_prefixes, suffix_ranks
 from panelwise.session import new_path
@@ -248,6 +248,46 @@ def test_windows_are_compared_when_their_surroundings_are_deleted(docs, monkeypa
     assert sorted(held.values()) == [["doc_id", "_data", "_row"], ["row", "spans"]]
 
 
+def test_rows_of_blocks_stay_small(spark, monkeypatch):
+    pick = random.Random(11)
+    words = ["".join(pick.choices("abcdefghij", k=5)) for _ in range(3000)]
+    passages = [" ".join(pick.choices(words, k=60)) for _ in range(40)]
+    # passages whose surroundings differ, so that all windows at their borders are compared
+    texts = [" ".join(x for _ in range(30) for x in (pick.choice(passages), *pick.choices(words, k=8))) for _ in range(40)]
+    largest = collections.Counter()
+
+    def told(df, *args, **named):
+        made = once(df, *args, **named)
+        for name in {"part", "place"} & set(df.columns):
+            largest[name] = max(largest[name], made.select(F.max(F.octet_length(name))).first()[0])
+        return made
+
+    monkeypatch.setattr(substrings, "once", told)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    whole = by_id(substrings.remove_repeats(frame, length=160))
+    assert largest["place"] > 8 * (2 << 12) and 0 < whole[0]["n_removed"] < whole[0]["n_bytes"]
+    for name, limit in (("RUN_BYTES", 1 << 15), ("PIECE_BYTES", 1 << 12), ("WINDOWS", 1 << 10), ("LETTERS", 1 << 8)):
+        monkeypatch.setattr(substrings, name, limit)
+    monkeypatch.setattr(suffixes, "LETTERS", 1 << 8)
+    monkeypatch.setattr(meeting, "RANGE_BYTES", 1 << 14)
+    largest.clear()
+    assert by_id(substrings.remove_repeats(frame, length=160)) == whole
+    # a piece, or a text, more than the limit
+    assert largest["part"] < (1 << 15) + 2 * len(texts[0]) and largest["place"] <= 8 * ((1 << 10) + 2 * len(texts[0]))
+    times = collections.Counter(t[p:p + 160] for t in texts for p in range(len(t) - 159))
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 159):
+            if times[t[p:p + 160]] > 1:
+                gone[p:p + 160] = True
+        assert whole[i]["n_removed"] == gone.sum()
+
+
+def test_ranges_and_runs_are_small_by_default():
+    # a task's arrays are about ten times as large, and two tasks share an executor
+    assert meeting.RANGE_BYTES <= 4 << 20 and substrings.RUN_BYTES <= 1 << 19 and 24 * substrings.WINDOWS <= 1 << 20
+
+
 def test_near_duplicates(docs, texts):
     got = by_id(neardup.find_groups(docs, percent=80))
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
